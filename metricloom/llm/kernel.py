@@ -11,7 +11,7 @@ _R = 0x9E3779B97F4A7C15
 _C = 0xD6E8FEB86659FD93
 _C2 = 0xA0761D6478BD642F
 _MASK = (1 << 64) - 1
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -37,10 +37,11 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of every text of an Arrow string array, in order. Null texts have none.
 
-    ``first[i]:first[i + 1]`` are the words of row i; ``start`` and ``end`` are byte positions in ``buf``.
+    ``first[i]:first[i + 1]`` are the words of row i; ``start`` and ``end`` are byte positions in ``buf``. With ``lower`` A-Z
+    become a-z; with ``letters`` all ASCII but letters and digits separates words too.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, letters: bool = False):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         if not pa.types.is_large_string(texts.type):
@@ -57,6 +58,8 @@ class Words:
             buf = np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
         self.buf, self.offsets, self.n, self.valid = buf, offsets, n, valid
         ink = (buf != 32) & ((buf < 9) | (buf > 13))
+        if letters:
+            ink = (buf >= 128) | ((buf >= 48) & (buf <= 57)) | ((buf | 32) >= 97) & ((buf | 32) <= 122)
         cut = np.zeros(size + 1, dtype=bool)
         cut[offsets] = True
         cut[-1] = True
@@ -74,22 +77,26 @@ class Words:
         self.doc = np.repeat(np.arange(n), np.diff(self.first))
         self._hash: np.ndarray | None = None
 
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hash of the bytes of each span; spans are in order of their ends. Worked out in blocks of ``_BLOCK`` bytes."""
+        out = np.empty(len(start), dtype=np.uint64)
+        i = 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + _BLOCK, "right")))
+            a, b = int(start[i]), int(end[j - 1])
+            p, inv = powers(_R, b - a + 1)
+            total = np.zeros(b - a + 1, dtype=np.uint64)
+            np.cumsum((self.buf[a:b].astype(np.uint64) + np.uint64(1)) * p[: b - a], out=total[1:])
+            s, e = start[i:j] - a, end[i:j] - a
+            out[i:j] = mix_py((total[e] - total[s]) * inv[s] + (e - s).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+            i = j
+        return out
+
     @property
     def hash(self) -> np.ndarray:
-        """64-bit hash of each word's bytes, worked out in blocks of about a megabyte."""
+        """64-bit hash of each word's bytes."""
         if self._hash is None:
-            out = np.empty(len(self.start), dtype=np.uint64)
-            i = 0
-            while i < len(self.start):
-                j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + _BLOCK, "right")))
-                a, b = int(self.start[i]), int(self.end[j - 1])
-                p, inv = powers(_R, b - a + 1)
-                total = np.zeros(b - a + 1, dtype=np.uint64)
-                np.cumsum((self.buf[a:b].astype(np.uint64) + np.uint64(1)) * p[: b - a], out=total[1:])
-                s, e = self.start[i:j] - a, self.end[i:j] - a
-                out[i:j] = mix_py((total[e] - total[s]) * inv[s] + (e - s).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
-                i = j
-            self._hash = out
+            self._hash = self.span_hash(self.start, self.end)
         return self._hash
 
     def windows(self, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -197,19 +197,18 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[
     least = F.array_min(F.array(*[F.struct((F.col(f"r{k}") * (1 + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("need")) for k in range(1, MAX_MATCH + 1)]))
     need = posting.groupBy("doc_id").agg(*reads).select("doc_id", least["need"].alias("need"))
     posting = stored(
-        posting.join(need, "doc_id").filter("pos < base + need - 1").select("t", "doc_id", "n", "u", "need"), "postings"
+        posting.join(need, "doc_id").filter("pos < base + need - 1").select("t", "doc_id", "n", (F.col("u") + F.col("pos")).alias("at"), "u", "need"), "postings"
     )
 
     # 5: stars
     edges = tried = None
     labels = None
-    share = F.struct((F.col("u") / F.col("n")).alias("x"), "doc_id", "label")
     for k in range(STAR_ROUNDS):
-        now = posting.withColumn("label", F.col("doc_id")) if labels is None else posting.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        lead = now.groupBy("t").agg(F.min(share).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        now = _labelled(posting, labels)
         best = (
-            now.join(lead.select("t", F.col("lead.doc_id").alias("a"), F.col("lead.label").alias("al")), "t").filter("label != al")
-            .groupBy(F.col("doc_id").alias("b"), "a").count()
+            now.alias("x").join(_leaders(now).select("t", "lead").alias("l"), "t").select("x.*", F.col("lead.*"))
+            .filter(f"label != llabel and {_reach('n', 'at', 'ln', 'least(need, lneed)', percent)} and {_reach('ln', 'lat', 'n', 'least(need, lneed)', percent)}")
+            .groupBy(F.col("doc_id").alias("b"), F.col("lid").alias("a"), F.least("need", "lneed").alias("need")).count().filter("count >= need")
         )
         if tried is not None:
             best = best.join(tried, ["a", "b"], "left_anti")
@@ -220,20 +219,18 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[
         edges = found if edges is None else edges.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if n:
-            labels = components(edges).select(F.col("node").alias("doc_id"), "label")
-            labels = stored(labels, "labels")
+            labels = stored(components(edges).select(F.col("node").alias("doc_id"), "label"), "labels")
         if not n or k and not n * 20 > pairs.count():
             break
 
     # the pairs left: across components, of documents that are not in their leader's one
-    now = posting if labels is None else posting.join(labels, "doc_id", "left")
-    now = now.withColumn("label", F.coalesce("label", "doc_id")) if labels is not None else now.withColumn("label", F.col("doc_id"))
-    lead = now.groupBy("t").agg(F.min(share).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    sides = now.join(lead.select("t", F.col("lead.label").alias("al")), "t")
-    reach = lambda x, y: f"(100 + {percent}) * least({x}.n - {x}.u, {y}.n - {y}.u) >= {percent} * ({x}.n + {y}.n)"
+    now = _labelled(posting, labels)
+    sides = now.join(_leaders(now).select("t", F.col("lead.llabel").alias("al")), "t")
+    need = "least(x.need, y.need)"
     left = (
-        sides.filter("label != al").alias("x").join(sides.alias("y"), F.expr(f"x.t = y.t and x.label != y.label and {reach('x', 'y')}"))
-        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.least("x.need", "y.need").alias("need"), F.col("x.t").alias("t"), F.expr("if(y.label != y.al, 1, 2)").alias("w"))
+        sides.filter("label != al").alias("x")
+        .join(sides.alias("y"), F.expr(f"x.t = y.t and x.label != y.label and {_reach('x.n', 'x.at', 'y.n', need, percent)} and {_reach('y.n', 'y.at', 'x.n', need, percent)}"))
+        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.expr(f"{need} as need"), F.expr("if(y.label != y.al, 1, 2) as w"))
         .groupBy("a", "b", "need").agg(F.sum("w").alias("shared")).filter("shared >= 2 * need").select("a", "b")
     )
     if tried is not None:
@@ -242,6 +239,26 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[
     return members, found if edges is None else edges.unionByName(found)
 
 
+def _labelled(posting: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return posting.withColumn("label", F.col("doc_id"))
+    return posting.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+
+def _leaders(now: DataFrame) -> DataFrame:
+    """Of each posting list that spans components: the document with the smallest unique share."""
+    lead = F.struct((F.col("u") / F.col("n")).alias("share"), F.col("doc_id").alias("lid"), F.col("label").alias("llabel"), F.col("n").alias("ln"), F.col("at").alias("lat"), F.col("need").alias("lneed"))
+    return now.groupBy("t").agg(F.min(lead).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+
+
+def _reach(n: str, at: str, other: str, need: str, percent: int) -> str:
+    """Whether a token at position ``at`` of n can be among the first ``need`` that a linked pair of these lengths shares.
+
+    They share at least o = percent (n + other) / (100 + percent) tokens, and o - need of them come later.
+    """
+    return f"{percent} * ({n} + {other}) <= (100 + {percent}) * ({n} + {need} - {at} - 1)"
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document; component_id is the smallest doc_id reachable by links."""
     members, edges = links(docs, percent, width)
