@@ -4,21 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metricloom.llm import ngram_join
+from metricloom.llm import decontaminate, ngram_join, packing, substring_dedup, toxicity
+from metricloom.llm.queries import tokenizer_path
 from metricloom.llm.support import fresh_path
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by n-gram Jaccard similarity stays: the one with the smallest doc_id."""
     return ngram_join.keep_one(docs)
 
 
-STAGES = [("ngram_jaccard", near_duplicates)]
+def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words that also start in a document with a smaller doc_id are cut; documents left without words go."""
+    return substring_dedup.cut_documents(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", near_duplicates),
+    ("substring_dedup", cut_substrings),
+    ("decontamination", decontaminated),
+    ("packing", packed),
+]
 
+#: SQL can express neither the trained stage nor the packing; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the ``documents`` of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
