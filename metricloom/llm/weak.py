@@ -88,14 +88,21 @@ class LabelModel:
     def __init__(self, prior: float):
         self.prior = prior
 
-    def fit(self, votes: np.ndarray, start: np.ndarray, anchor: np.ndarray | None = None, rounds: int = 30) -> LabelModel:
-        """votes: rows x voters. start: first guess of P(1). anchor: log-odds a row has besides the votes (known labels)."""
+    def fit(self, votes: np.ndarray, start: np.ndarray, anchor: np.ndarray | None = None, rounds: int = 30, belief: tuple[tuple[float, float], ...] | None = None, strength: float = 1.0) -> LabelModel:
+        """votes: rows x voters. start: first guess of P(1). anchor: log-odds a row has besides the votes (known labels).
+
+        belief: for votes 1, 0 and none the prior chance in class 0 and class 1, weighing ``strength`` times the rows; it says that
+        voters are better than chance, without which voters that never overlap can be explained away.
+        """
         post, self.weight = start.astype(float), np.ones(votes.shape[1])
         extra = np.zeros(len(votes)) if anchor is None else anchor
         said = [(votes == v).astype(np.float64) for v in (1, 0, -1)]
         for r in range(rounds):
             q = np.stack([1 - post, post])
             self.chance = np.stack([(q @ s + 0.5 * (k + 1) / 6 + 0.05) / (q.sum(1, keepdims=True) + 1.0) for k, s in enumerate(said)])  # vote, class, voter
+            if belief is not None:
+                total = q.sum(1)[None, :, None]
+                self.chance = (self.chance * total + np.array(belief)[:, :, None] * strength * len(votes)) / (total + strength * len(votes))
             self.chance /= self.chance.sum(0, keepdims=True)
             self.prior = float(np.clip(post.mean(), 1e-4, 1 - 1e-4))
             if r == rounds // 2:
