@@ -207,7 +207,7 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[
         now = _labelled(posting, labels)
         best = (
             now.alias("x").join(_leaders(now).select("t", "lead").alias("l"), "t").select("x.*", F.col("lead.*"))
-            .filter(f"label != llabel and {_reach('n', 'at', 'ln', 'least(need, lneed)', percent)} and {_reach('ln', 'lat', 'n', 'least(need, lneed)', percent)}")
+            .filter(f"label != llabel and {_reach('n', 'at', 'ln', 'least(need, lneed)', percent)} and {_reach('ln', 'lat', 'n', 'least(need, lneed)', percent)} and {_room('', 'l', percent)}")
             .groupBy(F.col("doc_id").alias("b"), F.col("lid").alias("a"), F.least("need", "lneed").alias("need")).count().filter("count >= need")
         )
         if tried is not None:
@@ -229,7 +229,7 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[
     need = "least(x.need, y.need)"
     left = (
         sides.filter("label != al").alias("x")
-        .join(sides.alias("y"), F.expr(f"x.t = y.t and x.label != y.label and {_reach('x.n', 'x.at', 'y.n', need, percent)} and {_reach('y.n', 'y.at', 'x.n', need, percent)}"))
+        .join(sides.alias("y"), F.expr(f"x.t = y.t and x.label != y.label and {_reach('x.n', 'x.at', 'y.n', need, percent)} and {_reach('y.n', 'y.at', 'x.n', need, percent)} and {_room('x.', 'y.', percent)}"))
         .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.expr(f"{need} as need"), F.expr("if(y.label != y.al, 1, 2) as w"))
         .groupBy("a", "b", "need").agg(F.sum("w").alias("shared")).filter("shared >= 2 * need").select("a", "b")
     )
@@ -247,7 +247,7 @@ def _labelled(posting: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _leaders(now: DataFrame) -> DataFrame:
     """Of each posting list that spans components: the document with the smallest unique share."""
-    lead = F.struct((F.col("u") / F.col("n")).alias("share"), F.col("doc_id").alias("lid"), F.col("label").alias("llabel"), F.col("n").alias("ln"), F.col("at").alias("lat"), F.col("need").alias("lneed"))
+    lead = F.struct((F.col("u") / F.col("n")).alias("share"), F.col("doc_id").alias("lid"), F.col("label").alias("llabel"), F.col("n").alias("ln"), F.col("u").alias("lu"), F.col("at").alias("lat"), F.col("need").alias("lneed"))
     return now.groupBy("t").agg(F.min(lead).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
 
 
@@ -259,6 +259,12 @@ def _reach(n: str, at: str, other: str, need: str, percent: int) -> str:
     return f"{percent} * ({n} + {other}) <= (100 + {percent}) * ({n} + {need} - {at} - 1)"
 
 
+def _room(x: str, y: str, percent: int) -> str:
+    """Whether a pair that shares a token at these positions can share enough: what came before it, less the unique tokens, it, and what follows."""
+    before, after = f"least({x}at - {x}u, {y}at - {y}u)", f"least({x}n - {x}at, {y}n - {y}at)"
+    return f"(100 + {percent}) * ({before} + {after}) >= {percent} * ({x}n + {y}n)"
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document; component_id is the smallest doc_id reachable by links."""
     members, edges = links(docs, percent, width)
