@@ -1,14 +1,15 @@
 """Packing of tokenised documents into sequences of at most ``SEQUENCE`` tokens by non-negative least squares.
 
-1. A first pass counts document lengths modulo the sequence in bins of ``BIN`` tokens (whole sequences of a long document fill
+1. Every text is tokenised once and its ids are written to the shared folder (two bytes an id where the vocabulary allows). Their
+   lengths are counted modulo the sequence in bins of ``BIN`` tokens (whole sequences of a long document fill
    themselves): a histogram of ``SEQUENCE / BIN`` counts, whatever the corpus.
 2. Shallow combinations of bins whose upper bounds fill a sequence are enumerated, and non-negative least squares finds how
    often each is to be used so that together they meet the histogram.
-3. The second pass packs each partition in groups of about ``GROUP_TOKENS`` tokens: it rounds the counts to the group's share,
+3. A pass over the ids packs each partition in groups of about ``GROUP_TOKENS`` tokens: it rounds the counts to the group's share,
    fills sequences with whole documents by them, and greedily cuts the residual documents into the room left. The last rest of
    a group is cut into sequences of a power of two, so there is no padding.
 
-No text is shuffled, and memory is one group's tokens. The result depends on how the input is split into partitions, but for one
+No text is shuffled, and memory is one group's tokens. The result depends on how the ids are split into partitions, but for one
 input it is repeatable. Null and empty texts are one token, the end token. Sequence ids are unique: partition, then number.
 Repeated rows are packed as often as they occur; extra columns are ignored.
 """
@@ -16,15 +17,17 @@ Repeated rows are packed as often as they occur; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Words
-from .support import map_arrow
+from .support import map_arrow, stored
 
 SEQUENCE = 4096
 BIN = 64
@@ -35,12 +38,20 @@ CACHE_WORDS = 1 << 20
 
 
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer that treats white-space separated words on their own, each distinct word once."""
+    """Ids of whole texts from a tokenizer that lower-cases and treats white-space separated words on their own, each distinct
+    word once. A final point or comma after an ASCII letter or digit is a word of its own to it, and so here."""
+
+    #: Words of plain letters are handed over in lines of so many.
+    LINE = 128
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.small = len(self.ends_word) <= 1 << 16
         self._clear()
 
     def _clear(self) -> None:
@@ -50,42 +61,71 @@ class WordTokenizer:
         self.offset = np.zeros(1 << 16, dtype=np.int64)
         self.length = np.zeros(1 << 16, dtype=np.int64)
 
-    def _learn(self, words: Words, which: np.ndarray, hashes: list[int]) -> None:
-        raw = words.buf
-        texts = [raw[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(words.start[which].tolist(), words.end[which].tolist(), strict=True)]
-        n = len(self.at)
-        if n + len(texts) > len(self.offset):
-            grow = max(len(self.offset) * 2, n + len(texts))
-            self.offset, self.length = np.resize(self.offset, grow), np.resize(self.length, grow)
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and how many each has."""
         encoded = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lens = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-        total = int(lens.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.resize(self.flat, max(len(self.flat) * 2, self.used + total))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in encoded for i in x), dtype=np.uint32, count=total)
-        self.length[n : n + len(texts)] = lens
-        self.offset[n : n + len(texts)] = self.used + np.cumsum(lens) - lens
-        self.used += total
-        self.at.update(zip(hashes, range(n, n + len(texts)), strict=True))
+        return np.fromiter(chain.from_iterable(encoded), dtype=np.uint32, count=int(lens.sum())), lens
+
+    def _learn(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray, hashes: np.ndarray) -> None:
+        raw = buf.tobytes()
+        word = lambda at: [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        easy, hard = np.flatnonzero(plain), np.flatnonzero(~plain)
+        texts = word(easy)
+        ids, _ = self._encode([" ".join(texts[i : i + self.LINE]) for i in range(0, len(texts), self.LINE)])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == len(easy):
+            lens = np.diff(ends, prepend=0)
+        else:  # a vocabulary that does not mark word ends
+            ids, lens = self._encode(texts)
+        more, more_lens = self._encode(word(hard))
+        ids, lens, hashes = np.concatenate([ids, more]), np.concatenate([lens, more_lens]), hashes[np.concatenate([easy, hard])]
+        n = len(self.at)
+        if n + len(lens) > len(self.offset):
+            grow = max(len(self.offset) * 2, n + len(lens))
+            self.offset, self.length = np.resize(self.offset, grow), np.resize(self.length, grow)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, max(len(self.flat) * 2, self.used + len(ids)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.length[n : n + len(lens)] = lens
+        self.offset[n : n + len(lens)] = self.used + np.cumsum(lens) - lens
+        self.used += len(ids)
+        self.at.update(zip(hashes.tolist(), range(n, n + len(lens)), strict=True))
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        words = Words(texts)
-        h, one, back = np.unique(words.hash, return_index=True, return_inverse=True)
+        # the added tokens' strings are told from others by case, so texts that may hold one are not lower-cased before
+        words = Words(texts, lower=not pc.any(pc.match_substring(texts, "<|")).as_py())
+        buf, start, end, first = words.buf, words.start, words.end, words.first
+        alnum = ((buf >= 48) & (buf <= 57)) | ((buf | 32) >= 97) & ((buf | 32) <= 122)
+        if len(start):
+            cut = ((buf[end - 1] == 46) | (buf[end - 1] == 44)) & (end - start > 1) & alnum[np.maximum(end - 2, 0)]
+            first = first + np.concatenate(([0], np.cumsum(cut)))[first]
+            twice = np.repeat(np.arange(len(start)), 1 + cut)
+            tail = np.zeros(len(twice), dtype=bool)
+            tail[1:] = twice[1:] == twice[:-1]
+            head = cut[twice] & ~tail
+            start, end = np.where(tail, end[twice] - 1, start[twice]), np.where(head, end[twice] - 1, end[twice])
+        h, one, back = np.unique(words.span_hash(start, end), return_index=True, return_inverse=True)
         if len(self.at) > CACHE_WORDS:
             self._clear()
         keys = h.tolist()
-        at = np.fromiter((self.at.get(x, -1) for x in keys), dtype=np.int64, count=len(keys))
+        at = np.fromiter(map(self.at.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
         new = np.flatnonzero(at < 0)
         if len(new):
-            self._learn(words, one[new], [keys[i] for i in new])
-            at[new] = np.arange(len(self.at) - len(new), len(self.at))
+            # a-z and the letters of U+00C0 to U+00FF only: one word to the tokenizer
+            after = np.zeros(len(buf), dtype=bool)
+            after[1:] = (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+            odd = np.concatenate(([0], np.cumsum(~(((buf >= 97) & (buf <= 122)) | (buf == 0xC3) | after))))
+            s, e = start[one[new]], end[one[new]]
+            self._learn(buf, s, e, odd[e] == odd[s], h[new])
+            at[new] = np.fromiter(map(self.at.__getitem__, h[new].tolist()), dtype=np.int64, count=len(new))
         at = at[back]
         lens, offs = self.length[at], self.offset[at]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(offs - (ends - lens), lens) + np.arange(total)]
-        cuts = np.concatenate(([0], ends))[words.first]
+        cuts = np.concatenate(([0], ends))[first]
         return [ids[cuts[i] : cuts[i + 1]] for i in range(words.n)]
 
 
@@ -208,22 +248,22 @@ def pack(lengths: list[int], wanted: list[tuple[np.ndarray, float]], total: floa
     return out
 
 
-def _lengths(path: str):
+def _tokens(path: str):
     def step(batches):
         t = tokenizer(path)
-        count = np.zeros(SEQUENCE // BIN, dtype=np.int64)
+        kind = np.dtype("<u2" if t.small else "<u4")
         for b in batches:
-            rest = np.array([len(x) + 1 for x in t(b.column("text"))], dtype=np.int64) % SEQUENCE
-            count += np.bincount((rest[rest > 0] - 1) // BIN, minlength=len(count))
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["bin", "count"])
+            ids = [np.append(x, np.uint32(END_ID)).astype(kind) for x in t(b.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(np.full(len(ids), kind.itemsize, np.int32)), pa.array([x.tobytes() for x in ids], pa.binary())],
+                names=["doc_id", "n", "width", "ids"],
+            )
 
     return step
 
 
-def _pieces(path: str, wanted, total: float):
+def _pieces(wanted, total: float):
     def step(batches):
-        t = tokenizer(path)
         number = TaskContext.get().partitionId() << 32
 
         def close(docs: list[int], ids: list[np.ndarray]):
@@ -242,10 +282,10 @@ def _pieces(path: str, wanted, total: float):
         ids: list[np.ndarray] = []
         held = 0
         for b in batches:
-            for doc, x in zip(b.column("doc_id").to_pylist(), t(b.column("text")), strict=True):
+            for doc, width, x in zip(b.column("doc_id").to_pylist(), b.column("width").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 docs.append(doc)
-                ids.append(np.append(x, np.uint32(END_ID)))
-                held += len(x) + 1
+                ids.append(np.frombuffer(x, dtype=f"<u{width}"))
+                held += len(ids[-1])
                 if held >= GROUP_TOKENS:
                     yield close(docs, ids)
                     docs, ids, held = [], [], 0
@@ -257,11 +297,12 @@ def _pieces(path: str, wanted, total: float):
 
 def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every document's ids and its end token."""
-    docs = docs.select("doc_id", "text")
-    counts = map_arrow(docs, _lengths(tokenizer_path), "bin long, count long").groupBy("bin").agg(F.sum("count").alias("count")).collect()
+    tokens = stored(map_arrow(docs.select("doc_id", "text"), _tokens(tokenizer_path), "doc_id long, n long, width int, ids binary"), "tokens")
+    rest = F.col("n") % SEQUENCE
+    counts = tokens.filter(rest > 0).groupBy(F.expr(f"(n % {SEQUENCE} - 1) div {BIN}").alias("bin")).count().collect()
     histogram = np.zeros(SEQUENCE // BIN, dtype=np.int64)
     for r in counts:
         histogram[r["bin"]] = r["count"]
     wanted, total = plan(histogram)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return map_arrow(docs, _pieces(tokenizer_path, wanted, total), schema)
+    return map_arrow(tokens.select("doc_id", "width", "ids"), _pieces(wanted, total), schema)
