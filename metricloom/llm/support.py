@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python; a single longer row still travels whole.
-ARROW_BATCH_BYTES = 4 << 20
+ARROW_BATCH_BYTES = 1 << 20
 #: Largest bitmap: 2**28 bits, 32 MB. Past that a bitmap only filters less, it never loses a row.
 MAX_BITS_LOG2 = 28
 MIN_BITS_LOG2 = 20
@@ -51,9 +53,20 @@ def discard(*frames: DataFrame) -> None:
 
 
 def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches bounded in bytes."""
+    """``mapInArrow`` with batches bounded in bytes; a worker gives freed memory back to the system after each partition."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-    return df.mapInArrow(step, schema)
+
+    def run(batches):
+        yield from step(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
 
 
 def bits_log2(n: int, per_item: int = 8) -> int:
