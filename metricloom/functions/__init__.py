@@ -1 +1 @@
-
+"""Column-level functions: filters, formulas, time grains and formats."""

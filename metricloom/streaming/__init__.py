@@ -1 +1 @@
-
+"""Scheduled and streaming alert scans, and an event-time extension."""
