@@ -161,7 +161,7 @@ def sanity_checks(spark, d):
 
 
 # series
-@query("select range::date period, year(range) as year, quarter(range) as quarter, month(range) as month, weekofyear(range) "week", isodow(range) weekday, isodow(range)<6 is_workday from range(date '2024-01-01', date '2024-04-01', interval 1 day)")
+@query("select range::date period, year(range) as year, quarter(range) as quarter, month(range) as month, weekofyear(range) as \"week\", isodow(range) weekday, isodow(range)<6 is_workday from range(date '2024-01-01', date '2024-04-01', interval 1 day)")
 def calendar_spine(spark, d):
     from ..functions.timegrain import calendar
 
