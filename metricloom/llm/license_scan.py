@@ -59,6 +59,8 @@ RULES = (
 )
 #: A rule of the first licence that matches hides the second's.
 STRONGER = (("BSD-3-Clause", "BSD-2-Clause"),)
+#: Letters that stand together in every known sentence, one of these in each, so a text without any has no known sentence.
+MARKERS = ("licen", "software", "permi", "copyright", "redistribution", "rights", "domain", "program", "cc0")
 _CLEAN = "(?<![0-9v])\\.|\\.(?![0-9 ])|[^a-z0-9.]+|\\.$"
 
 
@@ -80,9 +82,13 @@ def scan(docs: DataFrame) -> DataFrame:
     known = sorted(s for texts in SENTENCES.values() for s in texts)
     # only a sentence of a known length can be known: most are dropped before the lookup
     sizes = sorted({len(s) for s in known})
-    find = lambda text: F.transform(
+    low = F.lower("text")
+    possible = low.contains(MARKERS[0])
+    for m in MARKERS[1:]:
+        possible = possible | low.contains(m)
+    find = lambda text: F.when(possible, F.transform(
         F.filter(sentences(text), lambda s: F.length(s).isin(*sizes) & s.isin(*known)), lambda s: F.element_at(_known(), s)
-    )
+    )).otherwise(F.array().cast("array<string>"))
     # a text may wrap its sentences over lines: of the readings by line and across lines the one that knows more counts
     found = docs.select("doc_id", find(F.col("text")).alias("lines"), find(F.regexp_replace("text", "[ \\t]*[\\n\\r]+[ \\t]*", " ")).alias("wrapped"))
     found = found.select("doc_id", F.when(F.size("wrapped") > F.size("lines"), F.col("wrapped")).otherwise(F.col("lines")).alias("sentence_ids"))
