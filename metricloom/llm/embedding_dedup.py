@@ -79,8 +79,10 @@ def _linked(i: np.ndarray, j: np.ndarray, key: np.ndarray, sets: np.ndarray, x:
         common = (sets[p][:, :, None] == sets[q][:, None, :]).any(2) & (sets[p] >= 0)
         ranked = np.where(common, sets[p], np.iinfo(np.int64).max >> 32)
         ranked.sort(1)
+        size = np.minimum((sets[p] >= 0).sum(1), (sets[q] >= 0).sum(1))
         first = (ranked[:, 0] << 31) + ranked[:, 1] if sets.shape[1] > 1 else ranked[:, 0]
-        use = (common.sum(1) >= min(shared, sets.shape[1])) & (first == k)
+        first = np.where(size == 1, ranked[:, 0], first)
+        use = (common.sum(1) >= np.minimum(shared, size)) & (first == k)
         p, q = p[use], q[use]
         use = np.einsum("nd,nd->n", x[p], x[q]) >= threshold
         out.append((p[use], q[use]))

@@ -12,9 +12,9 @@ _OP3 = f"""with recursive d as (select doc_id, {_WORDS.format(text='lower("text"
  pair as (select distinct doc_id, item_id from (select doc_id, unnest(s) t from ds) join (select item_id, unnest(s) t from bs) using (t)),
  win as (select doc_id, item_id, m, n, bs.s item, ds.s doc, unnest(range(0, greatest(n - m, 0) + 1)) as p from pair join ds using (doc_id) join bs using (item_id)),
  cut as (select doc_id, item_id, p as start, least(m, n - p) n_words, item, doc[p + 1 : p + least(m, n - p) - 4] part from win),
- sim as (select doc_id, item_id, start, n_words, len(item) + len(part) size, list_sum(list_transform(list_distinct(item), lambda h: least(len(list_filter(part, lambda x: x = h)), len(list_filter(item, lambda x: x = h))))) both from cut where len(list_intersect(part, item)) * 100 >= 30 * len(list_distinct(item)))
- select doc_id, item_id, start, n_words, both / (size - both) similarity from sim where both * 100 >= 80 * (size - both)
- qualify row_number() over (partition by doc_id, item_id order by both / (size - both) desc, start) = 1"""
+ sim as (select doc_id, item_id, start, n_words, len(item) + len(part) size, list_sum(list_transform(list_distinct(item), lambda h: least(len(list_filter(part, lambda x: x = h)), len(list_filter(item, lambda x: x = h))))) shared from cut where len(list_intersect(part, item)) * 100 >= 30 * len(list_distinct(item)))
+ select doc_id, item_id, start, n_words, shared / (size - shared) similarity from sim where shared * 100 >= 80 * (size - shared)
+ qualify row_number() over (partition by doc_id, item_id order by shared / (size - shared) desc, start) = 1"""
 
 _BITS = "array_to_string(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', substr(h, i, 1))]), '')"
 _B32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (16 * substr(b, 5 * i + 1, 1)::int + 8 * substr(b, 5 * i + 2, 1)::int + 4 * substr(b, 5 * i + 3, 1)::int + 2 * substr(b, 5 * i + 4, 1)::int + substr(b, 5 * i + 5, 1)::int)::int, 1)), '')"

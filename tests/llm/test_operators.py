@@ -1,0 +1,418 @@
+"""Each operator against a brute-force version on small tables, and on nulls, blanks, ties, empty tables and clashing columns."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from metricloom.llm import decontaminate, embedding_dedup, license_scan, ngram_join, packing, quality, substring_dedup, support, toxicity, url_filter, warc
+from metricloom.llm.weak import LabelModel
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n string, rep string, label string"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def corpus(seed=3):
+    """Copies, near copies, shared passages, blanks, nulls, a very long text and very frequent words."""
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    base, passage = text(120), text(60)
+    rows = [(0, None), (1, ""), (2, " \n\t "), (3, "one two"), (4, "two one"), (5, "One  TWO"), (6, base), (7, base), (8, base.upper())]
+    for i in range(9, 40):
+        w = base.split()
+        for _ in range(r.randint(1, 6)):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        rows.append((i, " ".join(w)))
+    rows += [(i, f"{text(30)} {passage} {text(30)}") for i in range(40, 60)]
+    rows += [(i, text(r.randint(1, 80))) for i in range(60, 80)]
+    rows += [(80, text(6000)), (81, "the " * 500), (82, "the " * 500 + "end"), (83, text(49)), (84, text(50))]
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", "z") for i, t in rows], DOCS)
+
+
+def reach(ids, links):
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+# -- 6
+
+
+def jaccard_brute(rows):
+    sets = {}
+    for i, t in rows:
+        w = words(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    return sets, reach(sets, links)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_ngram_join(spark, seed):
+    rows = corpus(seed)
+    sets, component = jaccard_brute(rows)
+    got = {r.doc_id: r for r in ngram_join.jaccard_components(frame(spark, rows)).collect()}
+    assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
+    assert {i: r.component_id for i, r in got.items()} == component
+    kept = ngram_join.keep_one(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, c in component.items() if i == c}
+
+
+def test_ngram_join_many_near_copies_of_each_other(spark):
+    """A group whose members are near the base, not each other, and members that link with nothing."""
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(1000, " ".join(base))]
+    for i in range(60):
+        w = list(base)
+        for k in r.sample(range(200), r.choice((1, 3, 4, 5, 8))):
+            w[k] = f"x{i}-{k}" if i % 2 else f"x{k}"
+        rows.append((i, " ".join(w)))
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(frame(spark, rows)).collect()} == jaccard_brute(rows)[1]
+
+
+# -- 8
+
+
+def substring_brute(rows, k=50):
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        w = words(t)
+        windows = [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]
+        gone = {x for j, g in enumerate(windows) if g in first for x in range(j, j + k)}
+        for g in windows:
+            first.setdefault(g, i)
+        # a window that starts again in its own first document stays
+        gone = {x for j, g in enumerate(windows) if first[g] < i for x in range(j, j + k)}
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        out[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return out
+
+
+def test_substring_dedup(spark):
+    rows = [*corpus(), (-5, corpus()[6][1] + " tail")]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(frame(spark, rows)).collect()}
+    assert got == substring_brute(rows)
+
+
+def test_cut_documents(spark):
+    rows = corpus()
+    want = substring_brute(rows)
+    got = {r.doc_id: r for r in substring_dedup.cut_documents(frame(spark, rows)).collect()}
+    assert set(got) == {i for i, (n, gone, _) in want.items() if not gone or gone < n}
+    for i, r in got.items():
+        if want[i][1]:
+            assert hashlib.sha256(r.text.encode()).hexdigest() == want[i][2] and r.n_chars == len(r.text)
+        else:
+            assert r.text == dict(rows)[i]
+
+
+# -- 3
+
+
+def windows_brute(rows, items):
+    out = {}
+    for d, t in rows:
+        w = words((t or "").lower())
+        doc = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        for i, u in items:
+            v = words((u or "").lower())
+            item = collections.Counter(tuple(v[k : k + 5]) for k in range(len(v) - 4))
+            n = sum(item.values())
+            best = None
+            for start in range(max(len(doc) - n, 0) + 1) if n and doc else ():
+                part = collections.Counter(doc[start : start + n])
+                both = sum((part & item).values())
+                share = both / (sum(part.values()) + n - both)
+                if share >= 0.8 and (best is None or share > best[0]):
+                    best = (share, start)
+            if best:
+                out[d, i] = best
+    return out
+
+
+def test_decontaminate(spark):
+    r = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(300)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(i, text(n)) for i, n in enumerate((15, 30, 30, 57, 4, 5, 200))]
+    items[2] = (2, items[1][1])
+    rows = [(0, None), (1, ""), (2, "a b"), (3, " ".join(items[0][1][:14]))]
+    for d in range(4, 40):
+        i, w = items[d % 7]
+        w = list(w)
+        for _ in range(d % 3):
+            w[r.choice((0, 1, len(w) - 1, len(w) // 2))] = "changed"
+        rows.append((d, " ".join([*text(r.randrange(30)), *w, *text(r.randrange(30))])))
+    rows.append((50, " ".join(items[3][1]).upper()))
+    items = [(i, " ".join(w)) for i, w in items] + [(90, None), (91, "")]
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
+    got = {(x.doc_id, x.item_id): (x.similarity, x.start) for x in decontaminate.matches(frame(spark, rows), bench).collect()}
+    want = windows_brute(rows, items)
+    assert set(got) == set(want) and (50, 3) in got
+    assert all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1] == want[k][1] for k in want)
+    left = {x.doc_id for x in decontaminate.drop_contaminated(frame(spark, rows), bench).collect()}
+    assert left == {d for d, _ in rows} - {d for d, _ in want}
+
+
+# -- 4
+
+
+def test_packing(spark):
+    rows = [*corpus(), (100, "Hello, world. <|endoftext|> It's <|ENDOFTEXT|> ÉCOLE ñandú × ÷ 3.14, σΣ Σ."), (101, "x" * 50_000), (102, " ".join(f"word{i}." for i in range(20_000)))]
+    got = packing.pack_documents(frame(spark, rows), TOKENIZER).toPandas()
+    t = Tokenizer.from_file(TOKENIZER)
+    pieces = dict(list(got.groupby("doc_id")))
+    assert set(pieces) == {i for i, _ in rows}
+    for i, text in rows:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        p = pieces[i].sort_values("start")
+        assert p.start.tolist() == [0, *np.cumsum(p.length)[:-1]] and p.length.sum() == len(ids) and (p.doc_tokens == len(ids)).all() and (p.length > 0).all()
+        assert p.ids_crc32.tolist() == [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(p.start, p.length, strict=True)]
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]]
+        total = int(s.length.sum())
+        assert total <= 4096 and total & (total - 1) == 0
+
+
+def test_plan_solves_the_histogram():
+    rng = np.random.default_rng(0)
+    a = packing.combinations(16)
+    assert (np.arange(1, 17) @ a <= 16).all()
+    x = packing.nnls(a, h := rng.integers(0, 50, 16).astype(float))
+    assert (x >= 0).all() and np.abs(a @ x - h).max() < 1e-6 * 50 + 1e-6 or np.linalg.norm(a @ x - h) <= np.linalg.norm(h)
+    assert packing.plan(np.zeros(64))[0] == []
+
+
+# -- 5
+
+
+def test_warc_round_trip(spark):
+    html = ["<p>é</p>\r\n\r\nWARC/1.1 not a header", "", None, "same", "same", "same", "x" * 100_000]
+    rows = [(i, None if i == 4 else f"http://h/{i}\r\nX: y", h, "r") for i, h in enumerate(html)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(3)
+    folder, index = warc.write_archives(pages)
+    assert index.count() == len(rows)
+    got = {r.page_id: r for r in warc.read_records(folder, index, payload=True).collect()}
+    last = {}
+    for i, h in enumerate(html):
+        last[h or ""] = i
+    for i, h in enumerate(html):
+        data, r = (h or "").encode(), got[i]
+        assert r.payload_bytes == len(data) and r.payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
+        first = last[h or ""] == i
+        assert (r.record_type, r.refers_to) == (("response", None) if first else ("revisit", last[h or ""]))
+        assert bytes(r.payload) == (data if first else b"")
+    some = warc.read_records(folder, index.filter("page_id in (0, 6)"))
+    assert {r.page_id for r in some.collect()} == {0, 6}
+    folder, index = warc.write_archives(pages, least=5)
+    assert {r.page_id: r.record_type for r in index.collect()}[3] == "response"
+
+
+def test_ranges_are_coalesced():
+    assert warc._ranges(np.array([0, 10, 500, 510]), np.array([10, 10, 10, 10]), 100, 20) == [(0, 2), (2, 4)]
+    assert warc._ranges(np.array([0, 90, 180]), np.array([90, 90, 90]), 200, 20) == [(0, 2), (2, 3)]
+    assert warc._ranges(np.array([0]), np.array([10_000]), 100, 20) == [(0, 1)]
+
+
+# -- 7
+
+
+def test_embedding_dedup(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(60, 16))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
+    rows += [(100 + i, [float(x) for x in base[i % 5] + rng.normal(scale=0.02, size=16)]) for i in range(80)]
+    rows += [(200 + i, [float(x) for x in base[7] * (1 + i % 3)]) for i in range(30)] + [(240 + i, rows[8][1]) for i in range(5)]
+    rows += [(300, None), (301, []), (302, [0.0] * 16), (303, [float("nan")] * 16), (304, [None] * 16), (305, [float("inf")] * 16), (306, [1.0, 2.0]), (307, [2.0, 4.0])]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, label int, links int")
+    good = {i: np.float32(v).astype(float) for i, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)}
+    cos = lambda a, b: len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.95
+    links = [(a, b) for a in good for b in good if a < b and cos(good[a], good[b])]
+    component, count = reach([i for i, _ in rows], links), collections.Counter(x for p in links for x in p)
+    for block in (1024, 8):
+        got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, block=block).collect()}
+        found = sum(r.n_links for r in got.values()) / 2
+        assert 0.9 * len(links) <= found <= len(links) and all(r.n_links <= count[i] for i, r in got.items())
+        assert {i: r.component_id for i, r in got.items()} == component
+        assert all(r.kept == (i == r.component_id) for i, r in got.items()) and got[302].n_links == 0
+
+
+# -- 10 and 1
+
+
+def test_toxicity_learns_terms_and_holds_out(spark):
+    r = random.Random(1)
+    plain = [f"p{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(1500):
+        bad = i % 5 == 0
+        w = [r.choice(plain) for _ in range(30)]
+        if bad:
+            w[r.randrange(30)] = r.choice(["vexxer", "vexxing", "grolk"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    rows += [(5000, None), (5001, ""), (5002, "vexxion! p3"), (5003, "the " * 20000)]
+    docs, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, known)
+    got = {x.doc_id: x for x in toxicity.score(docs, model).collect()}
+    assert all(x.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, x in got.items())
+    held = [(got[i].predicted, y) for i, _, y in labels if got[i].held_out]
+    assert np.mean([p == y for p, y in held]) > 0.97
+    assert got[5002].predicted == 1 and got[5000].score == got[5001].score < 0.5
+    # labels of held-out rows are not looked at
+    flipped = known.withColumn("toxic", F.when(toxicity.fold() == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert np.allclose(toxicity.fit(docs, flipped).weights, model.weights)
+    kept = toxicity.drop_toxic(docs, known)
+    assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, x in got.items() if not x.predicted}
+
+
+def test_label_model_finds_accuracies():
+    rng = np.random.default_rng(0)
+    y = rng.random(4000) < 0.4
+    right = np.array([0.9, 0.8, 0.7, 0.6])
+    votes = np.where(rng.random((4000, 4)) < right, y[:, None], ~y[:, None]).astype(np.int8)
+    votes[rng.random(votes.shape) < 0.2] = -1
+    votes = np.concatenate([votes, votes[:, :1]], axis=1)
+    model = LabelModel(0.5).fit(votes, np.clip((votes == 1).mean(1) + 0.2, 0.1, 0.9))
+    assert np.abs(model.accuracies()[1:4] - right[1:]).max() < 0.1
+    assert model.weight[0] < 0.8 < model.weight[2]
+    assert ((model.posterior(votes) > 0.5) == y).mean() > 0.85
+
+
+def test_quality_without_labels(spark):
+    r = random.Random(2)
+    text = lambda n: " ".join(r.choice(["the", "garden", "is", "green.", "and", "water", "runs", "over", "stones.", f"t{r.randrange(900)}"]) for _ in range(n)).capitalize() + "."
+    rows, good = [], {}
+    for i in range(600):
+        t = text(60)
+        kind = i % 10
+        if kind == 0:
+            t = " ".join(w + r.choice(("%%%", "***", "###")) for w in t.split())
+        elif kind == 1:
+            t = t.upper().replace(" ", "!! ")
+        elif kind == 2:
+            t = "Again " * 200
+        rows.append((i, t))
+        good[i] = kind > 2
+    rows += [(900, None), (901, ""), (902, "x"), (903, "the garden is green. " * 5000)]
+    docs = frame(spark, rows)
+    got = {x.doc_id: x for x in quality.score(docs, quality.fit(docs)).collect()}
+    assert np.mean([got[i].kept == g for i, g in good.items()]) > 0.97
+    assert not got[900].kept and not got[901].kept and got[900].score == got[901].score
+
+
+# -- 2
+
+
+def rule_brute(url):
+    rest = (url or "").partition("://")[2]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = re.sub("[A-Z]", lambda m: m.group().lower(), host)
+    fits = []
+    for action, rule in url_filter.RULES:
+        h, _, p = rule.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
+            fits.append((len(rule), rule, action))
+    return (host, path, *(max(fits)[1:] if fits else (None, None)))
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no scheme", "http://", "http://A.Example.COM/en/700?x", "https://example.com/en/1", "http://net/de/", "http://b.net/de/8", "http://x.example.net/de/81#f", "ftp://org/es/?q",
+            "http://com/EN/", "http://examplecom/en/", "http://h?x://y/z", "http://É.COM/en/", "http://a\nb.org/es/x", "http://casino-pills.example.info/en/5", "http://garden.example.info/en/5"]
+    df = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string")
+    for r in url_filter.judge(df).collect():
+        host, path, rule, action = rule_brute(urls[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict in ("allow", "block") and (action is None or r.verdict == action)
+    got = {r.page_id: r.verdict for r in url_filter.judge(df).collect()}
+    assert got[15] == "block" and got[16] == "allow"
+
+
+def test_trees_generalise():
+    rows = url_filter.seed_urls()
+    random.Random(0).shuffle(rows)
+    cut = len(rows) * 3 // 4
+    trees, suffixes = url_filter.fit(rows[:cut])
+    p = trees.predict(url_filter.features([u for u, _ in rows[cut:]], suffixes)) >= 0.5
+    assert np.mean(p == np.array([y for _, y in rows[cut:]])) > 0.9
+
+
+# -- 9
+
+
+def test_license_scan(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n"
+    rows = [(0, None), (1, ""), (2, "Some text.\nReleased under the MIT License."), (3, mit), (4, "Licensed under CC BY-NC 4.0.\nwords\nAll rights reserved."), (5, "Released under the MIT License. " * 3), (6, "A license of another kind."), (7, "x " * 50_000 + "\nLicensed under the Apache License, Version 2.0.")]
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert {i: list(r.licenses) for i, r in got.items()} == {0: [], 1: [], 2: ["MIT"], 3: ["MIT"], 4: ["CC-BY-NC-4.0", "proprietary"], 5: ["MIT"], 6: [], 7: ["Apache-2.0"]}
+    assert list(got[3].sentence_ids) == ["mit-grant", "mit-notice"] and list(got[5].sentence_ids) == ["mit-ref"] * 3
+    assert all(any(m in s for m in license_scan.MARKERS) for t in license_scan.SENTENCES.values() for s in t)
+
+
+# -- empty tables, components
+
+
+def test_empty_tables(spark):
+    docs = frame(spark, [])
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    folder, index = warc.write_archives(pages)
+    for df in (
+        ngram_join.jaccard_components(docs), substring_dedup.dedup(docs), decontaminate.matches(docs, spark.createDataFrame([], "item_id long, text string")), packing.pack_documents(docs, TOKENIZER),
+        warc.read_records(folder, index), embedding_dedup.near_duplicates(vectors), url_filter.judge(pages), license_scan.scan(docs), toxicity.score(docs, toxicity.fit(docs, labels)), quality.score(docs, quality.fit(docs)),
+    ):
+        assert df.count() == 0
+
+
+def test_components_of_long_chains(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(200, 100), (150, 200)] + [(i, i) for i in range(300, 303)]
+    got = {r.node: r.label for r in support.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 150: 100, 200: 100}
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "substring_dedup", "decontamination", "packing"]
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    frames = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        frames.append(stage(spark, frames[-1], d).persist())
+        assert len(frames) == len(corpus_pipeline.STAGES) + 1 or frames[-1].columns == docs.columns
+    rows = [(r.doc_id, r.text) for r in frames[1].collect()]
+    component = jaccard_brute(rows)[1]
+    assert {r.doc_id for r in frames[2].collect()} == {i for i, c in component.items() if i == c}
+    want = substring_brute([(r.doc_id, r.text) for r in frames[2].collect()])
+    assert {r.doc_id for r in frames[3].collect()} == {i for i, (n, gone, _) in want.items() if not gone or gone < n}
+    bad = windows_brute([(r.doc_id, r.text) for r in frames[3].collect()], [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()])
+    assert {r.doc_id for r in frames[4].collect()} == {r.doc_id for r in frames[3].collect()} - {i for i, _ in bad}
+    assert {r.doc_id for r in frames[5].collect()} == {r.doc_id for r in frames[4].collect()}
