@@ -33,8 +33,8 @@ SEQUENCE = 4096
 BIN = 64
 END_ID = 2
 GROUP_TOKENS = 4 << 20
-#: Words a worker remembers; past that it starts afresh.
-CACHE_WORDS = 1 << 20
+#: Words remembered within a partition; past that it starts afresh.
+CACHE_WORDS = 1 << 19
 
 
 class WordTokenizer:
@@ -52,9 +52,9 @@ class WordTokenizer:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.small = len(self.ends_word) <= 1 << 16
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.at: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
@@ -108,7 +108,7 @@ class WordTokenizer:
             start, end = np.where(tail, end[twice] - 1, start[twice]), np.where(head, end[twice] - 1, end[twice])
         h, one, back = np.unique(words.span_hash(start, end), return_index=True, return_inverse=True)
         if len(self.at) > CACHE_WORDS:
-            self._clear()
+            self.clear()
         keys = h.tolist()
         at = np.fromiter(map(self.at.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
         new = np.flatnonzero(at < 0)
@@ -258,6 +258,7 @@ def _tokens(path: str):
                 [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(np.full(len(ids), kind.itemsize, np.int32)), pa.array([x.tobytes() for x in ids], pa.binary())],
                 names=["doc_id", "n", "width", "ids"],
             )
+        t.clear()
 
     return step
 
