@@ -25,8 +25,8 @@ PERCENT = 80
 WIDTH = 5
 BLOCKS = 4
 RADIUS = 15
-#: Benchmark shingles up to this number are broadcast (16 MB); beyond it the join shuffles.
-BROADCAST_SHINGLES = 1 << 21
+#: Benchmark shingles up to this number are broadcast (about 32 bytes each, 32 MB); beyond it the join shuffles.
+BROADCAST_SHINGLES = 1 << 20
 _SPACE = " \t\n\x0b\f\r"
 
 

@@ -14,7 +14,9 @@ A document is the set of its distinct word shingles (64-bit hashes). Steps, all
    one for each document; members of one component need no comparison with each other. After that, the pairs left are those
    across components of documents that are not in their leader's component, with length and unique-share bounds.
 
-So the components are exact without all pairs of a group being made. Nulls, empty and blank texts have an empty set, link with
+Steps 2 and 3 look shingles up in bitmaps of bounded size while texts are read; past ``CAPACITY`` prefix shingles, where such
+bitmaps would tell nothing any more, they are joins on the shingle. Either way the components are exact, and all pairs of a group
+are never made. Nulls, empty and blank texts have an empty set, link with
 nothing and form a component of their own. Repeated rows of one id count once. Extra columns are ignored.
 """
 
@@ -38,6 +40,9 @@ FREQUENT = 1 << 16
 VERIFY_COST = 20.0
 PERCENT = 80
 WIDTH = 5
+#: Prefix shingles up to which bitmaps (32 MB at most) still tell shared from unique ones; beyond, joins do the same.
+CAPACITY = 1 << 27
+TABLE = "doc_id long, n long, u long, base long, prefix array<long>, common binary"
 
 
 def _needed(n, percent: int):
@@ -112,12 +117,7 @@ def _prefixes(ids, id_log2: int, shared, log2: int, frequent, percent: int, widt
                 token = common[np.lexsort((common, order))][: base + MAX_MATCH - 1 - unique]
                 rows.append((doc, n, unique, base - unique, token.view(np.int64), common.tobytes()))
             if rows:
-                ids_, n, unique, base, token, common = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids_, pa.int64()), pa.array(n, pa.int64()), pa.array(unique, pa.int64()), pa.array(base, pa.int64()),
-                     list_column(np.concatenate(token), np.array([len(t) for t in token]), pa.int64()), pa.array(common, pa.binary())],
-                    names=["doc_id", "n", "u", "base", "prefix", "common"],
-                )
+                yield _table_batch(rows)
 
     return step
 
@@ -144,31 +144,18 @@ def _verify(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     return map_arrow(joined, _linked(percent), "a long, b long")
 
 
-def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(documents with n_shingles and class ``rep``, verified edges (a, b) between class representatives that span the links).
-
-    ``docs`` needs doc_id (long) and text. The edges connect exactly what the links connect; they are not all links.
-    """
+def _prefix_table(docs: DataFrame, first: DataFrame, reps: DataFrame, heads: int, percent: int, width: int) -> DataFrame | None:
+    """Steps 2 and 3 with bitmaps of bounded size: which shingles two documents have is looked up where the texts are read."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    first = stored(map_arrow(docs, _sketch_sets(percent, width), "doc_id long, n long, digest binary, head array<long>"), "sets")
-    classes = first.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    hot = first.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep")).unionByName(
-        first.filter("n > 0").select("doc_id", "n", "digest").join(classes, "digest").select("doc_id", "n", "rep")
-    )
-    members = stored(hot.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("rep").alias("rep")), "members")
-
     # 2: which classes share a hash of their plain prefixes with any other document
-    heads = first.agg(F.sum(F.size("head"))).first()[0] or 0
     log2 = bits_log2(heads)
     cells = first.select(F.explode("head").alias("t")).select(F.col("t").bitwiseAND(F.lit((1 << log2) - 1)).alias("cell"))
     bits = spark.sparkContext.broadcast(bitmap(cells.groupBy("cell").count().filter("count > 1"), log2))
     alive = map_arrow(first.select("doc_id", "head"), _survivors(bits, log2), "doc_id long")
-    ids, id_log2, n_alive = id_bitmap(alive.join(members.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi"), "doc_id")
+    ids, id_log2, n_alive = id_bitmap(alive.join(reps, "doc_id", "left_semi"), "doc_id")
     bits.unpersist()
-    discard(first)
     if not n_alive:
-        return members, spark.createDataFrame([], "a long, b long")
+        return None
     ids = spark.sparkContext.broadcast(ids)
 
     # 3: counts of all shingles of the survivors, then prefixes with the rare ones first
@@ -181,13 +168,84 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[
     by = np.argsort(often)
     frequent = spark.sparkContext.broadcast((often[by], top["c"].to_numpy()[by]))
     discard(tokens)
-    table = stored(
-        map_arrow(docs, _prefixes(ids, id_log2, shared, log2, frequent, percent, width), "doc_id long, n long, u long, base long, prefix array<long>, common binary")
-        .join(members.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi"),
-        "prefixes",
-    )
+    table = map_arrow(docs, _prefixes(ids, id_log2, shared, log2, frequent, percent, width), TABLE).join(reps, "doc_id", "left_semi")
+    table = stored(table, "prefixes")
     for x in (ids, shared, frequent):
         x.unpersist()
+    return table
+
+
+def _prefix_table_by_joins(docs: DataFrame, first: DataFrame, reps: DataFrame, heads: int, percent: int, width: int) -> DataFrame | None:
+    """Steps 2 and 3 beyond the bitmaps' capacity: the same by joins on the shingle, with the order by exact counts."""
+    head = first.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("head").alias("t"))
+    alive = stored(head.join(head.groupBy("t").count().filter("count > 1").select("t"), "t", "left_semi").select("doc_id").distinct(), "alive")
+    own = map_arrow(docs.join(alive, "doc_id", "left_semi").dropDuplicates(["doc_id"]), _tokens_of(width), "doc_id long, n long, t long")
+    own = stored(own, "own")
+    counted = own.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
+    common = own.join(counted, "t").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("by_count"))
+    table = stored(map_arrow(common.select("doc_id", "n", F.col("by_count.t").alias("t")), _prefixes_of(percent), TABLE), "prefixes")
+    discard(own, alive)
+    return table
+
+
+def _tokens_of(width: int):
+    def step(batches):
+        for b in batches:
+            sets = shingle_sets(Words(b.column("text"), lower=True), width)
+            n = np.array([len(s) for s in sets], dtype=np.int64)
+            if n.sum():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], names=["doc_id", "n", "t"]
+                )
+
+    return step
+
+
+def _prefixes_of(percent: int):
+    def step(batches):
+        for b in batches:
+            rows = []
+            for doc, n, t in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("t").to_pylist(), strict=True):
+                ordered = np.array(t, dtype=np.int64)
+                base = n - _needed(n, percent) + 1 - (n - len(ordered))
+                if base > 0:
+                    rows.append((doc, n, n - len(ordered), base, ordered[: base + MAX_MATCH - 1], np.sort(ordered.view(np.uint64)).tobytes()))
+            if rows:
+                yield _table_batch(rows)
+
+    return step
+
+
+def _table_batch(rows: list[tuple]) -> pa.RecordBatch:
+    ids, n, unique, base, token, common = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(unique, pa.int64()), pa.array(base, pa.int64()),
+         list_column(np.concatenate(token), np.array([len(t) for t in token]), pa.int64()), pa.array(common, pa.binary())],
+        names=["doc_id", "n", "u", "base", "prefix", "common"],
+    )
+
+
+def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+    """(documents with n_shingles and class ``rep``, verified edges (a, b) between class representatives that span the links).
+
+    ``docs`` needs doc_id (long) and text. The edges connect exactly what the links connect; they are not all links.
+    """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text").filter("doc_id is not null")
+    first = stored(map_arrow(docs, _sketch_sets(percent, width), "doc_id long, n long, digest binary, head array<long>"), "sets")
+    classes = first.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    hot = first.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep")).unionByName(
+        first.filter("n > 0").select("doc_id", "n", "digest").join(classes, "digest").select("doc_id", "n", "rep")
+    )
+    members = stored(hot.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("rep").alias("rep")), "members")
+
+    heads = first.agg(F.sum(F.size("head"))).first()[0] or 0
+    reps = members.filter("doc_id = rep").select("doc_id")
+    by_bitmaps = _prefix_table if heads <= capacity else _prefix_table_by_joins
+    table = by_bitmaps(docs, first, reps, heads, percent, width)
+    discard(first)
+    if table is None:
+        return members, spark.createDataFrame([], "a long, b long")
 
     # 4: postings of tokens that two documents have, and each document's length of prefix
     posting = table.select("doc_id", "n", "u", "base", F.posexplode("prefix").alias("pos", "t"))
@@ -265,9 +323,9 @@ def _room(x: str, y: str, percent: int) -> str:
     return f"(100 + {percent}) * ({before} + {after}) >= {percent} * ({x}n + {y}n)"
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document; component_id is the smallest doc_id reachable by links."""
-    members, edges = links(docs, percent, width)
+    members, edges = links(docs, percent, width, capacity)
     labels = components(edges).select(F.col("node").alias("rep"), "label")
     return members.join(labels, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
 

@@ -8,7 +8,8 @@ windows are judged on the input. Steps, over every row and whole texts:
 2. *Count-min prefilter*: each window is counted under its anchor, the smallest hash of the ``ANCHOR``-word sequences inside
    it, so equal windows have equal anchors and a run of windows has few. Each partition's sketch (cells of ``DEPTH`` hash rows
    for its documents' distinct anchors) is merged by cell, which overestimates in how many documents a window occurs, never
-   underestimates. What is kept is one bitmap a row of the cells counted twice or more, at most 32 MB each.
+   underestimates. What is kept is one bitmap a row of the cells counted twice or more, at most 32 MB each; past ``CAPACITY`` anchors the
+   merged sketch stays a table and is joined instead.
 3. *Exact pass*: only windows estimated repeated are grouped, by a 128-bit hash of their words, to the smallest doc_id that
    has them; those found in a smaller document give their positions back.
 
@@ -31,6 +32,9 @@ from .support import bitmap, bits_log2, discard, id_bitmap, id_cells, in_bitmap,
 WINDOW = 50
 ANCHOR = 12
 DEPTH = 2
+#: Anchors up to which the sketch is broadcast as bitmaps (32 MB a row at most); beyond, it is joined.
+CAPACITY = 1 << 27
+CANDIDATE = "k1 long, k2 long, doc_id long, at int"
 _SALTS = (0, 0x8CB92BA72F3D8DD7)
 
 
@@ -93,23 +97,35 @@ def _suspects(bits, log2: int):
     return step
 
 
+def _window_rows(h: np.ndarray, doc: int, at: np.ndarray, window: int) -> pa.RecordBatch:
+    k1, k2 = rolled(h, window), rolled(h, window, 0xA0761D6478BD642F)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32))], names=["k1", "k2", "doc_id", "at"]
+    )
+
+
 def _windows(ids, id_log2: int, bits, log2: int, window: int):
     def step(batches):
         for b in batches:
             b = b.filter(pa.array(in_bitmap(ids.value, id_cells(b.column("doc_id").to_numpy(zero_copy_only=False), id_log2))))
             w = Words(b.column("text"))
-            doc = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for i in range(w.n):
+            for i, doc in enumerate(b.column("doc_id").to_pylist()):
+                h = w.hash[w.first[i] : w.first[i + 1]]
+                if len(h) >= window and len(at := np.flatnonzero(_repeated(_anchors(h, window), bits.value, log2))):
+                    yield _window_rows(h, doc, at, window)
+
+    return step
+
+
+def _listed_windows(window: int):
+    def step(batches):
+        for b in batches:
+            w = Words(b.column("text"))
+            for i, (doc, anchors) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("anchors"), strict=True)):
                 h = w.hash[w.first[i] : w.first[i + 1]]
-                if len(h) < window:
-                    continue
-                at = np.flatnonzero(_repeated(_anchors(h, window), bits.value, log2))
+                at = np.flatnonzero(np.isin(_anchors(h, window), np.asarray(anchors.values).view(np.uint64)))
                 if len(at):
-                    k1, k2 = rolled(h, window), rolled(h, window, 0xA0761D6478BD642F)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), pa.array(np.full(len(at), doc[i])), pa.array(at.astype(np.int32))],
-                        names=["k1", "k2", "doc_id", "at"],
-                    )
+                    yield _window_rows(h, doc, at, window)
 
     return step
 
@@ -168,7 +184,29 @@ def _touched(ids, id_log2: int):
     return step
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, text: bool = False) -> DataFrame:
+def _by_bitmaps(docs: DataFrame, reps: DataFrame, total: int, window: int) -> DataFrame:
+    """Windows estimated repeated, by bitmaps of the sketch's cells that count twice or more."""
+    spark = docs.sparkSession
+    log2 = bits_log2(total)
+    counts = map_arrow(reps.select("anchors"), _as_cells(log2), "row int, cell long, count long").groupBy("row", "cell").agg(F.sum("count").alias("count"))
+    hot = stored(counts.filter("count > 1").select("row", "cell"), "cells")
+    bits = spark.sparkContext.broadcast([bitmap(hot.filter(f"row = {row}"), log2) for row in range(DEPTH)])
+    suspects = stored(map_arrow(reps, _suspects(bits, log2), "doc_id long"), "suspects")
+    ids, id_log2, _ = id_bitmap(suspects, "doc_id")
+    discard(hot)
+    return map_arrow(docs, _windows(spark.sparkContext.broadcast(ids), id_log2, bits, log2, window), CANDIDATE)
+
+
+def _by_joins(docs: DataFrame, reps: DataFrame, total: int, window: int) -> DataFrame:
+    """The same beyond the bitmaps' capacity: the sketch stays a table, its cells as wide as the anchors' hashes, and is joined."""
+    pairs = stored(reps.select("doc_id", F.explode("anchors").alias("anchor")), "pairs")
+    repeated = pairs.groupBy("anchor").count().filter("count > 1").select("anchor")
+    suspects = stored(pairs.join(repeated, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "suspects")
+    discard(pairs)
+    return map_arrow(docs.join(suspects, "doc_id"), _listed_windows(window), CANDIDATE)
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, text: bool = False, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) for every document; kept words are joined by one space."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
@@ -181,16 +219,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, text: bool = False) -> DataFram
     reps = first.join(copies, "doc_id", "left_anti").select("doc_id", "anchors")
 
     total = long_ones.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    log2 = bits_log2(total)
-    counts = map_arrow(reps.select("anchors"), _as_cells(log2), "row int, cell long, count long").groupBy("row", "cell").agg(F.sum("count").alias("count"))
-    hot = stored(counts.filter("count > 1").select("row", "cell"), "cells")
-    bits = spark.sparkContext.broadcast([bitmap(hot.filter(f"row = {row}"), log2) for row in range(DEPTH)])
-    suspects = stored(map_arrow(reps, _suspects(bits, log2), "doc_id long"), "suspects")
-    ids, id_log2, n = id_bitmap(suspects, "doc_id")
-    ids = spark.sparkContext.broadcast(ids)
-    discard(first, hot)
-
-    candidates = map_arrow(docs, _windows(ids, id_log2, bits, log2, window), "k1 long, k2 long, doc_id long, at int")
+    find = _by_bitmaps if total <= capacity else _by_joins
+    candidates = find(docs, reps, total, window)
+    discard(first)
     owners = candidates.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("k1", "k2", "owner")
     spots = candidates.join(owners, ["k1", "k2"]).filter("owner < doc_id").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
     spots = stored(spots, "spots")

@@ -79,6 +79,8 @@ def test_ngram_join(spark, seed):
     got = {r.doc_id: r for r in ngram_join.jaccard_components(frame(spark, rows)).collect()}
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
     assert {i: r.component_id for i, r in got.items()} == component
+    joined = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(frame(spark, rows), capacity=0).collect()}
+    assert joined == component
     kept = ngram_join.keep_one(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
     assert {r.doc_id for r in kept.collect()} == {i for i, c in component.items() if i == c}
@@ -117,8 +119,9 @@ def substring_brute(rows, k=50):
 
 def test_substring_dedup(spark):
     rows = [*corpus(), (-5, corpus()[6][1] + " tail")]
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(frame(spark, rows)).collect()}
-    assert got == substring_brute(rows)
+    for capacity in (substring_dedup.CAPACITY, 0):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(frame(spark, rows), capacity=capacity).collect()}
+        assert got == substring_brute(rows)
 
 
 def test_cut_documents(spark):
