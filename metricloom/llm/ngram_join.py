@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Words, shingle_sets
@@ -40,8 +40,8 @@ FREQUENT = 1 << 16
 VERIFY_COST = 20.0
 PERCENT = 80
 WIDTH = 5
-#: Prefix shingles up to which bitmaps (32 MB at most) still tell shared from unique ones; beyond, joins do the same.
-CAPACITY = 1 << 27
+#: Prefix shingles up to which bitmaps (16 MB at most) still tell shared from unique ones; beyond, joins do the same.
+CAPACITY = 1 << 26
 TABLE = "doc_id long, n long, u long, base long, prefix array<long>, common binary"
 
 

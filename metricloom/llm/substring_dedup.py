@@ -8,7 +8,7 @@ windows are judged on the input. Steps, over every row and whole texts:
 2. *Count-min prefilter*: each window is counted under its anchor, the smallest hash of the ``ANCHOR``-word sequences inside
    it, so equal windows have equal anchors and a run of windows has few. Each partition's sketch (cells of ``DEPTH`` hash rows
    for its documents' distinct anchors) is merged by cell, which overestimates in how many documents a window occurs, never
-   underestimates. What is kept is one bitmap a row of the cells counted twice or more, at most 32 MB each; past ``CAPACITY`` anchors the
+   underestimates. What is kept is one bitmap a row of the cells counted twice or more, at most 16 MB each; past ``CAPACITY`` anchors the
    merged sketch stays a table and is joined instead.
 3. *Exact pass*: only windows estimated repeated are grouped, by a 128-bit hash of their words, to the smallest doc_id that
    has them; those found in a smaller document give their positions back.
@@ -32,8 +32,8 @@ from .support import bitmap, bits_log2, discard, id_bitmap, id_cells, in_bitmap,
 WINDOW = 50
 ANCHOR = 12
 DEPTH = 2
-#: Anchors up to which the sketch is broadcast as bitmaps (32 MB a row at most); beyond, it is joined.
-CAPACITY = 1 << 27
+#: Anchors up to which the sketch is broadcast as bitmaps (16 MB a row at most); beyond, it is joined.
+CAPACITY = 1 << 26
 CANDIDATE = "k1 long, k2 long, doc_id long, at int"
 _SALTS = (0, 0x8CB92BA72F3D8DD7)
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python; a single longer row still travels whole.
 ARROW_BATCH_BYTES = 1 << 20
-#: Largest bitmap: 2**28 bits, 32 MB. Past that a bitmap only filters less, it never loses a row.
-MAX_BITS_LOG2 = 28
+#: Largest bitmap: 2**27 bits, 16 MB. Past that a bitmap only filters less, it never loses a row.
+MAX_BITS_LOG2 = 27
 MIN_BITS_LOG2 = 20
 
 
