@@ -135,3 +135,97 @@ def dismantling_level(df: DataFrame, parents: list[str], member: str) -> DataFra
     w = Window.partitionBy(*parents)
     out = out.withColumn("proportion", F.try_divide("current", F.sum("current").over(w)))
     return out.withColumn("rank", F.row_number().over(w.orderBy(F.desc(F.abs("contribution")), member)))
+
+
+def drill_down(df: DataFrame, member: str, child: str, value: Column, current: Column, base: Column, top: int = 5) -> DataFrame:
+    """(member, member_rank, child, current, base, delta, rank): the ``top`` members by |change| and within each its ``top`` children.
+
+    One aggregation by (member, child); the members' ranks come from its sums.
+    """
+    zero = lambda when: F.coalesce(F.sum(F.when(when, value)), F.lit(0.0))
+    cells = df.groupBy(F.col(member).alias("member"), F.col(child).alias("child")).agg(zero(current).alias("current"), zero(base).alias("base")).withColumn("delta", F.col("current") - F.col("base"))
+    best = cells.groupBy("member").agg(F.sum("delta").alias("__d")).orderBy(F.desc(F.abs("__d")), "member").limit(top)
+    best = best.withColumn("member_rank", F.row_number().over(Window.orderBy(F.desc(F.abs("__d")), "member"))).drop("__d")
+    w = Window.partitionBy("member").orderBy(F.desc(F.abs("delta")), "child")
+    return cells.join(best, "member").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("member", "member_rank", "child", "current", "base", "delta", "rank")
+
+
+def over_dimensions(df: DataFrame, dimensions: list[str], value: Column, current: Column, base: Column) -> DataFrame:
+    """(dimension, member, current, base, contribution): every dimension's members in one pass by grouping sets."""
+    keyed = df.select(*[F.col(d).cast("string").alias(d) for d in dimensions], value.alias("__v"), current.alias("__c"), base.alias("__b"))
+    zero = lambda when: F.coalesce(F.sum(F.when(F.col(when), F.col("__v"))), F.lit(0.0))
+    sets = keyed.groupingSets([[d] for d in dimensions], *dimensions).agg(F.grouping_id().alias("__g"), zero("__c").alias("current"), zero("__b").alias("base"))
+    every = (1 << len(dimensions)) - 1
+    which = {every ^ (1 << (len(dimensions) - 1 - i)): d for i, d in enumerate(dimensions)}
+    name = member = None
+    for g, d in which.items():
+        name = F.when(F.col("__g") == g, d) if name is None else name.when(F.col("__g") == g, d)
+        member = F.when(F.col("__g") == g, F.col(d)) if member is None else member.when(F.col("__g") == g, F.col(d))
+    total = F.sum("base").over(Window.partitionBy("dimension"))
+    return sets.select(name.alias("dimension"), member.alias("member"), "current", "base").withColumn("contribution", F.try_divide(F.col("current") - F.col("base"), total))
+
+
+def operand_changes(current: dict[str, float | None], base: dict[str, float | None]) -> list[tuple[str, float | None, float | None]]:
+    """(operand, change, change in percent) of the leaves of a composite measure."""
+    out = []
+    for k in current:
+        a, b = current[k], base.get(k)
+        d = None if a is None or b is None else a - b
+        out.append((k, d, None if d is None or not b else d / abs(b) * 100))
+    return out
+
+
+def linear_coefficients(expression: str) -> dict[str, float] | None:
+    """Coefficients of the members of a linear expression, or None where it is not linear."""
+    from ..functions.formula import names, tokens
+
+    members = names(expression)
+    toks = tokens(expression)
+
+    def value(at: dict[str, float]) -> float:
+        allowed = {"number", "member", "sign"}
+        if any(k not in allowed or k == "sign" and v not in "+-*/()" for k, v in toks):
+            raise ValueError(expression)
+        out: list[float] = []
+        ops: list[str] = []
+        rank = {"+": 1, "-": 1, "*": 2, "/": 2, "~": 3}
+
+        def apply() -> None:
+            op = ops.pop()
+            if op == "~":
+                out.append(-out.pop())
+                return
+            b, a = out.pop(), out.pop()
+            out.append(a + b if op == "+" else a - b if op == "-" else a * b if op == "*" else a / b)
+
+        before = "sign("
+        for k, v in toks:
+            if k == "number":
+                out.append(float(v.rstrip("%")) / (100 if v.endswith("%") else 1))
+            elif k == "member":
+                out.append(at[v])
+            elif v == "(":
+                ops.append(v)
+            elif v == ")":
+                while ops[-1] != "(":
+                    apply()
+                ops.pop()
+            else:
+                op = "~" if v == "-" and before.startswith("sign") and before != "sign)" else v
+                while ops and ops[-1] != "(" and rank[ops[-1]] >= rank[op] and op != "~":
+                    apply()
+                ops.append(op)
+            before = k + (v if k == "sign" else "")
+        while ops:
+            apply()
+        return out[0]
+
+    try:
+        zero = value(dict.fromkeys(members, 0.0))
+        got = {m: value({**dict.fromkeys(members, 0.0), m: 1.0}) - zero for m in members}
+        for probe in ({m: 2.0 + i for i, m in enumerate(members)}, {m: -3.5 * (i + 1) for i, m in enumerate(members)}):
+            if abs(value(probe) - zero - sum(got[m] * probe[m] for m in members)) > 1e-9 * (1 + abs(value(probe))):
+                return None
+    except (ValueError, ZeroDivisionError, IndexError):
+        return None
+    return got

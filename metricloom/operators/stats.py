@@ -340,3 +340,64 @@ def outliers(df: DataFrame, by: list[str], value: str, iqr: float = 1.5, z: floa
     wide = iqr * (F.col("__q3") - F.col("__q1"))
     d = d.withColumn("by_iqr", (F.col(value) < F.col("__q1") - wide) | (F.col(value) > F.col("__q3") + wide)).withColumn("by_z", F.coalesce(F.abs(F.try_divide(F.col(value) - F.col("__m"), "__s")) > z, F.lit(False)))
     return d.filter("by_iqr or by_z").drop("__q1", "__q3", "__m", "__s")
+
+
+def ks_normal(df: DataFrame, value: str) -> DataFrame:
+    """One row: n and the Kolmogorov-Smirnov distance to the normal distribution of the sample's mean and deviation, with its p."""
+    from .series import normal_cdf
+
+    n, m, s = df.agg(F.count(value), F.avg(value), F.stddev_samp(value)).first()
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
+    below = F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    d = counts.withColumn("__hi", below / n).withColumn("__lo", (below - F.col("c")) / n).withColumn("__f", normal_cdf((F.col(value) - m) / s))
+    gap = d.agg(F.max(F.greatest(F.abs(F.col("__hi") - F.col("__f")), F.abs(F.col("__lo") - F.col("__f"))))).first()[0]
+    x = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * gap
+    p = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101)) if x > 0.2 else 1.0
+    return df.sparkSession.createDataFrame([(n, gap, min(max(p, 0.0), 1.0))], "n long, d double, p double")
+
+
+def scatter(df: DataFrame, x: str, y: str, rows: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(a seeded sample of about so many points, one row with n and r of all points)."""
+    every = df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna()
+    whole = every.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
+    n = whole.first()["n"]
+    return every.sample(min(1.0, rows / max(n, 1)), seed), whole
+
+
+def group_lift(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, mean, lift_percent): group means against the mean of all rows."""
+    every = df.agg(F.avg(value).alias("__m"))
+    got = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    return got.crossJoin(every).withColumn("lift_percent", F.try_divide(F.col("mean") - F.col("__m"), F.abs("__m")) * 100).drop("__m")
+
+
+def peers(df: DataFrame, entity: str, which, columns: list[str]) -> DataFrame:
+    """(column_name, own, peer_mean, peer_std, z, percentile) of one entity among all entities."""
+    out = None
+    for c in columns:
+        own = F.max(F.when(F.col(entity) == which, F.col(c)))
+        others = F.when(F.col(entity) != which, F.col(c))
+        one = df.agg(F.lit(c).alias("column_name"), own.alias("own"), F.avg(others).alias("peer_mean"), F.stddev_samp(others).alias("peer_std"))
+        below = df.select(entity, c).crossJoin(df.agg(own.alias("__own"))).agg(F.avg(F.when(F.col(entity) != which, (F.col(c) <= F.col("__own")).cast("int"))).alias("percentile"))
+        one = one.crossJoin(below)
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("z", F.try_divide(F.col("own") - F.col("peer_mean"), F.col("peer_std")))
+
+
+def factor_loadings(df: DataFrame, columns: list[str], factors: int, rounds: int = 100) -> dict[str, list[float]]:
+    """Principal-axis factor loadings from the correlation matrix: communalities are iterated on its diagonal."""
+    _, _, cov = moments(df, columns)
+    s = np.sqrt(np.diag(cov))
+    r = cov / np.outer(s, s)
+    h = 1 - 1 / np.maximum(np.diag(np.linalg.pinv(r)), 1e-9)
+    for _ in range(rounds):
+        reduced = r.copy()
+        np.fill_diagonal(reduced, h)
+        values, vectors = np.linalg.eigh(reduced)
+        top = np.argsort(-values)[:factors]
+        loading = vectors[:, top] * np.sqrt(np.maximum(values[top], 0))
+        new = np.minimum((loading**2).sum(1), 1.0)
+        if np.abs(new - h).max() < 1e-8:
+            break
+        h = new
+    return dict(zip(columns, loading.tolist(), strict=True))

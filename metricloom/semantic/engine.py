@@ -19,7 +19,7 @@ from ..functions.formats import formatted
 from ..functions.formula import compile_formula, names
 from ..functions.timegrain import shifted, truncated
 from .catalog import Catalog, Dimension, Measure
-from .spec import And, Filter, Or, Period, QuerySpec
+from .spec import And, Filter, Period, QuerySpec
 
 ADDITIVE = {"sum", "count"}
 
