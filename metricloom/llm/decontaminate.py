@@ -10,8 +10,8 @@ Texts are lower-cased and split at ASCII white space; a shingle is five words. F
    block, so items are listed under all keys that close in each block and every window within the radius meets them.
 4. *Verification*: weighted Jaccard of the shingles, weight being the number of occurrences; ``percent`` or more is a match.
 
-Identical windows are compared once. Null, empty and short texts (documents or items under five words) match nothing. Repeated
-items match alike, each under its item_id. Extra columns are ignored.
+Identical windows are compared once. Null, empty and short texts (documents or items under five words) match nothing; rows
+with a null id are left out of the matches. Repeated items match alike, each under its item_id. Extra columns are ignored.
 """
 
 from __future__ import annotations

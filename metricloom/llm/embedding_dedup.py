@@ -12,7 +12,8 @@ Long lists are cut into blocks and every two blocks compared in a task of their
 pair returns counts of links and the edges of a spanning forest, not all pairs. At 0.95 measured recall is 1.0 on the test tables.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing: n_links 0, a component of their own. Vectors of
-other lengths are compared among their own length. Repeated vec_ids are not expected; extra columns are ignored.
+other lengths are compared among their own length. Rows with a
+null vec_id are left out; rows repeated whole link with each other; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -191,7 +192,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, order: int
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding)."""
     spark = vectors.sparkSession
     good = F.expr("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)")
-    rows = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("v")).withColumn("good", F.coalesce(good, F.lit(False)))
+    rows = vectors.filter("vec_id is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("v")).withColumn("good", F.coalesce(good, F.lit(False)))
     usable = rows.filter("good").select("vec_id", "v")
     classes = stored(usable.groupBy("v").agg(F.min("vec_id").alias("c"), F.count("*").alias("members")), "classes")
     sizes = {r["d"]: r["n"] for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}

@@ -17,7 +17,7 @@ A document is the set of its distinct word shingles (64-bit hashes). Steps, all
 Steps 2 and 3 look shingles up in bitmaps of bounded size while texts are read; past ``CAPACITY`` prefix shingles, where such
 bitmaps would tell nothing any more, they are joins on the shingle. Either way the components are exact, and all pairs of a group
 are never made. Nulls, empty and blank texts have an empty set, link with
-nothing and form a component of their own. Repeated rows of one id count once. Extra columns are ignored.
+nothing and form a component of their own. Rows of one id count once; rows with a null doc_id are left out. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ windows are judged on the input. Steps, over every row and whole texts:
 3. *Exact pass*: only windows estimated repeated are grouped, by a 128-bit hash of their words, to the smallest doc_id that
    has them; those found in a smaller document give their positions back.
 
-Null, empty and short texts have no window and lose nothing. Ties: a window that repeats only within one document stays. The
-output depends on doc_id, so ids are expected to be distinct; rows with a null doc_id are left out. Extra columns are ignored.
+Null, empty and short texts have no window and lose nothing. Ties: a window that repeats only within one document stays. Rows
+repeated whole lose nothing to each other; rows of one id with different texts are judged by the id's windows together. Rows with a null
+doc_id are left out. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -132,9 +133,10 @@ def _listed_windows(window: int):
 
 def _cover(n: int, at: np.ndarray, window: int) -> np.ndarray:
     """True for each of n words that a window starting at one of ``at`` covers."""
+    at = at[at + window <= n]
     mark = np.zeros(n + 1, dtype=np.int64)
     np.add.at(mark, at, 1)
-    np.add.at(mark, np.minimum(at + window, n), -1)
+    np.add.at(mark, at + window, -1)
     return np.cumsum(mark[:n]) > 0
 
 
@@ -226,9 +228,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, text: bool = False, capacity: i
     spots = candidates.join(owners, ["k1", "k2"]).filter("owner < doc_id").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
     spots = stored(spots, "spots")
 
-    changed = stored(spots.select("doc_id", F.lit(False).alias("copy"), "at").unionByName(
-        copies.select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("at"))
-    ), "changed")
+    changed = spots.select("doc_id", F.lit(False).alias("copy"), "at").unionByName(copies.select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("at")))
+    changed = stored(changed.groupBy("doc_id").agg(F.max("copy").alias("copy"), F.first("at", ignorenulls=True).alias("at")), "changed")
     touched, touched_log2, _ = id_bitmap(changed, "doc_id")
     touched = spark.sparkContext.broadcast(touched)
     schema = docs.select("doc_id", "text").schema.simpleString()[len("struct<") : -1].replace(":", " ")

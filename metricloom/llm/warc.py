@@ -8,7 +8,8 @@
 
 Files are opened through ``pyarrow.fs``, so the folder may be any store it knows (local and shared mounts, HDFS, S3, GCS). A task
 that is run again writes a file of a new name, and the index names the file of the attempt that counted. Null html is an empty
-payload; null URLs are written as an empty header. Ties cannot arise as page_id decides; rows repeated whole are separate records.
+payload; null URLs are written as an empty header. Rows with a
+null page_id are left out. Ties cannot arise as page_id decides; rows repeated whole are separate records.
 Extra columns are ignored.
 """
 
@@ -119,7 +120,7 @@ def write_archives(pages: DataFrame, least: int = 0, folder: str | None = None)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    pages = pages.select("page_id", "url", "html").withColumn("sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
+    pages = pages.filter("page_id is not null").select("page_id", "url", "html").withColumn("sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     digests = stored(pages.select("page_id", "sha", F.coalesce(F.octet_length("html"), F.lit(0)).alias("n")).distinct(), "digests")
     newest = digests.groupBy("sha").agg(F.max("page_id").alias("newest"))
     kinds = digests.join(newest, "sha").select("page_id", "sha", F.when((F.col("n") >= least) & (F.col("page_id") != F.col("newest")), F.col("newest")).alias("refers_to"))

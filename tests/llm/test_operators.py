@@ -379,7 +379,30 @@ def test_license_scan(spark):
     assert all(any(m in s for m in license_scan.MARKERS) for t in license_scan.SENTENCES.values() for s in t)
 
 
-# -- empty tables, components
+# -- null ids, repeated rows, empty tables, components
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [*corpus()[:12], *corpus()[5:8], (None, "one two three four five six"), (None, None), (3, "quite another text " * 30)]
+    docs = frame(spark, rows)
+    n = len(rows)
+    assert {r.doc_id for r in ngram_join.jaccard_components(docs).collect()} == set(range(12))
+    assert substring_dedup.dedup(docs).filter("doc_id = 6").select("n_removed").distinct().collect()[0][0] == 0
+    assert substring_dedup.dedup(docs).count() == n - 2
+    assert packing.pack_documents(docs, TOKENIZER).filter("start = 0").count() == n
+    assert license_scan.scan(docs).count() == quality.score(docs, quality.fit(docs)).count() == n
+    labels = spark.createDataFrame([(1, 1, 0), (6, None, 1), (None, 1, 1), (6, 1, 1), (999, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).filter("held_out is null or score is null").count() == 0
+    bench = spark.createDataFrame([(None, "one two three four five six"), (1, None)], "item_id long, text string")
+    assert decontaminate.matches(docs, bench).count() == 0
+    pages = spark.createDataFrame([(1, "u", "h"), (1, "u", "h"), (1, None, "other"), (None, "u", "h")], "page_id long, url string, html string")
+    folder, index = warc.write_archives(pages)
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.read_records(folder, index).collect()) == [(1, 1), (1, 1), (1, 5)]
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert sorted((r.vec_id, r.n_links) for r in embedding_dedup.near_duplicates(vectors).collect()) == [(1, 1), (1, 1), (2, 0)]
+    assert url_filter.judge(spark.createDataFrame([(None, None), (None, "http://a/b")], "page_id long, url string")).count() == 2
+
+
 
 
 def test_empty_tables(spark):
