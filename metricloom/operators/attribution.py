@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import running
+
 
 def period_full_join(current: DataFrame, base: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, current, base): all members of either period; a missing value counts as 0."""
@@ -95,12 +97,11 @@ def gini_of_change(df: DataFrame, by: list[str]) -> DataFrame:
 
 def pareto(df: DataFrame, member: str, value: str, cut: float = 0.8) -> DataFrame:
     """Members by descending value with rank, share, running share, and whether they are within the first ``cut``."""
-    w = Window.orderBy(F.desc(value), member)
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
     total = df.agg(F.sum(value).alias("__t"))
+    d = running(df.select(member, value), value, {"rank": F.lit(1), "__run": F.col(value)}, descending=True, ties=(member,))
     return (
-        df.crossJoin(total).select(member, value, F.row_number().over(w).alias("rank"), F.try_divide(value, "__t").alias("share"), F.try_divide(F.sum(value).over(running), F.col("__t")).alias("running_share"))
-        .withColumn("in_cut", F.coalesce(F.col("running_share") - F.col("share") < cut, F.lit(False)))
+        d.crossJoin(total).select(member, value, "rank", F.try_divide(value, "__t").alias("share"), F.try_divide("__run", "__t").alias("running_share"))
+        .withColumn("in_cut", F.coalesce(F.col("running_share") - F.col("share") < cut, F.lit(False))).orderBy("rank")
     )
 
 

@@ -25,7 +25,8 @@ def summed_subtotals(df: DataFrame, dims: list[str], measures: list[str]) -> Dat
 
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
     """Rows of a page (from 1) with their row number, headers kept."""
-    return df.withColumn("row_number", F.row_number().over(Window.orderBy(*order))).filter((F.col("row_number") > (number - 1) * size) & (F.col("row_number") <= number * size))
+    rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
+    return rows.withColumn("row_number", F.row_number().over(Window.orderBy(*order)) + (number - 1) * size)  # of one page
 
 
 def top_k(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:

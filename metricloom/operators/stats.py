@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import average_ranks
+
 # -- distributions (regularised incomplete beta and gamma by continued fraction and series)
 
 
@@ -79,7 +81,7 @@ def correlation_matrix(df: DataFrame, columns: list[str], method: str = "pearson
     spark = df.sparkSession
     if method == "spearman":
         for c in columns:
-            df = df.withColumn(f"__{c}", F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2)
+            df = df.join(average_ranks(df, c).select(c, F.col("rank").alias(f"__{c}")), c, "left")
         name = lambda c: f"__{c}"
     else:
         name = lambda c: c
@@ -212,9 +214,7 @@ def levene(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def rank_sums(df: DataFrame, value: str, group: str) -> DataFrame:
     """(group, n, rank_sum) with average ranks of ties: the sums of Mann-Whitney and Kruskal-Wallis. Ranks come from value counts."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    ranks = counts.select(value, (F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - (F.col("c") - 1) / 2).alias("rank"))
-    return df.join(ranks, value).groupBy(group).agg(F.count("*").alias("n"), F.sum("rank").alias("rank_sum"))
+    return df.join(average_ranks(df, value), value).groupBy(group).agg(F.count("*").alias("n"), F.sum("rank").alias("rank_sum"))
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -347,9 +347,8 @@ def ks_normal(df: DataFrame, value: str) -> DataFrame:
     from .series import normal_cdf
 
     n, m, s = df.agg(F.count(value), F.avg(value), F.stddev_samp(value)).first()
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    below = F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    d = counts.withColumn("__hi", below / n).withColumn("__lo", (below - F.col("c")) / n).withColumn("__f", normal_cdf((F.col(value) - m) / s))
+    below = F.col("upto")
+    d = average_ranks(df, value).withColumn("__hi", below / n).withColumn("__lo", (below - F.col("c")) / n).withColumn("__f", normal_cdf((F.col(value) - m) / s))
     gap = d.agg(F.max(F.greatest(F.abs(F.col("__hi") - F.col("__f")), F.abs(F.col("__lo") - F.col("__f"))))).first()[0]
     x = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * gap
     p = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101)) if x > 0.2 else 1.0

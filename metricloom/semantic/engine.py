@@ -25,12 +25,17 @@ ADDITIVE = {"sum", "count"}
 
 
 def aggregate(agg: str, name: str) -> Column:
-    """Aggregate of a column by name; counts of nothing are null, stddev is of the population, percentiles are existing values."""
+    """Aggregate of a column by name; counts of nothing are null, stddev is of the population, percentiles are existing values.
+
+    Exact percentiles hold a group's distinct values; ``p50_approx`` and the like need bounded memory whatever the group.
+    """
     c = F.col(f"`{name}`")
     if agg == "count":
         return F.nullif(F.count(c), F.lit(0))
     if agg == "count_distinct":
         return F.nullif(F.countDistinct(c), F.lit(0))
+    if agg.endswith("_approx"):
+        return F.percentile_approx(c, int(agg[1:3]) / 100, 10_000)
     if agg in ("p50", "p90", "p95", "p99"):
         return F.expr(f"percentile_disc({int(agg[1:]) / 100}) within group (order by `{name}`)").cast("decimal(20,6)")
     return {"sum": F.sum, "max": F.max, "min": F.min, "avg": F.avg, "stddev": F.stddev_pop}.get(agg, F.sum)(c)

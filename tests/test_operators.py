@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from metricloom.operators import alerts, attribution, meta, pivot, series, stats, text
+from metricloom.operators import alerts, attribution, meta, pivot, ranking, series, stats, text
 from metricloom.sources import writers
 from metricloom.sources.readers import Database, Sources
 from metricloom.streaming import scans
@@ -206,3 +206,41 @@ def test_stream_scan_waits_out_the_cooldown(spark, tmp_path):
     assert run() == [("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:10:00")]
     feed([("a", "2024-01-01 00:20:00", 70.0)])
     assert run()[1] == ("a", "2024-01-01 00:20:00")
+
+
+def test_ranks_and_running_totals_in_bins(spark):
+    rng = np.random.default_rng(7)
+    v = [float(x) for x in rng.integers(0, 40, 500)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)] + [(900, None)], "i int, v double").repartition(5)
+    got = {r["v"]: (r["c"], r["rank"]) for r in ranking.average_ranks(df, "v", bins=7).collect()}
+    for x in set(v):
+        places = [k + 1 for k, y in enumerate(sorted(v)) if y == x]
+        assert got[x] == (len(places), sum(places) / len(places))
+    run = ranking.running(df.filter("v is not null"), "v", {"n": F.lit(1), "s": F.col("v")}, descending=True, ties=("i",), bins=7).collect()
+    order = sorted(((x, i) for i, x in enumerate(v)), key=lambda p: (-p[0], p[1]))
+    at = {i: (k + 1, sum(x for x, _ in order[: k + 1])) for k, (_, i) in enumerate(order)}
+    assert all((r["n"], r["s"]) == at[r["i"]] for r in run)
+    other = spark.createDataFrame([(float(i), float((i * 7) % 11)) for i in range(60)], "a double, b double")
+    rank = lambda x: np.array([np.mean([k + 1 for k, y in enumerate(sorted(x)) if y == t]) for t in x])
+    a, b = np.arange(60.0), np.array([(i * 7) % 11 for i in range(60)], dtype=float)
+    assert stats.correlation_matrix(other, ["a", "b"], "spearman").first()["r"] == pytest.approx(np.corrcoef(rank(a), rank(b))[0, 1])
+
+
+def test_more_attribution(spark):
+    assert attribution.linear_coefficients("2 * {a} - ({b} + {a}) / 2 + 3") == {"a": 1.5, "b": -0.5}
+    assert attribution.linear_coefficients("{a} / {b}") is None and attribution.linear_coefficients("{a} * {b}") is None
+    assert attribution.linear_coefficients("-{a} + 10%") == {"a": -1.0}
+    assert attribution.operand_changes({"a": 3.0, "b": None}, {"a": 2.0}) == [("a", 1.0, 50.0), ("b", None, None)]
+    df = spark.createDataFrame([("x", "p", 1, 10.0), ("x", "q", 0, 4.0), ("y", "p", 1, 1.0), (None, "p", 0, 2.0)], "a string, b string, c int, v double")
+    got = {(r["dimension"], r["member"]): (r["current"], r["base"]) for r in attribution.over_dimensions(df, ["a", "b"], F.col("v"), F.col("c") == 1, F.col("c") == 0).collect()}
+    assert got == {("a", "x"): (10.0, 4.0), ("a", "y"): (1.0, 0.0), ("a", None): (0.0, 2.0), ("b", "p"): (11.0, 2.0), ("b", "q"): (0.0, 4.0)}
+    drilled = attribution.drill_down(df, "a", "b", F.col("v"), F.col("c") == 1, F.col("c") == 0, top=1).collect()
+    assert [(r["member"], r["child"]) for r in drilled] == [("x", "p")]
+
+
+def test_more_text(spark):
+    assert text.comment_references([("o", "c", "references customers.id"), ("o", "d", "FK -> days(day_id)"), ("o", "e", None), ("o", "f", "nothing")]) == [("o", "c", "customers", "id"), ("o", "d", "days", "day_id")]
+    q, n = spark.createDataFrame([("revenues",), ("zzz",)], "query string"), spark.createDataFrame([("revenue",), ("returns",)], "name string")
+    assert [(r["query"], r["name"]) for r in text.retrieve(q, n, 1).collect()] == [("revenues", "revenue")]
+    loading = stats.factor_loadings(spark.createDataFrame([(float(i), float(2 * i + i % 3), float(i % 5)) for i in range(60)], "a double, b double, c double"), ["a", "b", "c"], 1)
+    assert abs(loading["a"][0]) > 0.9 and abs(loading["c"][0]) < 0.5
