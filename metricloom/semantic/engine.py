@@ -2,13 +2,15 @@
 
 Each fact is read once: filters, star joins, then one aggregation with conditional aggregates for all its measures. Facts are
 joined by the union of their aggregates. Expressions, period comparison, measure filters, order, paging and labels follow on the
-aggregated rows. Dimension tables are pruned to the columns in use and made unique on their key before a left join; which side is
+aggregated rows. Dimension tables are pruned to the columns in use and, unless declared unique on their key, made so before a left join; which side is
 broadcast is left to Spark, which knows the sizes.
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import predicate
 from ..functions.formats import formatted
 from ..functions.formula import compile_formula, names
-from ..functions.timegrain import shifted, truncated
+from ..functions.timegrain import period_of, shifted, truncated
 from .catalog import Catalog, Dimension, Measure
 from .spec import And, Filter, Period, QuerySpec
 
@@ -78,7 +80,9 @@ class Engine:
                 if j.where:
                     dim = dim.filter(F.expr(j.where))
                 columns = sorted(need.get(j.to, set()) - {j.key})
-                dim = dim.select(F.col(j.key).alias(f"{j.to}__key"), *[F.col(c).alias(f"{j.to}__{c}") for c in columns]).dropDuplicates([f"{j.to}__key"])
+                dim = dim.select(F.col(j.key).alias(f"{j.to}__key"), *[F.col(c).alias(f"{j.to}__{c}") for c in columns])
+                if self.catalog.table(j.to).key != (j.key,):  # not declared unique: a repeated key must not repeat facts
+                    dim = dim.dropDuplicates([f"{j.to}__key"])
                 left = j.column if j.table == table else f"{j.table}__{j.column}"
                 df = df.join(dim, df[left] == dim[f"{j.to}__key"], "left").withColumn(f"{j.to}__{j.key}", F.col(f"{j.to}__key")).drop(f"{j.to}__key")
         return df
@@ -145,15 +149,35 @@ class Engine:
             return set()
         return {tree.member} if isinstance(tree, Filter) else set().union(*(self._members(p) for p in tree.parts))
 
-    def _condition(self, tree: Any, column: Callable[[str], Column]) -> Column:
+    def _condition(self, tree: Any, column: Callable[[str], Column], fact: str | None = None) -> Column:
         if isinstance(tree, Filter):
-            return predicate(column(tree.member), tree.op, tree.values)
-        parts = [self._condition(p, column) for p in tree.parts]
+            out = predicate(column(tree.member), tree.op, tree.values)
+            bounds = self._raw_bounds(tree, fact) if fact else None
+            return out if bounds is None else bounds & out
+        parts = [self._condition(p, column, fact) for p in tree.parts]
         out = parts[0]
         for p in parts[1:]:
             out = out & p if isinstance(tree, And) else out | p
         return out
 
+    def _raw_bounds(self, f: Filter, fact: str) -> Column | None:
+        """What a filter on a period says of the date column itself, which a scan can use; the filter on the period stays."""
+        d = self.catalog.dimension(f.member)
+        if d.grain not in ("day", "week", "month", "quarter", "year") or d.groups or d.expr or not all(isinstance(v, (str, datetime.date)) for v in f.values):
+            return None
+        try:
+            days = [datetime.date.fromisoformat(str(v)[:10]) for v in f.values]
+        except ValueError:
+            return None
+        lower = min(days) if f.op in ("gte", "gt", "equals", "in", "between", "inDateRange", "afterDate", "afterOrOnDate") and days else None
+        upper = max(days) if f.op in ("lte", "lt", "equals", "in", "between", "inDateRange", "beforeDate", "beforeOrOnDate") and days else None
+        raw = self.column(fact, replace(d, grain=None))
+        out = None if lower is None else raw >= F.lit(lower.isoformat())
+        if upper is not None:
+            end = raw < F.lit((period_of(upper, d.grain)[1] + datetime.timedelta(1)).isoformat())
+            out = end if out is None else out & end
+        return out
+
     def _is_dimension(self, name: str) -> bool:
         return any(d.name == name for d in self.catalog.dimensions)
 
@@ -219,7 +243,7 @@ class Engine:
             policy = [self.catalog.dimension(n) for n in self.policies]
             df = self.fact(fact, [*dims, *filtered, *policy], as_of)
             if where is not None:
-                df = df.filter(self._condition(where, lambda n, fact=fact: self.column(fact, self.catalog.dimension(n))))
+                df = df.filter(self._condition(where, lambda n, fact=fact: self.column(fact, self.catalog.dimension(n)), fact))
             for d in policy:
                 df = df.filter(self.column(fact, d).isin(*self.policies[d.name]))
             mine = {a: b for a, b in bases.items() if b[0].table == fact}
@@ -300,7 +324,7 @@ class Engine:
             if c:
                 df = df.filter(F.expr(c))
         if where is not None:
-            df = df.filter(self._condition(where, lambda n: self.column(m.table, self.catalog.dimension(n))))
+            df = df.filter(self._condition(where, lambda n: self.column(m.table, self.catalog.dimension(n)), m.table))
         for n, allowed in self.policies.items():
             df = df.filter(self.column(m.table, self.catalog.dimension(n)).isin(*allowed))
         return df.select(*source.columns)

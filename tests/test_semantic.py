@@ -183,3 +183,14 @@ def test_formats(spark):
 def test_calendar_week_keys(spark):
     days = spark.createDataFrame([("2021-01-03",), ("2021-01-04",), ("2024-12-30",), ("2023-01-01",)], "d string").withColumn("d", F.to_date("d"))
     assert [r[0] for r in days.select(timegrain.calendar_week_key(F.col("d"))).collect()] == ["202100", "202101", "202453", "202300"]
+
+
+def test_period_filters_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(i, f"2024-0{1 + i % 9}-15 10:00:00") for i in range(90)], "id int, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/t")
+    catalog = Catalog(measures=(Measure("n", table="t", expr="id", agg="count"),), dimensions=(Dimension("month", "t", "ts", grain="month"), Dimension("day", "t", "ts", grain="day")))
+    e = Engine(catalog, lambda _: spark.read.parquet(f"{tmp_path}/t"))
+    for f, want in ((Filter("month", "equals", ("2024-03-01",)), 10), (Filter("day", "lte", ("2024-02-15",)), 20), (Filter("day", "lt", ("2024-02-15",)), 10), (Filter("month", "gt", ("2024-07-01",)), 20), (Filter("day", "between", ("2024-03-15", "2024-04-15")), 20), (Filter("month", "beforeOrOnDate", ("2024-02-10",)), 20), (Filter("month", "in", ("2024-01-01", "2024-09-01")), 20)):
+        df = e.query(QuerySpec(("n",), (), f))
+        assert df.first()[0] == want
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(ts" in plan or "LessThan(ts" in plan
