@@ -123,3 +123,32 @@ def order_within_group(spark, d):
 @query("select n_nationkey, n_name from nation union all select r_regionkey + 1000, r_name from region", "union_all")
 def union_all(spark, d):
     return read(spark, d, "nation").select("n_nationkey", "n_name").unionByName(read(spark, d, "region").select((F.col("r_regionkey") + 1000).alias("n_nationkey"), F.col("r_name").alias("n_name")))
+
+
+_TREE = "with t as (select sum(case when year(o_orderdate)=1997 then o_totalprice end) a1, sum(case when year(o_orderdate)=1996 then o_totalprice end) a0, count(case when year(o_orderdate)=1997 then 1 end)::double b1, count(case when year(o_orderdate)=1996 then 1 end)::double b0 from orders)"
+
+
+@query(_TREE + " select '0' as path, '/' as name, round(a1/b1-a0/b0,4) delta, null::double contribution from t union all select '0.0', 'order_value', round(a1-a0,4), round(a1/b0-a0/b0,4) from t union all select '0.1', 'order_count', b1-b0, round(a1/b1-a1/b0,4) from t")
+def decision_tree(spark, d):
+    from ..operators.trees import decision_tree as tree
+
+    e = engine(spark, d)
+    side = [e.query(QuerySpec(("order_value", "order_count"), (), Filter("order_year", "equals", (f"{y}-01-01",)))).first().asDict() for y in (1997, 1996)]
+    nodes = tree("[order_value] / [order_count]", *[{k: float(v) for k, v in s.items()} for s in side])
+    return _round(spark.createDataFrame([(n["path"], n["name"], n["delta"], n["contribution"]) for n in nodes], "path string, name string, delta double, contribution double"), "delta", "contribution", n=4)
+
+
+@query("select o_orderpriority priority, count(*) order_count from orders where o_orderdate::date between date '1996-01-01' and date '1996-03-31' group by all order by 2 desc, 1 limit 3")
+def question(spark, d):
+    from ..semantic.question import read_question
+
+    got = read_question("1996年第1季度 top 3 order count by priority", CATALOG, "2026-07-24", date="order_day")
+    return engine(spark, d).query(got.spec)
+
+
+@query("select o_orderpriority priority, date_trunc('quarter', o_orderdate)::date order_quarter, count(*) order_count from orders where o_orderdate::date between date '1996-01-01' and date '1996-12-31' and o_orderstatus in ('F','O') group by all order by 1, 2 limit 12")
+def semantic_load(spark, d):
+    from ..semantic.guard import spec_of
+
+    payload = {"measures": ["order_count"], "dimensions": ["priority"], "timeDimensions": [{"dimension": "order_day", "granularity": "quarter", "dateRange": ["1996-01-01", "1996-12-31"]}], "filters": [{"member": "orderstatus", "operator": "equals", "values": ["F", "O"]}], "order": {"priority": "asc", "order_quarter": "asc"}, "limit": 12}
+    return engine(spark, d).query(spec_of(payload, CATALOG))

@@ -194,3 +194,30 @@ def test_period_filters_reach_the_scan(spark, tmp_path):
         assert df.first()[0] == want
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "GreaterThanOrEqual(ts" in plan or "LessThan(ts" in plan
+
+
+def test_trees_guards_and_questions():
+    from metricloom.operators import trees
+    from metricloom.plans.tables import CATALOG
+    from metricloom.semantic import guard
+    from metricloom.semantic.question import read_question
+
+    nodes = trees.decision_tree("([a] + [b]) * [c]", {"a": 3.0, "b": 1.0, "c": 2.0}, {"a": 1.0, "b": 1.0, "c": 3.0})
+    by = {n["path"]: n for n in nodes}
+    assert by["0"]["current"] == 8 and by["0"]["base"] == 6 and by["0.0"]["name"] == "+" and by["0.0.0"]["contribution"] == 1.0
+    assert by["0.0"]["contribution"] + by["0.1"]["contribution"] == pytest.approx(2 / 6)
+    assert trees.parse("1 - 2 - 3").value({}) == -4 and trees.contributions("/", 1, 2, 0, 3) == (None, None)
+    for bad in ("(1", "1 +", "[a] [b]"):
+        with pytest.raises(FormulaError):
+            trees.parse(bad)
+    assert guard.too_large(10**7 + 1, [500_000]) and guard.too_large(5, [100] * 11) and not guard.too_large(10**9, [1000])
+    info = guard.normalised_formula(CATALOG, "[order_value] / [revenue]", {"order_value": "USD", "revenue": "USD"})
+    assert info["tables"] == ["lineitem", "orders"] and info["unit"] == "USD" and "brand" not in info["dimensions"] and "segment" in info["dimensions"]
+    for bad in ({"sql": "x"}, {"limit": 10**6}, {"filters": [{"member": "priority", "operator": "like"}]}, {"measures": ["nope"]}):
+        with pytest.raises((ValueError, KeyError)):
+            guard.spec_of(bad, CATALOG)
+    got = read_question("top 5 revenue by brand", CATALOG, "2026-07-24", values={"priority": ("1-URGENT",)})
+    assert got.spec.measures == ("revenue",) and got.spec.dimensions == ("brand",) and got.spec.limit == 5
+    assert read_question("hello", CATALOG, "2026-07-24").problems == ["no measure is named"]
+    assert read_question("order value by brand", CATALOG, "2026-07-24").problems == ["order_value cannot be split by brand"]
+    assert read_question("最近7天 销售额", CATALOG, "2026-07-24", aliases={"revenue": ("销售额",)}, date="order_day").spec.where.parts[0].values == ("2026-07-18", "2026-07-24")
