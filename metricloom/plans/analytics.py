@@ -132,10 +132,10 @@ def alert_path(spark, d):
     return _round(alerts.path_anomalies(_events(spark, d), ["k"], "p", "v"), "v", n=4)
 
 
-@query(f"with x as ({_SERIES}) select k, p, round(v,4) v from x where v > 800 and p not in (select p from x where k='view' and v > 800)")
+@query(f"with x as ({_SERIES}) select k, p, round(v,4) v from x where v > 3300 and p not in (select p from x where k='view' and v > 3300)")
 def alert_expression(spark, d):
     x = _events(spark, d)
-    return _round(alerts.expression_anomalies(x.filter("k = 'view' and v > 800"), x.filter("v > 800"), ["p"]).select("k", "p", "v"), "v", n=4)
+    return _round(alerts.expression_anomalies(x.filter("k = 'view' and v > 3300"), x.filter("v > 3300"), ["p"]).select("k", "p", "v"), "v", n=4)
 
 
 @query(f"with x as ({_SERIES}) select k, p, round(v,4) v, 'high' as rule, 3 severity from x where v>2000 union all select k, p, round(v,4), 'odd', 2 from x where v<10 or v>3000")
