@@ -3,8 +3,8 @@
 A document is the set of its distinct word shingles (64-bit hashes). Steps, all over every row and whole texts:
 
 1. Documents with the same set form one class; only the class's smallest id goes on.
-2. *Survivors*: two sets with Jaccard >= t share one of their ``n - ceil(t n) + 1`` smallest hashes. A class none of whose
-   such hashes another document has cannot link with anything.
+2. *Survivors*: two sets with Jaccard >= t share at least l of their ``n - ceil(t n) + l`` smallest hashes. With l a tenth of
+   the set (of the smaller one), a class of whose such hashes other documents have fewer cannot link with anything.
 3. *Rare first*: among survivors every shingle is counted; those one survivor alone has come first in the prefix and need no
    posting, the most frequent ones come last. What more than the prefix of a document is unique to it ends there.
 4. *Adaptive prefixes*: with the prefix one token longer, a linked pair must share one token more. Each document takes the
@@ -50,13 +50,18 @@ def _needed(n, percent: int):
     return -(-n * percent // 100)
 
 
+def _extra(n):
+    """Tokens by which the plain prefix of n hashes is longer than needed for one match: so many of it must be shared."""
+    return np.maximum(n // 10, 1)
+
+
 def _sketch_sets(percent: int, width: int):
     def step(batches):
         for b in batches:
             sets = shingle_sets(Words(b.column("text"), lower=True), width)
             n = np.array([len(s) for s in sets], dtype=np.int64)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            keep = n - _needed(n, percent) + 1
+            keep = n - _needed(n, percent) + _extra(n)
             keep[n == 0] = 0
             head = np.concatenate([s[:k] for s, k in zip(sets, keep, strict=True)]) if len(sets) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
@@ -67,7 +72,7 @@ def _sketch_sets(percent: int, width: int):
     return step
 
 
-def _survivors(bits, log2: int):
+def _survivors(bits, log2: int, percent: int):
     def step(batches):
         for b in batches:
             head = b.column("head")
@@ -75,7 +80,9 @@ def _survivors(bits, log2: int):
             hot = in_bitmap(bits.value, (flat & np.uint64((1 << log2) - 1)).view(np.int64))
             ends = np.concatenate(([0], np.cumsum(head.value_lengths().to_numpy(zero_copy_only=False))))
             some = np.concatenate(([0], np.cumsum(hot)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(some[ends[1:]] > some[ends[:-1]]))], names=["doc_id"])
+            n = b.column("n").to_numpy(zero_copy_only=False)
+            enough = (n > 0) & (some[ends[1:]] - some[ends[:-1]] >= _extra(_needed(n, percent)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(enough))], names=["doc_id"])
 
     return step
 
@@ -151,7 +158,7 @@ def _prefix_table(docs: DataFrame, first: DataFrame, reps: DataFrame, heads: int
     log2 = bits_log2(heads)
     cells = first.select(F.explode("head").alias("t")).select(F.col("t").bitwiseAND(F.lit((1 << log2) - 1)).alias("cell"))
     bits = spark.sparkContext.broadcast(bitmap(cells.groupBy("cell").count().filter("count > 1"), log2))
-    alive = map_arrow(first.select("doc_id", "head"), _survivors(bits, log2), "doc_id long")
+    alive = map_arrow(first.select("doc_id", "n", "head"), _survivors(bits, log2, percent), "doc_id long")
     ids, id_log2, n_alive = id_bitmap(alive.join(reps, "doc_id", "left_semi"), "doc_id")
     bits.unpersist()
     if not n_alive:
@@ -177,8 +184,9 @@ def _prefix_table(docs: DataFrame, first: DataFrame, reps: DataFrame, heads: int
 
 def _prefix_table_by_joins(docs: DataFrame, first: DataFrame, reps: DataFrame, heads: int, percent: int, width: int) -> DataFrame | None:
     """Steps 2 and 3 beyond the bitmaps' capacity: the same by joins on the shingle, with the order by exact counts."""
-    head = first.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("head").alias("t"))
-    alive = stored(head.join(head.groupBy("t").count().filter("count > 1").select("t"), "t", "left_semi").select("doc_id").distinct(), "alive")
+    head = first.join(reps, "doc_id", "left_semi").select("doc_id", "n", F.explode("head").alias("t"))
+    hot = head.join(head.groupBy("t").count().filter("count > 1").select("t"), "t", "left_semi").groupBy("doc_id", "n").count()
+    alive = stored(hot.filter(f"count >= greatest(ceil(n * {percent} / 100) div 10, 1)").select("doc_id"), "alive")
     own = map_arrow(docs.join(alive, "doc_id", "left_semi").dropDuplicates(["doc_id"]), _tokens_of(width), "doc_id long, n long, t long")
     own = stored(own, "own")
     counted = own.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
