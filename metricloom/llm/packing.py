@@ -258,7 +258,7 @@ def _tokens(path: str):
                 [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(np.full(len(ids), kind.itemsize, np.int32)), pa.array([x.tobytes() for x in ids], pa.binary())],
                 names=["doc_id", "n", "width", "ids"],
             )
-        t.clear()
+        _loaded.clear()  # a worker that goes on to other work does not keep the vocabulary
 
     return step
 
