@@ -16,6 +16,7 @@ Repeated rows are packed as often as they occur; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from itertools import chain, repeat
 
@@ -34,7 +35,7 @@ BIN = 64
 END_ID = 2
 GROUP_TOKENS = 4 << 20
 #: Words remembered within a partition; past that it starts afresh.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 17
 
 
 class WordTokenizer:
@@ -45,6 +46,7 @@ class WordTokenizer:
     LINE = 128
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread would keep memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -170,12 +170,15 @@ def _cut(window: int):
     return step
 
 
-def _untouched(ids, id_log2: int):
-    def step(batches):
+def _untouched(ids, id_log2: int, window: int):
+    """The rows of documents that lose nothing, in one worker with :func:`_cut`."""
+
+    def whole(batches):
         for b in batches:
-            yield b.filter(pa.array(~in_bitmap(ids.value, id_cells(b.column("doc_id").to_numpy(zero_copy_only=False), id_log2))))
+            b = b.filter(pa.array(~in_bitmap(ids.value, id_cells(b.column("doc_id").to_numpy(zero_copy_only=False), id_log2))))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([False] * b.num_rows, pa.bool_()), pa.nulls(b.num_rows, pa.list_(pa.int32()))], names=["doc_id", "text", "copy", "at"])
 
-    return step
+    return lambda batches: _cut(window)(whole(batches))
 
 
 def _touched(ids, id_log2: int):
@@ -233,9 +236,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, text: bool = False, capacity: i
     touched, touched_log2, _ = id_bitmap(changed, "doc_id")
     touched = spark.sparkContext.broadcast(touched)
     schema = docs.select("doc_id", "text").schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    still = map_arrow(docs, _untouched(touched, touched_log2), schema).select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("at"))
     moved = map_arrow(docs, _touched(touched, touched_log2), schema).join(changed, "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "at")
-    out = map_arrow(still.unionByName(moved), _cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    cut = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    out = map_arrow(docs, _untouched(touched, touched_log2, window), cut).unionByName(map_arrow(moved, _cut(window), cut))
     return out if text else out.drop("kept_text")
 
 
