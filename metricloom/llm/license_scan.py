@@ -1,7 +1,8 @@
 """Licence scan with DataFrame functions only: known sentences become identifiers, and identifier sequences are matched to rules.
 
-A text is cut into sentences (at line ends and after . ! ? ; : before white space and no small letter or digit; also read with its lines
-joined), each is normalised (lower case, everything
+A text is cut into sentences (at line ends and after . ! ? ; : before white space and no small letter or digit, or before a list number
+such as ``1.`` or ``(a)``, but not after ``SPDX-License-Identifier:``; also read with its lines joined), each is normalised (list numbers
+in front dropped, lower case, everything
 but letters, digits and dots inside numbers becomes one space), and a sentence that is known gives its identifier. A licence rule is an ordered
 sequence of identifiers; it matches where they occur in this order among the document's known sentences, other text in between or
 not. Of the rules that match, those whose sequence is part of a longer matching rule of the same licence are dropped.
@@ -61,16 +62,20 @@ RULES = (
 STRONGER = (("BSD-3-Clause", "BSD-2-Clause"),)
 #: Letters that stand together in every known sentence, one of these in each, so a text without any has no known sentence.
 MARKERS = ("licen", "software", "permi", "copyright", "redistribution", "rights", "domain", "program", "cc0")
+#: List numbers with what comments put before them: ``1.``, ``2)``, ``(a)``, ``[3]``, ``(iv)``.
+_NUMBER = "[(\\[]?(?:[0-9]{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)\\]]\\s"
+_END = f"(?<=[;:.!?])(?<!(?i:spdx-license-identifier):)\\s+(?=[^a-z0-9]|{_NUMBER})"
 _CLEAN = "(?<![0-9v])\\.|\\.(?![0-9 ])|[^a-z0-9.]+|\\.$"
 
 
 def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(sentence), _CLEAN, " "), " +", " "))
+    bare = F.regexp_replace(sentence, f"^(?:[^A-Za-z0-9(\\[]*{_NUMBER}){{1,4}}", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(bare), _CLEAN, " "), " +", " "))
 
 
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text, in order; line ends end a sentence."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[\\n\\r]+|(?<=[;:.!?])\\s+(?=[^a-z0-9])"), normalised), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), f"[\\n\\r]+|{_END}"), normalised), lambda s: s != "")
 
 
 def _known() -> Column:

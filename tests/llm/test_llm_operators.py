@@ -379,6 +379,31 @@ def test_license_scan(spark):
     assert all(any(m in s for m in license_scan.MARKERS) for t in license_scan.SENTENCES.values() for s in t)
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+{}Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+{}Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_license_scan_spdx_lines_and_numbered_clauses(spark):
+    names = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-only": "GPL-3.0"}
+    spdx = [(lead.format(f"SPDX-License-Identifier: {x}"), y) for x, y in names.items() for lead in ("{}", "# {}\nimport os", "/* {} */\nint x;", "Copyright A. B.\n\n// {}", "Some words. {}")]
+    marks = [("1. ", "2. ", "3. "), ("\n1. ", "\n2. ", "\n3. "), ("1) ", "2) ", "3) "), ("(a) ", "(b) ", "(c) "), ("a. ", "b. ", "c. "), ("* ", "* ", "* "), ("- ", "- ", "- "), ("(i) ", "(ii) ", "(iii) "), ("", "", "")]
+    bsd = [BSD.format(*m) for m in marks]
+    bsd += [t.replace("\n", "\n * ") for t in bsd] + [" ".join(t.split()) for t in bsd] + [t.replace("\n", "\r\n") for t in bsd]
+    rows = [*spdx, *((t, "BSD-3-Clause") for t in bsd), ("Licensed under the Mozilla Public License, version 2.0. 3. More words", "MPL-2.0"), ("Licensed under the GNU General Public License version\n3. More.", "GPL-3.0"), ("1) " * 50_000 + "\nAll rights reserved.", "proprietary")]
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, [(i, t) for i, (t, _) in enumerate(rows)])).collect()}
+    assert {i: list(r.licenses) for i, r in got.items()} == {i: [y] for i, (_, y) in enumerate(rows)}
+    assert all(list(got[len(spdx) + i].sentence_ids) == ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"] for i in range(len(bsd)))
+
+
 # -- null ids, repeated rows, empty tables, components
 
 
