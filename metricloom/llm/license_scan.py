@@ -1,9 +1,10 @@
 """Licence scan with DataFrame functions only: known sentences become identifiers, and identifier sequences are matched to rules.
 
-A text is cut into sentences (at line ends and after . ! ? ; : before white space and no small letter or digit, or before a list number
-such as ``1.`` or ``(a)``, but not after ``SPDX-License-Identifier:``; also read with its lines joined), each is normalised (list numbers
-in front dropped, lower case, everything
-but letters, digits and dots inside numbers becomes one space), and a sentence that is known gives its identifier. A licence rule is an ordered
+A text is cut into sentences (after . ! ? ; : before white space and no small letter or digit, or before a list number such as ``1.`` or
+``(a)``, and after ``);``, but not after ``SPDX-License-Identifier:``), each is normalised (list numbers in front dropped, lower case,
+everything but letters, digits and dots inside numbers becomes one space), and a sentence that is known gives its identifier. One that is
+not known is read by its paragraphs, these by stops before line ends or wide gaps, and what is still not known by its lines, so wrapped
+sentences and those on lines of their own are found beside each other, in the order of the text. A licence rule is an ordered
 sequence of identifiers; it matches where they occur in this order among the document's known sentences, other text in between or
 not. Of the rules that match, those whose sequence is part of a longer matching rule of the same licence are dropped.
 
@@ -64,7 +65,14 @@ STRONGER = (("BSD-3-Clause", "BSD-2-Clause"),)
 MARKERS = ("licen", "software", "permi", "copyright", "redistribution", "rights", "domain", "program", "cc0")
 #: List numbers with what comments put before them: ``1.``, ``2)``, ``(a)``, ``[3]``, ``(iv)``.
 _NUMBER = "[(\\[]?(?:[0-9]{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)\\]]\\s"
-_END = f"(?<=[;:.!?])(?<!(?i:spdx-license-identifier):)\\s+(?=[^a-z0-9]|{_NUMBER})"
+_STOP = "(?<=[;:.!?])(?<!(?i:spdx-license-identifier):)"
+_END = f"{_STOP}\\s++(?=[^a-z0-9]|{_NUMBER})|(?<=\\);)\\s+"
+#: Ends of paragraphs (a line without letters and digits, or before a list number), of sentences before any letter, and of lines.
+_BREAKS = (
+    f"(?>\\r\\n?|\\n)(?:[^\\p{{L}}\\p{{N}}]*[\\n\\r]|(?=[^\\p{{L}}\\p{{N}}(\\[\\n\\r]*{_NUMBER}))",
+    f"{_STOP}(?:\\s{{2,}}|[\\n\\r])",
+    "[\\n\\r]+",
+)
 _CLEAN = "(?<![0-9v])\\.|\\.(?![0-9 ])|[^a-z0-9.]+|\\.$"
 
 
@@ -73,30 +81,30 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(bare), _CLEAN, " "), " +", " "))
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order; line ends end a sentence."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), f"[\\n\\r]+|{_END}"), normalised), lambda s: s != "")
-
-
 def _known() -> Column:
     return F.create_map(*[F.lit(x) for code, texts in SENTENCES.items() for s in texts for x in (s, code)])
 
 
+def _codes(piece: Column, sizes: list[int], known: list[str], breaks: tuple[str, ...] = _BREAKS) -> Column:
+    """Identifiers of a piece of text: its own if all of it is one known sentence, or else those of the pieces between its breaks."""
+    # only a sentence of a known length can be known: most are dropped before the lookup
+    own = F.transform(F.filter(F.array(normalised(piece)), lambda s: F.length(s).isin(*sizes) & s.isin(*known)), lambda s: F.element_at(_known(), s))
+    if not breaks:
+        return own
+    parts = F.flatten(F.transform(F.split(piece, breaks[0]), lambda p: _codes(p, sizes, known, breaks[1:])))
+    return F.when(piece.rlike("[\\n\\r]|\\s\\s"), F.when(F.size(own) > 0, own).otherwise(parts)).otherwise(own)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_ids, licenses): identifiers in order of the text, and the distinct licences that match, sorted."""
     known = sorted(s for texts in SENTENCES.values() for s in texts)
-    # only a sentence of a known length can be known: most are dropped before the lookup
     sizes = sorted({len(s) for s in known})
     low = F.lower("text")
     possible = low.contains(MARKERS[0])
     for m in MARKERS[1:]:
         possible = possible | low.contains(m)
-    find = lambda text: F.when(possible, F.transform(
-        F.filter(sentences(text), lambda s: F.length(s).isin(*sizes) & s.isin(*known)), lambda s: F.element_at(_known(), s)
-    )).otherwise(F.array().cast("array<string>"))
-    # a text may wrap its sentences over lines: of the readings by line and across lines the one that knows more counts
-    found = docs.select("doc_id", find(F.col("text")).alias("lines"), find(F.regexp_replace("text", "[ \\t]*[\\n\\r]+[ \\t]*", " ")).alias("wrapped"))
-    found = found.select("doc_id", F.when(F.size("wrapped") > F.size("lines"), F.col("wrapped")).otherwise(F.col("lines")).alias("sentence_ids"))
+    codes = F.flatten(F.transform(F.split("text", _END), lambda s: _codes(s, sizes, known)))
+    found = docs.select("doc_id", F.when(possible, codes).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
     found = found.withColumn("line", F.concat(F.lit(" "), F.concat_ws(" ", "sentence_ids"), F.lit(" ")))
     hits = [F.when(F.col("line").rlike(".* ".join(f" {p}" for p in parts).replace(".*  ", "( .*)? ") + " "), name) for name, parts in RULES]
     names = F.array_sort(F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull())))

@@ -404,6 +404,59 @@ def test_license_scan_spdx_lines_and_numbered_clauses(spark):
     assert all(list(got[len(spdx) + i].sentence_ids) == ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"] for i in range(len(bsd)))
 
 
+APACHE = """Copyright 2020 A. Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+GPL = """This program is free software;
+you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+Foundation, either version 3 of the License, or (at your option) any later version.
+"""
+
+
+def test_license_scan_of_lines_and_wrapped_text_together(spark):
+    apache, mit = ["apache-ref", "apache-comply", "apache-basis"], ["mit-grant", "mit-notice", "as-is"]
+    words = "some words without an end\n"
+    cases = [
+        (APACHE + MIT, apache + mit), (MIT + APACHE, mit + apache), ((APACHE + MIT).replace("\n", "\n * "), apache + mit), ((APACHE + MIT).replace("\n", "\r\n"), apache + mit), (APACHE, apache),
+        (words + "Licensed under CC BY 4.0\n" + words + "\n" + MIT, ["cc-by-ref", *mit]), (MIT + words + "Licensed under CC BY 4.0\n" + words, [*mit, "cc-by-ref"]),
+        (words + "SPDX-License-Identifier: GPL-3.0-only\n" + words + "\n" + BSD.format("1. ", "2. ", "3. ") + MIT, ["gpl3-ref", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", *mit]),
+        ("SPDX-License-Identifier: GPL-3.0-only\n\n" + BSD.format("1. ", "2. ", "3. "), ["gpl3-ref", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+        (GPL, ["gpl-free"]), (GPL.replace("\n", "\n    ") + "Licensed under CC BY 4.0.  released under cc0 1.0", ["gpl-free", "cc-by-ref", "cc0-ref"]),
+        ("\n \n" * 50_000 + MIT, mit), (words * 20_000 + "All rights reserved\n" + words, ["all-rights"]),
+    ]
+    got = {r.doc_id: list(r.sentence_ids) for r in license_scan.scan(frame(spark, [(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    assert got == {i: ids for i, (_, ids) in enumerate(cases)}
+    both = license_scan.scan(frame(spark, [(0, APACHE + MIT)])).first()
+    assert list(both.licenses) == ["Apache-2.0", "MIT"]
+    # a known sentence inside a longer one has its identifier, so the longest reading of a place loses none
+    known = [(f" {s} ", code) for code, texts in license_scan.SENTENCES.items() for s in texts]
+    assert all(code == other for s, code in known for longer, other in known if s in longer)
+
+
 # -- null ids, repeated rows, empty tables, components
 
 
