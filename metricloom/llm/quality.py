@@ -1,9 +1,10 @@
 """Quality by weak labels: heuristic labellers, EM for their accuracies, and a hashed linear scorer of the posterior labels.
 
 Overlapping labellers look at symbols, tables, shouting, exclamations, stuttering, vocabulary, repeated lines, word length, text
-length and sentence ends; each says good (1), poor (0) or nothing. Without any given label, expectation-maximisation over a
-bounded sample of rows (``TRAIN_ROWS``, in the order of a hash of their ids) estimates how often each is right, and the posterior
-labels train a logistic model of hashed features: binned statistics and the shapes of word endings. That model scores every row.
+length and sentence ends; each says good (1), poor (0) or nothing. Without any given label, expectation-maximisation over the counted
+vote patterns of all rows estimates how often each is right, and the posterior labels of a bounded sample of rows (``TRAIN_ROWS``, in
+the order of a hash of their ids) train a logistic model of hashed features: binned statistics and the shapes of word endings. That
+model scores every row.
 
 Null and empty texts count as texts without words and score as poor. Repeated rows score alike; an empty table gives an empty result
 (and a model that knows the labellers only through their prior). Extra columns are ignored.
@@ -20,7 +21,7 @@ from .kernel import Words
 from .support import map_arrow, mix_py, stored
 from .weak import LabelModel, logistic
 
-#: Bound on the rows the label model and the scorer are fitted on.
+#: Bound on the rows the scorer is fitted on; the label model sees the votes of all rows.
 TRAIN_ROWS = 20_000
 FEATURES_LOG2 = 14
 KEEP = 0.5
@@ -82,6 +83,8 @@ def _repeated_lines(w: Words) -> np.ndarray:
 
 
 LABELLERS = ("symbols", "tables", "capitals", "exclamations", "stutter", "repeated lines", "short", "word length", "vocabulary", "sentences", "prose")
+#: Place of each labeller's vote, as a digit of base three, in the number of a vote pattern.
+_PLACES = 3 ** np.arange(len(LABELLERS), dtype=np.int64)
 
 
 def votes(stats: np.ndarray) -> np.ndarray:
@@ -142,15 +145,32 @@ def _train_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in votes(stats)], pa.binary()), pa.ListArray.from_arrays(pa.array(cut), pa.array(cols.astype(np.int32)))], names=["votes", "cols"])
 
 
+def _count_votes(batches):
+    count = np.zeros(3 ** len(LABELLERS), dtype=np.int64)
+    for b in batches:
+        count += np.bincount((votes(statistics(b.column("text"))[0]).astype(np.int64) + 1) @ _PLACES, minlength=len(count))
+    at = np.flatnonzero(count)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["pattern", "n"])
+
+
+def vote_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns x LABELLERS votes, rows with each) over all rows: at most 4,608 patterns, as eight labellers have two votes, two three and one two."""
+    got = map_arrow(docs.select("text"), _count_votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow().sort_by("pattern")
+    return (got["pattern"].to_numpy()[:, None] // _PLACES % 3 - 1).astype(np.int8), got["n"].to_numpy()
+
+
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
-    """EM and the scorer over at most ``train_rows`` rows; only votes and hashed features reach the driver."""
+    """EM over the counted votes of all rows, the scorer over at most ``train_rows``; only votes and hashed features reach the driver."""
+    v, counts = vote_counts(docs)
+    if not len(v):
+        return QualityModel(np.zeros(1 << FEATURES_LOG2), 0.0, np.full(len(LABELLERS), 0.5))
+    model = LabelModel(0.8).fit(v, np.where((v == 0).any(1), 0.1, 0.95), belief=BELIEF, strength=0.05, counts=counts)
     chosen = stored(docs.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).distinct(), "chosen")
     got = map_arrow(docs.select("doc_id", "text").join(chosen, "doc_id").select("text"), _train_rows, "votes binary, cols array<int>").toArrow()
     n = got.num_rows
     if not n:
-        return QualityModel(np.zeros(1 << FEATURES_LOG2), 0.0, np.full(len(LABELLERS), 0.5))
+        return QualityModel(np.zeros(1 << FEATURES_LOG2), 0.0, model.accuracies())
     v = np.frombuffer(b"".join(got["votes"].to_pylist()), dtype=np.int8).reshape(n, len(LABELLERS))
-    model = LabelModel(0.8).fit(v, np.where((v == 0).any(1), 0.1, 0.95), belief=BELIEF, strength=0.05)
     soft = model.posterior(v)
     lists = got["cols"].combine_chunks()
     cols = lists.flatten().to_numpy().astype(np.int64)

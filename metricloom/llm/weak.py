@@ -88,38 +88,40 @@ class LabelModel:
     def __init__(self, prior: float):
         self.prior = prior
 
-    def fit(self, votes: np.ndarray, start: np.ndarray, anchor: np.ndarray | None = None, rounds: int = 30, belief: tuple[tuple[float, float], ...] | None = None, strength: float = 1.0) -> LabelModel:
+    def fit(self, votes: np.ndarray, start: np.ndarray, anchor: np.ndarray | None = None, rounds: int = 30, belief: tuple[tuple[float, float], ...] | None = None, strength: float = 1.0, counts: np.ndarray | None = None) -> LabelModel:
         """votes: rows x voters. start: first guess of P(1). anchor: log-odds a row has besides the votes (known labels).
 
         belief: for votes 1, 0 and none the prior chance in class 0 and class 1, weighing ``strength`` times the rows; it says that
-        voters are better than chance, without which voters that never overlap can be explained away.
+        voters are better than chance, without which voters that never overlap can be explained away. counts: rows each row stands for, 1 if
+        not given.
         """
+        n = np.ones(len(votes)) if counts is None else counts.astype(float)
         post, self.weight = start.astype(float), np.ones(votes.shape[1])
         extra = np.zeros(len(votes)) if anchor is None else anchor
         said = [(votes == v).astype(np.float64) for v in (1, 0, -1)]
         for r in range(rounds):
-            q = np.stack([1 - post, post])
+            q = np.stack([1 - post, post]) * n
             self.chance = np.stack([(q @ s + 0.5 * (k + 1) / 6 + 0.05) / (q.sum(1, keepdims=True) + 1.0) for k, s in enumerate(said)])  # vote, class, voter
             if belief is not None:
                 total = q.sum(1)[None, :, None]
-                self.chance = (self.chance * total + np.array(belief)[:, :, None] * strength * len(votes)) / (total + strength * len(votes))
+                self.chance = (self.chance * total + np.array(belief)[:, :, None] * strength * n.sum()) / (total + strength * n.sum())
             self.chance /= self.chance.sum(0, keepdims=True)
-            self.prior = float(np.clip(post.mean(), 1e-4, 1 - 1e-4))
+            self.prior = float(np.clip((post * n).sum() / n.sum(), 1e-4, 1 - 1e-4))
             if r == rounds // 2:
-                self.weight = 1 / (1 + self.correlations(votes, post))
+                self.weight = 1 / (1 + self.correlations(votes, post, n))
             new = self._posterior(said, extra)
             if np.abs(new - post).max() < 1e-6 and r > rounds // 2:
                 break
             post = new
         return self
 
-    def correlations(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
-        """For each voter the sum over the others of the correlation of their votes given the class, above chance."""
+    def correlations(self, votes: np.ndarray, post: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """For each voter the sum over the others of the correlation of their votes given the class, above chance; n as counts of fit."""
         x = votes.astype(float)
-        mean = np.stack([((1 - post) @ x) / max((1 - post).sum(), 1e-9), (post @ x) / max(post.sum(), 1e-9)])
-        left = x - np.outer(1 - post, mean[0]) - np.outer(post, mean[1])
-        scale = np.sqrt((left**2).mean(0)) + 1e-9
-        c = left.T @ left / len(x) / np.outer(scale, scale)
+        mean = np.stack([(q @ x) / max(q.sum(), 1e-9) for q in ((1 - post) * n, post * n)])
+        left = (x - np.outer(1 - post, mean[0]) - np.outer(post, mean[1])) * np.sqrt(n)[:, None]
+        scale = np.sqrt((left**2).sum(0) / n.sum()) + 1e-9
+        c = left.T @ left / n.sum() / np.outer(scale, scale)
         np.fill_diagonal(c, 0)
         return np.where(c > 0.1, c, 0).sum(1)
 

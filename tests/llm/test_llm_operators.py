@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -331,6 +332,20 @@ def test_quality_without_labels(spark):
     assert not got[900].kept and not got[901].kept and got[900].score == got[901].score
 
 
+def test_quality_label_model_sees_all_rows(spark):
+    docs = frame(spark, [(i, "The garden is green. Water runs over stones.") for i in range(300)] + [(i, "| a " * 40) for i in range(300, 306)] + [(None, None), (307, "")])
+    v, counts = quality.vote_counts(docs)
+    own = [quality.votes(quality.statistics(pa.array([r.text]))[0])[0] for r in docs.collect()]
+    assert collections.Counter({tuple(x): n for x, n in zip(v.tolist(), counts.tolist(), strict=True)}) == collections.Counter(tuple(x.tolist()) for x in own)
+    # the accuracies do not depend on the scorer's sample, and counted patterns weigh as repeated rows
+    few, all_rows = quality.fit(docs, train_rows=5), quality.fit(docs)
+    assert np.array_equal(few.accuracies, all_rows.accuracies)
+    rows = np.array(own)
+    model = LabelModel(0.8).fit(rows, np.where((rows == 0).any(1), 0.1, 0.95), belief=quality.BELIEF, strength=0.05)
+    assert np.allclose(model.accuracies(), all_rows.accuracies)
+    assert quality.score(docs.limit(0), quality.fit(docs.limit(0))).count() == 0
+
+
 # -- 2
 
 
