@@ -3,7 +3,8 @@
 Host and path are cut out with DataFrame functions; a rule fits its host and all subdomains if the path starts with the rule's, and
 the longest rule wins. The trees (logistic loss, histogram splits) are trained on labelled URLs: lengths, path depth, digit and
 hyphen ratios, entropy of host and path, numbers of parameters and subdomains, and how often the host's suffixes were labelled
-bad. ``labelled`` may be any bounded table of (url, label); the default is :func:`seed_urls`, made by rule from word lists.
+bad. ``labelled`` may be any table of (url, label); of one longer than ``MAX_LABELLED`` the rows whose URLs have the smallest hashes are
+used, whatever its order. The default is :func:`seed_urls`, made by rule from word lists.
 
 Null URLs and URLs without ``://`` have an empty host and path; the model judges their features like any other's. Repeated rows are
 judged alike; ties cannot arise. Empty tables give empty results. Extra columns are ignored.
@@ -11,6 +12,9 @@ judged alike; ties cannot arise. Empty tables give empty results. Extra columns
 
 from __future__ import annotations
 
+import hashlib
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -175,8 +179,20 @@ class Trees:
         return 1 / (1 + np.exp(-(self.base + sum((self._value(b, t) for t in self.trees), np.zeros(len(x))))))
 
 
+def _training_rows(labelled: list[tuple[str | None, int]], most: int) -> list[tuple[str | None, int]]:
+    """All rows, or the ``most`` with the smallest hashes of their URLs (then URL and label); which they are does not depend on the list's order."""
+    if len(labelled) <= most:
+        return labelled
+
+    def rank(row):
+        url = (row[0] or "").encode("utf-8", "surrogatepass")
+        return hashlib.blake2b(url, digest_size=8).digest(), url, row[0] is not None, row[1]
+
+    return heapq.nsmallest(most, labelled, key=rank)
+
+
 def fit(labelled: list[tuple[str | None, int]] | None = None) -> tuple[Trees, dict[str, float]]:
-    rows = seed_urls() if labelled is None else labelled[:MAX_LABELLED]
+    rows = seed_urls() if labelled is None else _training_rows(labelled, MAX_LABELLED)
     urls, y = [u for u, _ in rows], np.array([v for _, v in rows], dtype=float)
     suffixes = suffix_shares(urls, y) if rows else {}
     return Trees().fit(features(urls, suffixes), y), suffixes

@@ -382,6 +382,20 @@ def test_trees_generalise():
     assert np.mean(p == np.array([y for _, y in rows[cut:]])) > 0.9
 
 
+def test_trees_of_a_long_ordered_list_see_both_classes(monkeypatch):
+    rows = url_filter.seed_urls()
+    bad = sum(y for _, y in rows)
+    assert [y for _, y in rows] == [1] * bad + [0] * (len(rows) - bad)
+    monkeypatch.setattr(url_filter, "MAX_LABELLED", bad)
+    trees, suffixes = url_filter.fit(rows)
+    p = trees.predict(url_filter.features([u for u, _ in rows], suffixes)) >= 0.5
+    assert np.mean(p == np.array([y for _, y in rows])) > 0.9
+    chosen = url_filter._training_rows([*rows, (None, 1), ("", 0)], bad)
+    assert len(chosen) == bad and 0.4 < np.mean([y for _, y in chosen]) < 0.6
+    assert chosen == url_filter._training_rows([*rows, (None, 1), ("", 0)][::-1], bad)
+    assert url_filter._training_rows(rows, len(rows)) == rows
+
+
 # -- 9
 
 
