@@ -99,6 +99,24 @@ class Words:
             self._hash = self.span_hash(self.start, self.end)
         return self._hash
 
+    def joined(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, offsets by text) of the words of each text where ``keep`` is true, joined by one space; copied in blocks of words."""
+        at = np.flatnonzero(keep)
+        start, size, doc = self.start[at], self.end[at] - self.start[at], self.doc[at]
+        space = np.zeros(len(at), dtype=bool)
+        space[:-1] = doc[1:] == doc[:-1]
+        ends = np.concatenate(([0], np.cumsum(size + space)))
+        out = np.empty(int(ends[-1]), dtype=np.uint8)
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + _BLOCK, "right")) - 1)
+            a, b = int(ends[i]), int(ends[j])
+            source = np.arange(a, b) + np.repeat(start[i:j] - ends[i:j], np.diff(ends[i : j + 1]))
+            out[a:b] = self.buf[np.minimum(source, len(self.buf) - 1)]
+            i = j
+        out[ends[1:][space] - 1] = 32
+        return out, ends[np.searchsorted(doc, np.arange(self.n + 1))]
+
     def windows(self, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(position of the first word, hash) of every k consecutive words of one text."""
         h = self.hash

@@ -1,21 +1,25 @@
 """Removal of repeated 50-word passages across documents, with a count-min prefilter.
 
 A word goes if a window of ``window`` consecutive words that covers it also starts in a document with a smaller doc_id; all
-windows are judged on the input. Steps, over every row and whole texts:
+windows are judged on the input. Steps, over every row and whole texts, the same at every size:
 
 1. Documents with the same word sequence form one class. In all but the smallest id of a class every window repeats, so they
    need no search.
 2. *Count-min prefilter*: each window is counted under its anchor, the smallest hash of the ``ANCHOR``-word sequences inside
-   it, so equal windows have equal anchors and a run of windows has few. Each partition's sketch (cells of ``DEPTH`` hash rows
-   for its documents' distinct anchors) is merged by cell, which overestimates in how many documents a window occurs, never
-   underestimates. What is kept is one bitmap a row of the cells counted twice or more, at most 16 MB each; past ``CAPACITY`` anchors the
-   merged sketch stays a table and is joined instead.
+   it, so equal windows have equal anchors and a run of windows has few. Each partition counts the cells of its documents' distinct
+   anchors in ``DEPTH`` hash rows; the partitions' sketches are merged by cell, and the smallest count of an anchor's cells is never
+   less than the number of documents with it. The sketch stays a table, as wide as the number of anchors asks for, of which the
+   cells counted twice or more are kept, and anchors are looked up in it by a join on the cell.
 3. *Exact pass*: only windows estimated repeated are grouped, by a 128-bit hash of their words, to the smallest doc_id that
    has them; those found in a smaller document give their positions back.
 
+Very frequent cells and windows meet broadcast rows instead of being shuffled to one task (``support.heavy_join``). Bitmaps of document
+ids (``support.id_bitmap``) only spare texts without a suspect the shuffle; they decide nothing.
+
 Null, empty and short texts have no window and lose nothing. Ties: a window that repeats only within one document stays. Rows
-repeated whole lose nothing to each other; rows of one id with different texts are judged by the id's windows together. Rows with a null
-doc_id are left out. Extra columns are ignored.
+repeated whole lose nothing to each other. Rows of one id with different texts are judged each by its own windows, and lose nothing to each
+other as neither id is smaller. Rows with a null doc_id are left out. Extra columns are ignored by :func:`dedup` and kept by
+:func:`cut_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,23 +28,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Words, rolled, sliding_min
-from .support import bitmap, bits_log2, discard, id_bitmap, id_cells, in_bitmap, list_column, map_arrow, mix_py, stored
+from .support import discard, heavy_join, id_bitmap, id_cells, in_bitmap, list_column, map_arrow, stored
 
 WINDOW = 50
 ANCHOR = 12
 DEPTH = 2
-#: Anchors up to which the sketch is broadcast as bitmaps (16 MB a row at most); beyond, it is joined.
-CAPACITY = 1 << 26
-CANDIDATE = "k1 long, k2 long, doc_id long, at int"
-_SALTS = (0, 0x8CB92BA72F3D8DD7)
-
-
-def _cells(anchor: np.ndarray, row: int, log2: int) -> np.ndarray:
-    return (mix_py(anchor ^ np.uint64(_SALTS[row])) & np.uint64((1 << log2) - 1)).view(np.int64)
+#: Cells of a row of the sketch for each anchor, so that few anchors share a cell by chance.
+WIDTH = 8
+CANDIDATE = "k1 long, k2 long, doc_id long, key long, at int"
+#: Columns that travel beside the documents' own.
+_KEY, _COPY, _AT = "_mx_text_key", "_mx_copy", "_mx_at"
 
 
 def _anchors(h: np.ndarray, window: int) -> np.ndarray:
@@ -49,139 +51,107 @@ def _anchors(h: np.ndarray, window: int) -> np.ndarray:
     return sliding_min(rolled(h, size), window - size + 1)
 
 
-def _sketch(window: int):
+def _digests(window: int):
     def step(batches):
         for b in batches:
             w = Words(b.column("text"))
-            n = np.diff(w.first)
             digests, anchors = [], []
             for i in range(w.n):
                 h = w.hash[w.first[i] : w.first[i + 1]]
-                digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                anchors.append(np.unique(_anchors(h, window)) if len(h) >= window else np.zeros(0, np.uint64))
+                if len(h) >= window:
+                    digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                    anchors.append(np.unique(_anchors(h, window)))
+            long_ones = pa.array(np.diff(w.first) >= window)
             flat = np.concatenate(anchors) if anchors else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), list_column(flat.view(np.int64), np.array([len(a) for a in anchors], dtype=np.int64), pa.int64())],
-                names=["doc_id", "n", "digest", "anchors"],
+                [b.column("doc_id").filter(long_ones), b.column(_KEY).filter(long_ones), pa.array(digests, pa.binary()), list_column(flat.view(np.int64), np.array([len(a) for a in anchors], dtype=np.int64), pa.int64())],
+                names=["doc_id", "key", "digest", "anchors"],
             )
 
     return step
 
 
-def _as_cells(log2: int):
-    def step(batches):
-        for b in batches:
-            flat = b.column("anchors").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            for row in range(DEPTH):
-                cell, count = np.unique(_cells(flat, row, log2), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), row, dtype=np.int32)), pa.array(cell), pa.array(count)], names=["row", "cell", "count"])
-
-    return step
-
-
-def _repeated(anchor: np.ndarray, bits, log2: int) -> np.ndarray:
-    out = np.ones(len(anchor), dtype=bool)
-    for row in range(DEPTH):
-        out &= in_bitmap(bits[row], _cells(anchor, row, log2))
-    return out
-
-
-def _suspects(bits, log2: int):
+def _windows(window: int):
     def step(batches):
         for b in batches:
-            a = b.column("anchors")
-            hot = _repeated(a.flatten().to_numpy(zero_copy_only=False).view(np.uint64), bits.value, log2)
-            ends = np.concatenate(([0], np.cumsum(a.value_lengths().to_numpy(zero_copy_only=False))))
-            some = np.concatenate(([0], np.cumsum(hot)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(some[ends[1:]] > some[ends[:-1]]))], names=["doc_id"])
+            w = Words(b.column("text"))
+            for i, (doc, key, anchors) in enumerate(zip(b.column("doc_id").to_pylist(), b.column(_KEY).to_pylist(), b.column("anchors"), strict=True)):
+                h = w.hash[w.first[i] : w.first[i + 1]]
+                at = np.flatnonzero(np.isin(_anchors(h, window), np.asarray(anchors.values).view(np.uint64)))
+                if len(at):
+                    k1, k2 = rolled(h, window), rolled(h, window, 0xA0761D6478BD642F)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32))],
+                        names=["k1", "k2", "doc_id", "key", "at"],
+                    )
 
     return step
 
 
-def _window_rows(h: np.ndarray, doc: int, at: np.ndarray, window: int) -> pa.RecordBatch:
-    k1, k2 = rolled(h, window), rolled(h, window, 0xA0761D6478BD642F)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32))], names=["k1", "k2", "doc_id", "at"]
-    )
+def _gone(w: Words, copies: list[bool], lists: pa.Array, window: int) -> np.ndarray:
+    """True for each word of the batch that goes: all words of copies, and those that a window starting at a listed position covers."""
+    mark = np.zeros(len(w.start) + 1, dtype=np.int64)
+    for i in range(w.n):
+        a, z = w.first[i], w.first[i + 1]
+        if copies[i] and z - a >= window:
+            mark[a] += 1
+            mark[z] -= 1
+        elif lists[i].is_valid:
+            at = a + np.asarray(lists[i].values)
+            at = at[at + window <= z]
+            np.add.at(mark, at, 1)
+            np.add.at(mark, at + window, -1)
+    return np.cumsum(mark[:-1]) > 0
 
 
-def _windows(ids, id_log2: int, bits, log2: int, window: int):
+def _cut(window: int, shape):
     def step(batches):
         for b in batches:
-            b = b.filter(pa.array(in_bitmap(ids.value, id_cells(b.column("doc_id").to_numpy(zero_copy_only=False), id_log2))))
             w = Words(b.column("text"))
-            for i, doc in enumerate(b.column("doc_id").to_pylist()):
-                h = w.hash[w.first[i] : w.first[i + 1]]
-                if len(h) >= window and len(at := np.flatnonzero(_repeated(_anchors(h, window), bits.value, log2))):
-                    yield _window_rows(h, doc, at, window)
+            gone = _gone(w, b.column(_COPY).to_pylist(), b.column(_AT), window)
+            data, offsets = w.joined(~gone)
+            n_removed = np.bincount(w.doc[gone], minlength=w.n)
+            yield shape(b.drop_columns([_COPY, _AT, _KEY]), np.diff(w.first), n_removed, data, offsets)
 
     return step
 
 
-def _listed_windows(window: int):
-    def step(batches):
-        for b in batches:
-            w = Words(b.column("text"))
-            for i, (doc, anchors) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("anchors"), strict=True)):
-                h = w.hash[w.first[i] : w.first[i + 1]]
-                at = np.flatnonzero(np.isin(_anchors(h, window), np.asarray(anchors.values).view(np.uint64)))
-                if len(at):
-                    yield _window_rows(h, doc, at, window)
-
-    return step
-
+def _texts(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    whole = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
+    return whole.cast(pa.string())
 
-def _cover(n: int, at: np.ndarray, window: int) -> np.ndarray:
-    """True for each of n words that a window starting at one of ``at`` covers."""
-    at = at[at + window <= n]
-    mark = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(mark, at, 1)
-    np.add.at(mark, at + window, -1)
-    return np.cumsum(mark[:n]) > 0
 
+def _as_digests(b, n_words, n_removed, data, offsets):
+    shas = [hashlib.sha256(data[a:z]).hexdigest() for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string()), _texts(data, offsets)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-def _cut(window: int):
-    def step(batches):
-        for b in batches:
-            w = Words(b.column("text"))
-            copies, lists = b.column("copy").to_pylist(), b.column("at")
-            n_words, n_removed, shas, texts = [], [], [], []
-            for i in range(w.n):
-                s, e = w.start[w.first[i] : w.first[i + 1]], w.end[w.first[i] : w.first[i + 1]]
-                n = len(s)
-                if copies[i] and n >= window:
-                    gone = np.ones(n, dtype=bool)
-                elif lists[i].is_valid:
-                    gone = _cover(n, np.asarray(lists[i].values), window)
-                else:
-                    gone = np.zeros(n, dtype=bool)
-                keep = np.flatnonzero(~gone)
-                raw = w.buf
-                kept = b" ".join([raw[x:y].tobytes() for x, y in zip(s[keep], e[keep], strict=True)])
-                n_words.append(n)
-                n_removed.append(int(gone.sum()))
-                shas.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-            )
 
-    return step
+def _as_documents(b, n_words, n_removed, data, offsets):
+    """The rows that keep a word or lost none, with the new text of those that lost some."""
+    cut = pa.array(n_removed > 0)
+    kept = _texts(data, offsets)
+    columns = []
+    for name, column in zip(b.schema.names, b.columns, strict=True):
+        if name == "text":
+            column = pa.compute.if_else(cut, kept, column.cast(pa.string()))
+        elif name == "n_chars":
+            column = pa.compute.if_else(cut, pa.compute.utf8_length(kept).cast(column.type), column)
+        columns.append(column)
+    return pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array((n_removed == 0) | (n_removed < n_words)))
 
 
-def _untouched(ids, id_log2: int, window: int):
+def _whole(ids, id_log2: int, window: int, shape):
     """The rows of documents that lose nothing, in one worker with :func:`_cut`."""
 
-    def whole(batches):
+    def rows(batches):
         for b in batches:
             b = b.filter(pa.array(~in_bitmap(ids.value, id_cells(b.column("doc_id").to_numpy(zero_copy_only=False), id_log2))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([False] * b.num_rows, pa.bool_()), pa.nulls(b.num_rows, pa.list_(pa.int32()))], names=["doc_id", "text", "copy", "at"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([False] * b.num_rows, pa.bool_()), pa.nulls(b.num_rows, pa.list_(pa.int32()))], names=[*b.schema.names, _COPY, _AT])
 
-    return lambda batches: _cut(window)(whole(batches))
+    return lambda batches: _cut(window, shape)(rows(batches))
 
 
-def _touched(ids, id_log2: int):
+def _chosen(ids, id_log2: int):
     def step(batches):
         for b in batches:
             yield b.filter(pa.array(in_bitmap(ids.value, id_cells(b.column("doc_id").to_numpy(zero_copy_only=False), id_log2))))
@@ -189,70 +159,68 @@ def _touched(ids, id_log2: int):
     return step
 
 
-def _by_bitmaps(docs: DataFrame, reps: DataFrame, total: int, window: int) -> DataFrame:
-    """Windows estimated repeated, by bitmaps of the sketch's cells that count twice or more."""
-    spark = docs.sparkSession
-    log2 = bits_log2(total)
-    counts = map_arrow(reps.select("anchors"), _as_cells(log2), "row int, cell long, count long").groupBy("row", "cell").agg(F.sum("count").alias("count"))
-    hot = stored(counts.filter("count > 1").select("row", "cell"), "cells")
-    bits = spark.sparkContext.broadcast([bitmap(hot.filter(f"row = {row}"), log2) for row in range(DEPTH)])
-    suspects = stored(map_arrow(reps, _suspects(bits, log2), "doc_id long"), "suspects")
-    ids, id_log2, _ = id_bitmap(suspects, "doc_id")
-    discard(hot)
-    return map_arrow(docs, _windows(spark.sparkContext.broadcast(ids), id_log2, bits, log2, window), CANDIDATE)
-
-
-def _by_joins(docs: DataFrame, reps: DataFrame, total: int, window: int) -> DataFrame:
-    """The same beyond the bitmaps' capacity: the sketch stays a table, its cells as wide as the anchors' hashes, and is joined."""
-    pairs = stored(reps.select("doc_id", F.explode("anchors").alias("anchor")), "pairs")
-    repeated = pairs.groupBy("anchor").count().filter("count > 1").select("anchor")
-    suspects = stored(pairs.join(repeated, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "suspects")
-    discard(pairs)
-    return map_arrow(docs.join(suspects, "doc_id"), _listed_windows(window), CANDIDATE)
-
-
-def dedup(docs: DataFrame, window: int = WINDOW, text: bool = False, capacity: int = CAPACITY) -> DataFrame:
+def _among(docs: DataFrame, chosen: DataFrame) -> tuple[DataFrame, object, int]:
+    """The rows of docs that may be among the chosen doc_ids, and the bitmap that says so."""
+    ids, log2, _ = id_bitmap(chosen, "doc_id")
+    ids = docs.sparkSession.sparkContext.broadcast(ids)
+    return map_arrow(docs, _chosen(ids, log2), docs.schema), ids, log2
+
+
+def _cell(row: int, log2: int) -> F.Column:
+    """Cell of an anchor in a row of the sketch; the row is the last bit."""
+    return F.shiftleft(F.xxhash64("anchor", F.lit(row)).bitwiseAND(F.lit((1 << log2) - 1)), 1).bitwiseOR(F.lit(row).cast("long"))
+
+
+def suspects(pairs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Of the stored rows (doc_id, key, anchor) those whose anchor the count-min sketch estimates to occur twice or more."""
+    total = pairs.count()
+    log2 = min(60, max(10, int(np.ceil(np.log2(max(total, 1) * width)))))
+    cells = pairs.select(F.explode(F.array(*[_cell(r, log2) for r in range(DEPTH)])).alias("cell"))
+    sketch = stored(cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "sketch")
+    for r in range(DEPTH):
+        pairs = heavy_join(pairs.withColumn("cell", _cell(r, log2)), sketch, ["cell"], total).drop("cell", "n")
+    return pairs
+
+
+def _changes(docs: DataFrame, window: int, width: int) -> DataFrame:
+    """(doc_id, key, copy, at) of the texts that lose words: all of them (copy), or those under the windows at the positions."""
+    docs = docs.select("doc_id", _KEY, "text")
+    first = stored(map_arrow(docs, _digests(window), "doc_id long, key long, digest binary, anchors array<long>"), "anchors")
+    total = first.count()
+    classes = stored(first.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1"), "classes")
+    copies = stored(heavy_join(first.select("doc_id", "key", "digest"), classes, ["digest"], total).filter("doc_id != rep").select("doc_id", "key").distinct(), "copies")
+    pairs = stored(first.join(copies, ["doc_id", "key"], "left_anti").select("doc_id", "key", F.explode("anchors").alias("anchor")), "pairs")
+    listed = stored(suspects(pairs, width).groupBy("doc_id", F.col("key").alias(_KEY)).agg(F.collect_set("anchor").alias("anchors")), "suspects")
+    discard(first, classes, pairs)
+
+    near, _, _ = _among(docs, listed)
+    candidates = stored(map_arrow(near.join(listed, ["doc_id", _KEY]), _windows(window), CANDIDATE), "windows")
+    total = candidates.count()
+    owners = stored(candidates.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("owner < last").drop("last"), "owners")
+    spots = heavy_join(candidates, owners, ["k1", "k2"], total).filter("owner < doc_id").groupBy("doc_id", "key").agg(F.collect_list("at").alias("at"))
+    whole = copies.select("doc_id", "key", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("at"))
+    changed = stored(spots.select("doc_id", "key", F.lit(False).alias("copy"), "at").unionByName(whole), "changed")
+    discard(listed, candidates, owners, copies)
+    return changed
+
+
+def _applied(docs: DataFrame, window: int, width: int, shape, schema) -> DataFrame:
+    docs = docs.filter("doc_id is not null").withColumn(_KEY, F.xxhash64("text"))
+    changed = _changes(docs, window, width).select(F.col("doc_id").alias("_mx_id"), F.col("key").alias("_mx_key"), F.col("copy").alias(_COPY), F.col("at").alias(_AT))
+    touched, ids, log2 = _among(docs, changed.select(F.col("_mx_id").alias("doc_id")))
+    moved = touched.join(changed, (F.col("doc_id") == F.col("_mx_id")) & (F.col(_KEY) == F.col("_mx_key")), "left").drop("_mx_id", "_mx_key")
+    moved = moved.withColumn(_COPY, F.coalesce(F.col(_COPY), F.lit(False)))
+    return map_arrow(docs, _whole(ids, log2, window, shape), schema).unionByName(map_arrow(moved, _cut(window, shape), schema))
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, text: bool = False, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) for every document; kept words are joined by one space."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    first = stored(map_arrow(docs, _sketch(window), "doc_id long, n long, digest binary, anchors array<long>"), "anchors")
-    long_ones = first.filter(f"n >= {window}")
-    classes = long_ones.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
-    classes = long_ones.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep", "members")
-    classes = stored(classes, "classes")
-    copies = classes.filter("doc_id != rep").select("doc_id")
-    reps = first.join(copies, "doc_id", "left_anti").select("doc_id", "anchors")
-
-    total = long_ones.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    find = _by_bitmaps if total <= capacity else _by_joins
-    candidates = find(docs, reps, total, window)
-    discard(first)
-    owners = candidates.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("k1", "k2", "owner")
-    spots = candidates.join(owners, ["k1", "k2"]).filter("owner < doc_id").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    spots = stored(spots, "spots")
-
-    changed = spots.select("doc_id", F.lit(False).alias("copy"), "at").unionByName(copies.select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("at")))
-    changed = stored(changed.groupBy("doc_id").agg(F.max("copy").alias("copy"), F.first("at", ignorenulls=True).alias("at")), "changed")
-    touched, touched_log2, _ = id_bitmap(changed, "doc_id")
-    touched = spark.sparkContext.broadcast(touched)
-    schema = docs.select("doc_id", "text").schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    moved = map_arrow(docs, _touched(touched, touched_log2), schema).join(changed, "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "at")
     cut = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    out = map_arrow(docs, _untouched(touched, touched_log2, window), cut).unionByName(map_arrow(moved, _cut(window), cut))
+    out = _applied(docs.select("doc_id", "text"), window, width, _as_digests, cut)
     return out if text else out.drop("kept_text")
 
 
-def cut_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with repeated passages cut out of their texts (n_chars follows); documents that lose every word go."""
-    cut = dedup(docs, window, text=True).filter("n_removed > 0").select(F.col("doc_id").alias("__id"), "n_words", "n_removed", "kept_text")
-    new_text = F.coalesce("kept_text", "text")
-    out = docs.join(cut, F.col("doc_id") == F.col("__id"), "left").filter("n_removed is null or n_removed < n_words")
-    names = []
-    for c in docs.columns:
-        if c == "text":
-            names.append(new_text.alias("text"))
-        elif c == "n_chars":
-            names.append(F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            names.append(F.col(f"`{c}`"))
-    return out.select(*names)
+def cut_documents(docs: DataFrame, window: int = WINDOW, width: int = WIDTH) -> DataFrame:
+    """The documents, all their columns, with repeated passages cut out of their texts (n_chars follows, counted in characters); documents
+    that lose every word go. Rows that lose nothing are as they were."""
+    return _applied(docs, window, width, _as_documents, docs.schema)

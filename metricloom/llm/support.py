@@ -18,12 +18,16 @@ ARROW_BATCH_BYTES = 1 << 20
 #: Largest bitmap: 2**27 bits, 16 MB. Past that a bitmap only filters less, it never loses a row.
 MAX_BITS_LOG2 = 27
 MIN_BITS_LOG2 = 20
+#: A key is heavy if it has more than one in so many of all rows, so there are fewer heavy keys than this.
+HEAVY = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share, from ``spark.checkpoint.dir``; only where that is unset (tests) a local folder is set."""
+    """Folder all executors share, from ``spark.checkpoint.dir``; where that is unset, a local folder in local mode and an error on a cluster."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="metricloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -56,7 +60,7 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes; a worker gives freed memory back to the system after each partition."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
@@ -116,17 +120,40 @@ def id_bitmap(ids: DataFrame, column: str) -> tuple[np.ndarray, int, int]:
     return bitmap(ids.select((F.col(column).bitwiseAND(F.lit((1 << log2) - 1))).alias("cell")), log2), log2, n
 
 
+def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], total: int, count: str = "n") -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row a key; ``count`` says how many of the ``total`` rows of left have it.
+
+    Rows of heavy keys (fewer than ``HEAVY`` keys, as their counts add up to at most total) meet a broadcast copy where they are; only
+    the others are shuffled, at most total / HEAVY of one key to a task. Both sides are read more than once and should be stored.
+    """
+    heavy = F.broadcast(right.filter(F.col(count) * HEAVY > total))
+    light = left.join(heavy.select(*keys), keys, "left_anti").join(right.filter(F.col(count) * HEAVY <= total), keys)
+    return left.join(heavy, keys).unionByName(light)
+
+
+def hashed_sample(df: DataFrame, column: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of ``column`` (about; ties by the column itself).
+
+    A threshold on the hash keeps some 1.2 times as many rows first, so that what is sorted does not grow with the table.
+    """
+    n = df.count()
+    if n > most:
+        share = min(1.0, 1.2 * most / n + 64 / n)
+        df = df.filter(F.xxhash64(column) <= F.lit(int(-(2**63) + share * (2**64 - 2048))))
+    return df.orderBy(F.xxhash64(column), column).limit(most)
+
+
 def list_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def components(edges: DataFrame, name: str = "cc", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, name: str = "cc", rounds: int = 80) -> DataFrame:
     """(node, label) for every node of the undirected edges (a, b): label is the smallest node reachable.
 
     Alternates large-star and small-star steps, so each round halves the depth of the trees; every round is written to the
-    shared folder. Empty edges give an empty frame.
+    shared folder. Empty edges give an empty frame. An error is raised if the labels are not stable after ``rounds``.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     e = stored(e, name)
@@ -148,6 +175,8 @@ def components(edges: DataFrame, name: str = "cc", rounds: int = 40) -> DataFram
         if tuple(after) == before:
             break
         before = tuple(after)
+    else:
+        raise RuntimeError(f"components are not stable after {rounds} rounds")
     labels = e.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct().join(labels.select("node"), "node", "left_anti")
     return labels.unionByName(roots)

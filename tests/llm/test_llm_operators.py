@@ -120,11 +120,44 @@ def substring_brute(rows, k=50):
 
 def test_substring_dedup(spark):
     rows = [*corpus(), (-5, corpus()[6][1] + " tail")]
-    for capacity in (substring_dedup.CAPACITY, 0):
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(frame(spark, rows), capacity=capacity).collect()}
+    for width in (substring_dedup.WIDTH, 0.01):  # the narrow sketch takes nearly every window for repeated
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(frame(spark, rows), width=width).collect()}
         assert got == substring_brute(rows)
 
 
+def test_substring_sketch_never_counts_too_low(spark):
+    r = random.Random(8)
+    pairs = [(d, 0, a) for d in range(200) for a in r.sample(range(3000), 20)]
+    df = spark.createDataFrame(pairs, "doc_id long, key long, anchor long")
+    n = collections.Counter(a for _, _, a in pairs)
+    repeated = {p for p in pairs if n[p[2]] > 1}
+    for width in (8, 0.05):
+        got = {tuple(x) for x in substring_dedup.suspects(df, width).collect()}
+        assert repeated <= got and (width < 1 or len(got) < len(repeated) + 0.4 * (len(pairs) - len(repeated)))
+
+
+def test_substring_dedup_of_repeated_ids(spark, monkeypatch):
+    """Rows of one id with different texts are judged each by its own windows; heavy keys or not, the rows are the same."""
+    r = random.Random(4)
+    text = lambda n: " ".join(f"u{r.randrange(10_000)}" for _ in range(n))
+    shared, own = text(60), text(120)
+    rows = [(1, f"{shared} {text(10)}"), (2, f"{text(5)} {shared}"), (2, own), (3, own), (2, own), (4, f"{own}  x"), (4, own.replace(" ", "  "))]
+    for heavy in (support.HEAVY, 1):
+        monkeypatch.setattr(support, "HEAVY", heavy)
+        got = sorted((x.doc_id, x.n_words, x.n_removed) for x in substring_dedup.dedup(frame(spark, rows)).collect())
+        assert got == [(1, 70, 0), (2, 65, 60), (2, 120, 0), (2, 120, 0), (3, 120, 120), (4, 120, 120), (4, 121, 120)]
+
+
+def test_cut_documents_with_clashing_columns(spark):
+    names = ("n_words", "n_removed", "kept_text", "key", "at", "copy", "anchor", "digest", "cell")
+    rows = [(i, t, *(f"{n}{i}" for n in names)) for i, t in corpus()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = substring_dedup.cut_documents(df)
+    assert got.columns == df.columns
+    assert all(x[n] == f"{n}{x.doc_id}" for x in got.collect() for n in names)
+    assert substring_dedup.dedup(df).columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+
+
 def test_cut_documents(spark):
     rows = corpus()
     want = substring_brute(rows)
