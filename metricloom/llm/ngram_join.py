@@ -1,23 +1,29 @@
 """Self-join of documents on the Jaccard similarity of their word 5-gram sets, with adaptive multi-match prefixes.
 
-A document is the set of its distinct word shingles (64-bit hashes). Steps, all over every row and whole texts:
-
-1. Documents with the same set form one class; only the class's smallest id goes on.
-2. *Survivors*: two sets with Jaccard >= t share at least l of their ``n - ceil(t n) + l`` smallest hashes. With l a tenth of
-   the set (of the smaller one), a class of whose such hashes other documents have fewer cannot link with anything.
-3. *Rare first*: among survivors every shingle is counted; those one survivor alone has come first in the prefix and need no
-   posting, the most frequent ones come last. What more than the prefix of a document is unique to it ends there.
-4. *Adaptive prefixes*: with the prefix one token longer, a linked pair must share one token more. Each document takes the
-   length l (1 to ``MAX_MATCH``) of least estimated cost: postings read plus, as each candidate takes l of them, that number
-   over l verifications. A pair needs min(l_a, l_b) shared prefix tokens before its sets are compared.
-5. *Stars*: in a posting list only pairs with the list's leader (the document with the smallest unique share) are verified,
+A document is the set of its distinct word shingles (64-bit hashes). Steps, all over every row and whole texts, the same at every size:
+
+1. Texts with the same set form one class; one of them goes on.
+2. *Heads*: with the shingles in the order of their hashes, two sets with Jaccard >= t share at least min(l_a, l_b) of their
+   ``n - ceil(t n) + l`` first ones; l is a tenth of the set. The heads' shingles are counted over all classes. A class whose head holds fewer than l shingles
+   that another head has (l of the smallest set it could link with) links with nothing.
+3. *Adaptive prefixes*: within a head the shingles are put in the order of their counts, rare ones first; those no other head has come
+   first and need no posting. A document that leaves out the ``l - m`` most frequent ones (l as above) still shares m posted shingles with every
+   partner that does so too: what a pair loses is lost by the one of the two that leaves out more. So with each shingle by which its prefix is
+   longer a linked pair must share one more, and each document takes the m (1 to ``MAX_MATCH``) of least estimated cost: postings read
+   plus, as each candidate takes m of them, that number over m verifications. A pair needs min(m_a, m_b) shared posted shingles
+   before its sets are compared.
+4. *Stars*: in a posting list only pairs with the list's leader (the document with the smallest unique share) are verified,
    one for each document; members of one component need no comparison with each other. After that, the pairs left are those
-   across components of documents that are not in their leader's component, with length and unique-share bounds.
+   across components of documents that are not in their leader's component. Every pair must have room for enough shared
+   shingles before and after the one it meets at.
 
-Steps 2 and 3 look shingles up in bitmaps of bounded size while texts are read; past ``CAPACITY`` prefix shingles, where such
-bitmaps would tell nothing any more, they are joins on the shingle. Either way the components are exact, and all pairs of a group
-are never made. Nulls, empty and blank texts have an empty set, link with
-nothing and form a component of their own. Rows of one id count once; rows with a null doc_id are left out. Extra columns are ignored.
+Counting, looking up counts and postings are shuffles on the shingle; very frequent shingles, copies and components meet broadcast rows
+instead (``support.heavy_join``). The components are exact, and all pairs of a group are never made by steps 1 to 4; at worst, a list
+whose documents all lie in other components than their leader's, and are no links, is compared pair by pair.
+
+Nulls, empty and blank texts have an empty set, link with nothing and form a component of their own. Rows of one id are one node: with equal sets
+they give one row, with different sets one row each, in the same component. Rows with a null doc_id are left out. Extra columns are
+ignored by :func:`jaccard_components` and kept by :func:`keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,19 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Words, shingle_sets
-from .support import bitmap, bits_log2, components, discard, id_bitmap, id_cells, in_bitmap, list_column, map_arrow, stored
+from .support import components, discard, heavy_join, id_bitmap, id_cells, in_bitmap, list_column, map_arrow, stored
 
 MAX_MATCH = 4
 STAR_ROUNDS = 3
-#: Most frequent shingles whose counts order the prefixes: 2**16 longs and counts, 1 MB to each executor. Any order is exact.
-FREQUENT = 1 << 16
 #: One verification against one posting read, for the cost estimate.
 VERIFY_COST = 20.0
 PERCENT = 80
 WIDTH = 5
-#: Prefix shingles up to which bitmaps (16 MB at most) still tell shared from unique ones; beyond, joins do the same.
-CAPACITY = 1 << 26
-TABLE = "doc_id long, n long, u long, base long, prefix array<long>, common binary"
 
 
 def _needed(n, percent: int):
@@ -55,7 +56,7 @@ def _extra(n):
     return np.maximum(n // 10, 1)
 
 
-def _sketch_sets(percent: int, width: int):
+def _heads(percent: int, width: int):
     def step(batches):
         for b in batches:
             sets = shingle_sets(Words(b.column("text"), lower=True), width)
@@ -65,66 +66,20 @@ def _sketch_sets(percent: int, width: int):
             keep[n == 0] = 0
             head = np.concatenate([s[:k] for s, k in zip(sets, keep, strict=True)]) if len(sets) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n), pa.array(digests, pa.binary()), list_column(head.view(np.int64), keep, pa.int64())],
-                names=["doc_id", "n", "digest", "head"],
+                [b.column("doc_id"), b.column("key"), pa.array(n), pa.array(_extra(_needed(n, percent))), pa.array(digests, pa.binary()), list_column(head.view(np.int64), keep, pa.int64())],
+                names=["doc_id", "key", "n", "spare", "digest", "head"],
             )
 
     return step
 
 
-def _survivors(bits, log2: int, percent: int):
-    def step(batches):
-        for b in batches:
-            head = b.column("head")
-            flat = head.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            hot = in_bitmap(bits.value, (flat & np.uint64((1 << log2) - 1)).view(np.int64))
-            ends = np.concatenate(([0], np.cumsum(head.value_lengths().to_numpy(zero_copy_only=False))))
-            some = np.concatenate(([0], np.cumsum(hot)))
-            n = b.column("n").to_numpy(zero_copy_only=False)
-            enough = (n > 0) & (some[ends[1:]] - some[ends[:-1]] >= _extra(_needed(n, percent)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(enough))], names=["doc_id"])
-
-    return step
-
-
-def _chosen(b: pa.RecordBatch, ids, log2: int) -> pa.RecordBatch:
-    return b.filter(pa.array(in_bitmap(ids.value, id_cells(b.column("doc_id").to_numpy(zero_copy_only=False), log2))))
-
-
-def _count_tokens(ids, id_log2: int, width: int):
+def _whole_sets(ids, log2: int, width: int):
     def step(batches):
         for b in batches:
-            b = _chosen(b, ids, id_log2)
+            b = b.filter(pa.array(in_bitmap(ids.value, id_cells(b.column("doc_id").to_numpy(zero_copy_only=False), log2))))
             if b.num_rows:
-                t, c = np.unique(np.concatenate(shingle_sets(Words(b.column("text"), lower=True), width)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c)], names=["t", "c"])
-
-    return step
-
-
-def _prefixes(ids, id_log2: int, shared, log2: int, frequent, percent: int, width: int):
-    def step(batches):
-        often, rank = frequent.value
-        for b in batches:
-            b = _chosen(b, ids, id_log2)
-            rows: list[tuple] = []
-            for doc, s in zip(b.column("doc_id").to_pylist(), shingle_sets(Words(b.column("text"), lower=True), width), strict=True):
-                n = len(s)
-                if not n:
-                    continue
-                common = s[in_bitmap(shared.value, (s & np.uint64((1 << log2) - 1)).view(np.int64))]
-                unique = n - len(common)
-                base = n - _needed(n, percent) + 1
-                if base - unique <= 0:
-                    continue
-                order = np.zeros(len(common), dtype=np.int64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, common), len(often) - 1)
-                    order = np.where(often[at] == common, rank[at], 0)
-                token = common[np.lexsort((common, order))][: base + MAX_MATCH - 1 - unique]
-                rows.append((doc, n, unique, base - unique, token.view(np.int64), common.tobytes()))
-            if rows:
-                yield _table_batch(rows)
+                sets = shingle_sets(Words(b.column("text"), lower=True), width)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "key", "members"])
 
     return step
 
@@ -140,205 +95,158 @@ def _linked(percent: int):
     return step
 
 
-def _verify(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose sets reach the threshold, exactly."""
-    sets = table.select("doc_id", "n", "common")
     joined = (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("xn"), F.col("common").alias("xs")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("yn"), F.col("common").alias("ys")), "b")
+        pairs.join(sets.select(F.col("sid").alias("a"), F.col("n").alias("xn"), F.col("members").alias("xs")), "a")
+        .join(sets.select(F.col("sid").alias("b"), F.col("n").alias("yn"), F.col("members").alias("ys")), "b")
         .select("a", "b", "xn", "yn", "xs", "ys")
     )
     return map_arrow(joined, _linked(percent), "a long, b long")
 
 
-def _prefix_table(docs: DataFrame, first: DataFrame, reps: DataFrame, heads: int, percent: int, width: int) -> DataFrame | None:
-    """Steps 2 and 3 with bitmaps of bounded size: which shingles two documents have is looked up where the texts are read."""
-    spark = docs.sparkSession
-    # 2: which classes share a hash of their plain prefixes with any other document
-    log2 = bits_log2(heads)
-    cells = first.select(F.explode("head").alias("t")).select(F.col("t").bitwiseAND(F.lit((1 << log2) - 1)).alias("cell"))
-    bits = spark.sparkContext.broadcast(bitmap(cells.groupBy("cell").count().filter("count > 1"), log2))
-    alive = map_arrow(first.select("doc_id", "n", "head"), _survivors(bits, log2, percent), "doc_id long")
-    ids, id_log2, n_alive = id_bitmap(alive.join(reps, "doc_id", "left_semi"), "doc_id")
-    bits.unpersist()
-    if not n_alive:
-        return None
-    ids = spark.sparkContext.broadcast(ids)
-
-    # 3: counts of all shingles of the survivors, then prefixes with the rare ones first
-    tokens = map_arrow(docs, _count_tokens(ids, id_log2, width), "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).filter("c > 1")
-    tokens = stored(tokens, "tokens")
-    log2 = bits_log2(tokens.count())
-    shared = spark.sparkContext.broadcast(bitmap(tokens.select(F.col("t").bitwiseAND(F.lit((1 << log2) - 1)).alias("cell")), log2))
-    top = tokens.filter("c > 8").orderBy(F.desc("c"), "t").limit(FREQUENT).toArrow()
-    often = top["t"].to_numpy().view(np.uint64)
-    by = np.argsort(often)
-    frequent = spark.sparkContext.broadcast((often[by], top["c"].to_numpy()[by]))
-    discard(tokens)
-    table = map_arrow(docs, _prefixes(ids, id_log2, shared, log2, frequent, percent, width), TABLE).join(reps, "doc_id", "left_semi")
-    table = stored(table, "prefixes")
-    for x in (ids, shared, frequent):
-        x.unpersist()
-    return table
-
-
-def _prefix_table_by_joins(docs: DataFrame, first: DataFrame, reps: DataFrame, heads: int, percent: int, width: int) -> DataFrame | None:
-    """Steps 2 and 3 beyond the bitmaps' capacity: the same by joins on the shingle, with the order by exact counts."""
-    head = first.join(reps, "doc_id", "left_semi").select("doc_id", "n", F.explode("head").alias("t"))
-    hot = head.join(head.groupBy("t").count().filter("count > 1").select("t"), "t", "left_semi").groupBy("doc_id", "n").count()
-    alive = stored(hot.filter(f"count >= greatest(ceil(n * {percent} / 100) div 10, 1)").select("doc_id"), "alive")
-    own = map_arrow(docs.join(alive, "doc_id", "left_semi").dropDuplicates(["doc_id"]), _tokens_of(width), "doc_id long, n long, t long")
-    own = stored(own, "own")
-    counted = own.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1")
-    common = own.join(counted, "t").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("by_count"))
-    table = stored(map_arrow(common.select("doc_id", "n", F.col("by_count.t").alias("t")), _prefixes_of(percent), TABLE), "prefixes")
-    discard(own, alive)
-    return table
-
-
-def _tokens_of(width: int):
-    def step(batches):
-        for b in batches:
-            sets = shingle_sets(Words(b.column("text"), lower=True), width)
-            n = np.array([len(s) for s in sets], dtype=np.int64)
-            if n.sum():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], names=["doc_id", "n", "t"]
-                )
+def _classes(first: DataFrame) -> DataFrame:
+    """(sid, rep) of the rows whose set an earlier row has too: rep is the smallest sid of the class."""
+    full = first.filter("n > 0")
+    many = stored(full.groupBy("digest").agg(F.min("sid").alias("rep"), F.count("*").alias("rows")).filter("rows > 1"), "classes")
+    return stored(heavy_join(full.select("sid", "digest"), many, ["digest"], full.count(), "rows").filter("sid != rep").select("sid", "rep"), "copies")
 
-    return step
-
-
-def _prefixes_of(percent: int):
-    def step(batches):
-        for b in batches:
-            rows = []
-            for doc, n, t in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("t").to_pylist(), strict=True):
-                ordered = np.array(t, dtype=np.int64)
-                base = n - _needed(n, percent) + 1 - (n - len(ordered))
-                if base > 0:
-                    rows.append((doc, n, n - len(ordered), base, ordered[: base + MAX_MATCH - 1], np.sort(ordered.view(np.uint64)).tobytes()))
-            if rows:
-                yield _table_batch(rows)
-
-    return step
-
-
-def _table_batch(rows: list[tuple]) -> pa.RecordBatch:
-    ids, n, unique, base, token, common = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(unique, pa.int64()), pa.array(base, pa.int64()),
-         list_column(np.concatenate(token), np.array([len(t) for t in token]), pa.int64()), pa.array(common, pa.binary())],
-        names=["doc_id", "n", "u", "base", "prefix", "common"],
-    )
 
+def _postings(heads: DataFrame) -> DataFrame:
+    """Steps 2 and 3: (t, sid, n, u, need, before, after) of the posted shingles.
 
-def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
-    """(documents with n_shingles and class ``rep``, verified edges (a, b) between class representatives that span the links).
+    ``spare`` is the smallest ``_extra`` of any set that a set can link with. u counts the shingles of the head that no other head has. In the
+    order of hashes, before counts the shingles ahead of t that another head has (a partner with t has them in its head, if at all),
+    and after counts all that follow.
+    """
+    total = heads.agg(F.coalesce(F.sum(F.size("head")), F.lit(0))).first()[0]
+    counted = heads.select("sid", F.explode("head").alias("t")).groupBy("t").agg(F.count("*").alias("df"), F.min("sid").alias("sid"))
+    # of a shingle of one head only its owner matters
+    counted = stored(counted.select(F.expr("if(df > 1, t, null) as t"), "df", F.expr("if(df > 1, null, sid) as sid")), "counts")
+    alone = counted.filter("df = 1").groupBy("sid").agg(F.count("*").alias("u"))
+    alive = heads.select("sid", "spare", F.size("head").alias("h")).join(alone, "sid", "left").filter("h - coalesce(u, 0) >= spare").select("sid")
+    alive = stored(alive, "alive")
+    shared = counted.filter("df > 1").select("t", "df")
+    posted = heads.join(alive, "sid", "left_semi").select("sid", "n", "spare", F.size("head").alias("h"), F.posexplode("head").alias("pos", "t"))
+    by_set = heavy_join(posted, shared, ["t"], total, "df").groupBy("sid", "n", "spare", "h").agg(F.collect_list(F.struct("df", "t", "pos")).alias("items"))
+    by_set = by_set.withColumn("items", F.array_sort("items")).withColumn("u", F.col("h") - F.size("items"))
+    # the prefix for one match: all but the spare - 1 most frequent shingles of the head
+    by_set = by_set.withColumn("one", F.expr("h - spare + 1 - u"))
+    costs = [
+        F.struct((F.expr(f"aggregate(slice(items, 1, greatest(one + {k - 1}, 0)), 0D, (a, x) -> a + x.df - 1)") * (1 + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("need"))
+        for k in range(1, MAX_MATCH + 1)
+    ]
+    # no more matches can be asked for than the partner's smallest head is sure to share
+    need = F.array_min(F.filter(F.array(*costs), lambda c: c["need"] <= F.col("spare")))["need"]
+    places = F.expr("array_sort(transform(items, x -> x.pos))")
+    chosen = by_set.withColumn("need", need).withColumn("places", places).filter("one + need - 1 > 0")
+    rows = chosen.select("sid", "n", "u", "h", "need", "places", F.explode(F.expr("slice(items, 1, one + need - 1)")).alias("x"))
+    before = F.expr("array_position(places, x.pos) - 1")
+    rows = rows.select(F.col("x.t").alias("t"), "sid", "n", "u", "need", before.alias("before"), F.expr("n - x.pos - 1").alias("after"))
+    rows = stored(rows, "postings")
+    discard(counted, alive)
+    return rows
+
+
+def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """(rows doc_id, n, sid with the class representative's sid, verified edges (a, b) between sids that span the links).
 
     ``docs`` needs doc_id (long) and text. The edges connect exactly what the links connect; they are not all links.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    first = stored(map_arrow(docs, _sketch_sets(percent, width), "doc_id long, n long, digest binary, head array<long>"), "sets")
-    classes = first.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    hot = first.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep")).unionByName(
-        first.filter("n > 0").select("doc_id", "n", "digest").join(classes, "digest").select("doc_id", "n", "rep")
-    )
-    members = stored(hot.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("rep").alias("rep")), "members")
-
-    heads = first.agg(F.sum(F.size("head"))).first()[0] or 0
-    reps = members.filter("doc_id = rep").select("doc_id")
-    by_bitmaps = _prefix_table if heads <= capacity else _prefix_table_by_joins
-    table = by_bitmaps(docs, first, reps, heads, percent, width)
+    docs = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), "text")
+    first = map_arrow(docs, _heads(percent, width), "doc_id long, key long, n long, spare long, digest binary, head array<long>")
+    first = stored(first.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    copies = _classes(first)
+    members = first.select("doc_id", "n", "sid").join(copies, "sid", "left").select("doc_id", "n", F.coalesce("rep", "sid").alias("sid")).distinct()
+    members = stored(members, "members")
+    # rows of one id are one node
+    several = members.groupBy("doc_id").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("doc_id", "lo")
+    edges = stored(members.join(several, "doc_id").filter("sid != lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")), "edges")
+
+    if not first.groupBy("doc_id", "key").count().filter("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "key"])
+    heads = stored(first.filter("n > 0").join(copies, "sid", "left_anti").drop("digest"), "heads")
     discard(first)
-    if table is None:
-        return members, spark.createDataFrame([], "a long, b long")
-
-    # 4: postings of tokens that two documents have, and each document's length of prefix
-    posting = table.select("doc_id", "n", "u", "base", F.posexplode("prefix").alias("pos", "t"))
-    count = posting.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
-    posting = posting.join(count, "t")
-    reads = [F.sum(F.when(F.col("pos") < F.col("base") + (k - 1), F.col("df") - 1).otherwise(0)).alias(f"r{k}") for k in range(1, MAX_MATCH + 1)]
-    least = F.array_min(F.array(*[F.struct((F.col(f"r{k}") * (1 + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("need")) for k in range(1, MAX_MATCH + 1)]))
-    need = posting.groupBy("doc_id").agg(*reads).select("doc_id", least["need"].alias("need"))
-    posting = stored(
-        posting.join(need, "doc_id").filter("pos < base + need - 1").select("t", "doc_id", "n", (F.col("u") + F.col("pos")).alias("at"), "u", "need"), "postings"
-    )
-
-    # 5: stars
-    edges = tried = None
+    posting = _postings(heads)
+    wanted = stored(posting.select("sid").distinct().join(heads.select("sid", "doc_id", "key", "n"), "sid"), "wanted")
+    discard(heads)
+    ids, log2, n_wanted = id_bitmap(wanted, "doc_id")
+    if not n_wanted:
+        return members, edges
+    ids = docs.sparkSession.sparkContext.broadcast(ids)
+    sets = map_arrow(docs, _whole_sets(ids, log2, width), "doc_id long, key long, members binary")
+    sets = stored(sets.join(wanted, ["doc_id", "key"]).select("sid", "n", "members"), "wholes")
+
+    # 4: stars
+    total = posting.count()
+    tried = None
     labels = None
     for k in range(STAR_ROUNDS):
         now = _labelled(posting, labels)
         best = (
-            now.alias("x").join(_leaders(now).select("t", "lead").alias("l"), "t").select("x.*", F.col("lead.*"))
-            .filter(f"label != llabel and {_reach('n', 'at', 'ln', 'least(need, lneed)', percent)} and {_reach('ln', 'lat', 'n', 'least(need, lneed)', percent)} and {_room('', 'l', percent)}")
-            .groupBy(F.col("doc_id").alias("b"), F.col("lid").alias("a"), F.least("need", "lneed").alias("need")).count().filter("count >= need")
+            heavy_join(now, stored(_leaders(now).select("t", "rows", "lead.*"), "leaders"), ["t"], total, "rows")
+            .filter(f"label != llabel and {_room('', 'l', percent)}")
+            .groupBy(F.col("sid").alias("b"), F.col("lsid").alias("a"), F.least("need", "lneed").alias("need")).count().filter("count >= need")
         )
         if tried is not None:
             best = best.join(tried, ["a", "b"], "left_anti")
         pairs = best.groupBy("b").agg(F.max(F.struct("count", F.expr("-a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
         pairs = stored(pairs, "pairs")
-        found = stored(_verify(pairs, table, percent), "edges")
+        found = stored(_verify(pairs, sets, percent), "edges")
         n = found.count()
-        edges = found if edges is None else edges.unionByName(found)
+        edges = edges.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if n:
-            labels = stored(components(edges).select(F.col("node").alias("doc_id"), "label"), "labels")
+            labels = stored(components(edges).select(F.col("node").alias("sid"), "label"), "labels")
         if not n or k and not n * 20 > pairs.count():
             break
 
     # the pairs left: across components, of documents that are not in their leader's one
     now = _labelled(posting, labels)
-    sides = now.join(_leaders(now).select("t", F.col("lead.llabel").alias("al")), "t")
-    need = "least(x.need, y.need)"
+    leaders = stored(_leaders(now).select("t", "rows", F.col("lead.llabel").alias("al")), "leaders")
+    sides = heavy_join(now, leaders, ["t"], total, "rows").drop("rows")
     left = (
         sides.filter("label != al").alias("x")
-        .join(sides.alias("y"), F.expr(f"x.t = y.t and x.label != y.label and {_reach('x.n', 'x.at', 'y.n', need, percent)} and {_reach('y.n', 'y.at', 'x.n', need, percent)} and {_room('x.', 'y.', percent)}"))
-        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.expr(f"{need} as need"), F.expr("if(y.label != y.al, 1, 2) as w"))
+        .join(sides.alias("y"), F.expr(f"x.t = y.t and x.label != y.label and {_room('x.', 'y.', percent)}"))
+        .select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"), F.expr("least(x.need, y.need) as need"), F.expr("if(y.label != y.al, 1, 2) as w"))
         .groupBy("a", "b", "need").agg(F.sum("w").alias("shared")).filter("shared >= 2 * need").select("a", "b")
     )
     if tried is not None:
         left = left.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    found = stored(_verify(stored(left, "left"), table, percent), "edges")
-    return members, found if edges is None else edges.unionByName(found)
+    found = stored(_verify(stored(left, "left"), sets, percent), "edges")
+    return members, edges.unionByName(found)
 
 
 def _labelled(posting: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return posting.withColumn("label", F.col("doc_id"))
-    return posting.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        return posting.withColumn("label", F.col("sid"))
+    return posting.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
 
 def _leaders(now: DataFrame) -> DataFrame:
-    """Of each posting list that spans components: the document with the smallest unique share."""
-    lead = F.struct((F.col("u") / F.col("n")).alias("share"), F.col("doc_id").alias("lid"), F.col("label").alias("llabel"), F.col("n").alias("ln"), F.col("u").alias("lu"), F.col("at").alias("lat"), F.col("need").alias("lneed"))
-    return now.groupBy("t").agg(F.min(lead).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-
-
-def _reach(n: str, at: str, other: str, need: str, percent: int) -> str:
-    """Whether a token at position ``at`` of n can be among the first ``need`` that a linked pair of these lengths shares.
-
-    They share at least o = percent (n + other) / (100 + percent) tokens, and o - need of them come later.
-    """
-    return f"{percent} * ({n} + {other}) <= (100 + {percent}) * ({n} + {need} - {at} - 1)"
+    """Of each posting list that spans components: the document with the smallest unique share, and the list's length."""
+    lead = F.struct((F.col("u") / F.col("n")).alias("share"), *[F.col(c).alias(f"l{c}") for c in ("sid", "label", "n", "need", "before", "after")])
+    return now.groupBy("t").agg(F.min(lead).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).filter("lo < hi")
 
 
 def _room(x: str, y: str, percent: int) -> str:
-    """Whether a pair that shares a token at these positions can share enough: what came before it, less the unique tokens, it, and what follows."""
-    before, after = f"least({x}at - {x}u, {y}at - {y}u)", f"least({x}n - {x}at, {y}n - {y}at)"
-    return f"(100 + {percent}) * ({before} + {after}) >= {percent} * ({x}n + {y}n)"
+    """Whether a pair that shares a shingle can share enough: at most what both have before it, it, and what both have after it."""
+    both = f"least({x}before, {y}before) + 1 + least({x}after, {y}after)"
+    return f"(100 + {percent}) * ({both}) >= {percent} * ({x}n + {y}n)"
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, capacity: int = CAPACITY) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document; component_id is the smallest doc_id reachable by links."""
-    members, edges = links(docs, percent, width, capacity)
-    labels = components(edges).select(F.col("node").alias("rep"), "label")
-    return members.join(labels, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
+    members, edges = links(docs, percent, width)
+    labels = components(edges).select(F.col("node").alias("sid"), "label")
+    members = stored(members.join(labels, "sid", "left").select("doc_id", "n", F.coalesce("label", "sid").alias("label")), "labelled")
+    roots = members.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1")
+    joined = heavy_join(members, stored(roots, "roots"), ["label"], members.count(), "rows").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    lone = members.join(stored(roots.select("label"), "several"), "label", "left_anti").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return joined.unionByName(lone)
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """The documents (all their columns) without those that share a component with a smaller doc_id."""
-    keep = jaccard_components(docs, percent, width).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
-    return docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
+    keep = jaccard_components(docs, percent, width).filter("doc_id = component_id").select(F.col("doc_id").alias("_mx_keep"))
+    return docs.join(keep, F.col("doc_id") == F.col("_mx_keep"), "left_semi")

@@ -80,8 +80,6 @@ def test_ngram_join(spark, seed):
     got = {r.doc_id: r for r in ngram_join.jaccard_components(frame(spark, rows)).collect()}
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
     assert {i: r.component_id for i, r in got.items()} == component
-    joined = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(frame(spark, rows), capacity=0).collect()}
-    assert joined == component
     kept = ngram_join.keep_one(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
     assert {r.doc_id for r in kept.collect()} == {i for i, c in component.items() if i == c}
@@ -100,6 +98,45 @@ def test_ngram_join_many_near_copies_of_each_other(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(frame(spark, rows)).collect()} == jaccard_brute(rows)[1]
 
 
+def test_ngram_join_of_repeated_ids_and_heavy_keys(spark, monkeypatch):
+    """Texts of one id are one node, whole repeats one row; heavy keys or not, the rows are the same."""
+    r = random.Random(12)
+    text = lambda n: " ".join(f"q{r.randrange(5000)}" for _ in range(n))
+    a, b = text(80), text(90)
+    rows = [(5, a), (3, b), (5, b + " tail"), (9, a + " tail"), (9, a + " tail"), (2, text(70)), (7, ""), (7, text(40))]
+    want = [(2, 66, 2), (3, 86, 3), (5, 76, 3), (5, 87, 3), (7, 0, 7), (7, 36, 7), (9, 77, 3)]
+    for heavy in (support.HEAVY, 1):
+        monkeypatch.setattr(support, "HEAVY", heavy)
+        got = sorted(tuple(x) for x in ngram_join.jaccard_components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect())
+        assert got == want
+        assert {x.doc_id: x.component_id for x in ngram_join.jaccard_components(frame(spark, corpus())).collect()} == jaccard_brute(corpus())[1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ngram_join_at_the_threshold(spark, seed):
+    """Pairs on both sides of 0.8 of all lengths, over frequent shingles."""
+    r = random.Random(seed)
+    rows, common = [], [f"c{i}" for i in range(60)]
+    for g in range(60):
+        n = r.choice((5, 6, 9, 14, 25, 60, 150))
+        base = [f"g{g}-{i}" for i in range(n)] + (common[: r.randrange(60)] if g % 2 else [])
+        for k in range(3):
+            w = list(base)
+            at = r.randrange(len(w))
+            w[at : at + r.randrange(max(1, n // 8) + 1)] = [f"z{g}-{k}-{i}" for i in range(r.randrange(max(1, n // 12) + 1))]
+            rows.append((g * 3 + k, " ".join(w)))
+    r.shuffle(rows)
+    sets, component = jaccard_brute(rows)
+    assert {x.doc_id: x.component_id for x in ngram_join.jaccard_components(frame(spark, rows)).collect()} == component
+
+
+def test_keep_one_with_clashing_columns(spark):
+    names = ("key", "sid", "rep", "head", "n_shingles", "component_id", "t", "rows")
+    df = spark.createDataFrame([(i, t, *(f"{n}{i}" for n in names)) for i, t in corpus()], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = ngram_join.keep_one(df)
+    assert got.columns == df.columns and {x.doc_id for x in got.collect()} == {i for i, c in jaccard_brute(corpus())[1].items() if i == c}
+
+
 # -- 8
 
 
