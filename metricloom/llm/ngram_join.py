@@ -15,7 +15,7 @@ A document is the set of its distinct word shingles (64-bit hashes). Steps, all
 4. *Stars*: in a posting list only pairs with the list's leader (the document with the smallest unique share) are verified,
    one for each document; members of one component need no comparison with each other. After that, the pairs left are those
    across components of documents that are not in their leader's component. Every pair must have room for enough shared
-   shingles before and after the one it meets at.
+   shingles before and after the one it meets at, in the order of hashes as in that of counts.
 
 Counting, looking up counts and postings are shuffles on the shingle; very frequent shingles, copies and components meet broadcast rows
 instead (``support.heavy_join``). The components are exact, and all pairs of a group are never made by steps 1 to 4; at worst, a list
@@ -113,11 +113,11 @@ def _classes(first: DataFrame) -> DataFrame:
 
 
 def _postings(heads: DataFrame) -> DataFrame:
-    """Steps 2 and 3: (t, sid, n, u, need, before, after) of the posted shingles.
+    """Steps 2 and 3: (t, sid, n, u, need, tail, later, before, after) of the posted shingles.
 
-    ``spare`` is the smallest ``_extra`` of any set that a set can link with. u counts the shingles of the head that no other head has. In the
-    order of hashes, before counts the shingles ahead of t that another head has (a partner with t has them in its head, if at all),
-    and after counts all that follow.
+    ``spare`` is the smallest ``_extra`` of any set that a set can link with. u counts the shingles of the head that no other head has, tail
+    those outside the head, later the shared shingles of the head that follow t in the order of counts. In the order of hashes, before counts
+    the shingles ahead of t that another head has (a partner with t has them in its head, if at all), and after all that follow.
     """
     total = heads.agg(F.coalesce(F.sum(F.size("head")), F.lit(0))).first()[0]
     counted = heads.select("sid", F.explode("head").alias("t")).groupBy("t").agg(F.count("*").alias("df"), F.min("sid").alias("sid"))
@@ -128,8 +128,10 @@ def _postings(heads: DataFrame) -> DataFrame:
     alive = stored(alive, "alive")
     shared = counted.filter("df > 1").select("t", "df")
     posted = heads.join(alive, "sid", "left_semi").select("sid", "n", "spare", F.size("head").alias("h"), F.posexplode("head").alias("pos", "t"))
-    by_set = heavy_join(posted, shared, ["t"], total, "df").groupBy("sid", "n", "spare", "h").agg(F.collect_list(F.struct("df", "t", "pos")).alias("items"))
-    by_set = by_set.withColumn("items", F.array_sort("items")).withColumn("u", F.col("h") - F.size("items"))
+    by_set = heavy_join(posted, shared, ["t"], total, "df").groupBy("sid", "n", "spare", "h").agg(F.sort_array(F.collect_list(F.struct("pos", "df", "t"))).alias("items"))
+    # in the order of counts, each with the number of shared shingles ahead of it in the order of hashes
+    by_set = by_set.withColumn("items", F.expr("sort_array(transform(items, (x, i) -> struct(x.df as df, x.t as t, x.pos as pos, i as before)))"))
+    by_set = by_set.withColumn("common", F.size("items")).withColumn("u", F.expr("h - common"))
     # the prefix for one match: all but the spare - 1 most frequent shingles of the head
     by_set = by_set.withColumn("one", F.expr("h - spare + 1 - u"))
     costs = [
@@ -138,11 +140,9 @@ def _postings(heads: DataFrame) -> DataFrame:
     ]
     # no more matches can be asked for than the partner's smallest head is sure to share
     need = F.array_min(F.filter(F.array(*costs), lambda c: c["need"] <= F.col("spare")))["need"]
-    places = F.expr("array_sort(transform(items, x -> x.pos))")
-    chosen = by_set.withColumn("need", need).withColumn("places", places).filter("one + need - 1 > 0")
-    rows = chosen.select("sid", "n", "u", "h", "need", "places", F.explode(F.expr("slice(items, 1, one + need - 1)")).alias("x"))
-    before = F.expr("array_position(places, x.pos) - 1")
-    rows = rows.select(F.col("x.t").alias("t"), "sid", "n", "u", "need", before.alias("before"), F.expr("n - x.pos - 1").alias("after"))
+    chosen = by_set.withColumn("need", need).filter("one + need - 1 > 0")
+    rows = chosen.select("sid", "n", "u", "h", "need", "common", F.posexplode(F.expr("slice(items, 1, one + need - 1)")).alias("q", "x"))
+    rows = rows.select(F.col("x.t").alias("t"), "sid", "n", "u", "need", F.expr("n - h").alias("tail"), F.expr("common - q - 1").alias("later"), F.col("x.before").alias("before"), F.expr("n - x.pos - 1").alias("after"))
     rows = stored(rows, "postings")
     discard(counted, alive)
     return rows
@@ -185,7 +185,7 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[
         now = _labelled(posting, labels)
         best = (
             heavy_join(now, stored(_leaders(now).select("t", "rows", "lead.*"), "leaders"), ["t"], total, "rows")
-            .filter(f"label != llabel and {_room('', 'l', percent)}")
+            .filter(f"label != llabel and {_room('', 'l', percent)} and {_reach('', 'l', 'least(need, lneed)', percent)} and {_reach('l', '', 'least(need, lneed)', percent)}")
             .groupBy(F.col("sid").alias("b"), F.col("lsid").alias("a"), F.least("need", "lneed").alias("need")).count().filter("count >= need")
         )
         if tried is not None:
@@ -205,10 +205,11 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[
     now = _labelled(posting, labels)
     leaders = stored(_leaders(now).select("t", "rows", F.col("lead.llabel").alias("al")), "leaders")
     sides = heavy_join(now, leaders, ["t"], total, "rows").drop("rows")
+    fewer = "least(x.need, y.need)"
     left = (
         sides.filter("label != al").alias("x")
-        .join(sides.alias("y"), F.expr(f"x.t = y.t and x.label != y.label and {_room('x.', 'y.', percent)}"))
-        .select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"), F.expr("least(x.need, y.need) as need"), F.expr("if(y.label != y.al, 1, 2) as w"))
+        .join(sides.alias("y"), F.expr(f"x.t = y.t and x.label != y.label and {_room('x.', 'y.', percent)} and {_reach('x.', 'y.', fewer, percent)} and {_reach('y.', 'x.', fewer, percent)}"))
+        .select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"), F.expr(f"{fewer} as need"), F.expr("if(y.label != y.al, 1, 2) as w"))
         .groupBy("a", "b", "need").agg(F.sum("w").alias("shared")).filter("shared >= 2 * need").select("a", "b")
     )
     if tried is not None:
@@ -225,7 +226,7 @@ def _labelled(posting: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _leaders(now: DataFrame) -> DataFrame:
     """Of each posting list that spans components: the document with the smallest unique share, and the list's length."""
-    lead = F.struct((F.col("u") / F.col("n")).alias("share"), *[F.col(c).alias(f"l{c}") for c in ("sid", "label", "n", "need", "before", "after")])
+    lead = F.struct((F.col("u") / F.col("n")).alias("share"), *[F.col(c).alias(f"l{c}") for c in ("sid", "label", "n", "need", "tail", "later", "before", "after")])
     return now.groupBy("t").agg(F.min(lead).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).filter("lo < hi")
 
 
@@ -235,6 +236,15 @@ def _room(x: str, y: str, percent: int) -> str:
     return f"(100 + {percent}) * ({both}) >= {percent} * ({x}n + {y}n)"
 
 
+def _reach(x: str, y: str, need: str, percent: int) -> str:
+    """Whether a shingle of x can be among the first ``need`` in the order of counts that both heads have.
+
+    Of the o shingles that a linked pair shares, all but the larger of the two tails lie in both heads, and all of these but ``need`` at most
+    follow it there.
+    """
+    return f"(100 + {percent}) * ({x}later + {need} + greatest({x}tail, {y}tail)) >= {percent} * ({x}n + {y}n)"
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document; component_id is the smallest doc_id reachable by links."""
     members, edges = links(docs, percent, width)
