@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -140,6 +142,81 @@ class LabelModel:
         return right / np.maximum(self.prior * (self.chance[0][1] + self.chance[1][1]) + (1 - self.prior) * (self.chance[0][0] + self.chance[1][0]), 1e-12)
 
 
+    def fit_table(self, patterns: DataFrame, voters: int, start: Callable[[np.ndarray], np.ndarray], rounds: int = 12, belief: tuple[tuple[float, float], ...] | None = None, strength: float = 0.0) -> LabelModel:
+        """EM over a table of (votes binary, n): distinct vote patterns, a byte a voter, and the rows that have each.
+
+        Every round is one pass over the table; only sums by class, vote and voter reach the driver. ``start`` guesses P(1) of patterns at
+        first. The prior given to the model stays as it is. In the middle the voters' correlations are estimated in a pass of their own.
+        """
+        self.weight, self.chance = np.ones(voters), None
+        for r in range(rounds):
+            sums = _sums(patterns, _class_sums(self, voters, start), 6 * voters + 2)
+            total, said = sums[-2:], sums[:-2].reshape(3, 2, voters)
+            self.chance = (said + 0.5 * (np.arange(3) + 1)[:, None, None] / 6 + 0.05) / (total[None, :, None] + 1.0)
+            if belief is not None:
+                weight = strength * total.sum()
+                self.chance = (self.chance * total[None, :, None] + np.array(belief)[:, :, None] * weight) / (total[None, :, None] + weight)
+            self.chance /= self.chance.sum(0, keepdims=True)
+            if r == rounds // 2:
+                c = _sums(patterns, _joint_sums(self, voters), voters * voters).reshape(voters, voters)
+                scale = np.sqrt(np.diag(c)) + 1e-9
+                c = c / np.outer(scale, scale)
+                np.fill_diagonal(c, 0)
+                self.weight = 1 / (1 + np.where(c > 0.1, c, 0).sum(1))
+        return self
+
+
+def _sums(patterns: DataFrame, step, size: int) -> np.ndarray:
+    """Sums of the rows (k, v) by k, rounded so that the order of adding does not show."""
+    got = map_arrow(patterns, step, "k int, v double").groupBy("k").agg(F.round(F.sum("v"), 6).alias("v")).toArrow()
+    out = np.zeros(size)
+    out[got["k"].to_numpy()] = got["v"].to_numpy()
+    return out
+
+
+def _read_patterns(b: pa.RecordBatch, voters: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(b.column("votes").to_pylist()), dtype=np.int8).reshape(b.num_rows, voters), b.column("n").to_numpy().astype(float)
+
+
+def _as_rows(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["k", "v"])
+
+
+def _class_sums(model: LabelModel, voters: int, start):
+    weight, chance, prior = model.weight, model.chance, model.prior
+
+    def step(batches):
+        own = LabelModel(prior)
+        own.weight, own.chance = weight, chance
+        total = np.zeros(6 * voters + 2)
+        for b in batches:
+            votes, n = _read_patterns(b, voters)
+            post = start(votes) if chance is None else own.posterior(votes)
+            q = np.stack([1 - post, post]) * n
+            total += np.concatenate([*[(q @ (votes == v).astype(float)).ravel() for v in (1, 0, -1)], q.sum(1)])
+        yield _as_rows(total)
+
+    return step
+
+
+def _joint_sums(model: LabelModel, voters: int):
+    weight, chance, prior = model.weight, model.chance, model.prior
+
+    def step(batches):
+        own = LabelModel(prior)
+        own.weight, own.chance = weight, chance
+        mean = chance[0] - chance[2]
+        total = np.zeros((voters, voters))
+        for b in batches:
+            votes, n = _read_patterns(b, voters)
+            post = own.posterior(votes)
+            left = (votes - np.outer(1 - post, mean[0]) - np.outer(post, mean[1])) * np.sqrt(n)[:, None]
+            total += left.T @ left
+        yield _as_rows(total.ravel())
+
+    return step
+
+
 def logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, l2: float = 1e-4, rounds: int = 400, rate: float = 0.5) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic model of soft labels on 0/1 features (row, column), by full-batch Adam."""
     w, b = np.zeros(width + 1), float(np.log(max(y.mean(), 1e-4) / max(1 - y.mean(), 1e-4)))

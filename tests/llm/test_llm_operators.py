@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from metricloom.llm import decontaminate, embedding_dedup, license_scan, ngram_join, packing, quality, substring_dedup, support, toxicity, url_filter, warc
-from metricloom.llm.weak import LabelModel
+from metricloom.llm.weak import LabelModel, chosen_terms
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n string, rep string, label string"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -363,10 +363,56 @@ def test_toxicity_learns_terms_and_holds_out(spark):
     # labels of held-out rows are not looked at
     flipped = known.withColumn("toxic", F.when(toxicity.fold() == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert np.allclose(toxicity.fit(docs, flipped).weights, model.weights)
+    # one label does not make a posterior: clean-looking rows labelled toxic are told apart by their votes
+    wrong = known.withColumn("toxic", F.when((F.col("doc_id") % 15 == 1), 1).otherwise(F.col("toxic")))
+    other = toxicity.fit(docs, wrong)
+    again = {x.doc_id: x.predicted for x in toxicity.score(docs, other).collect()}
+    assert not any(again[i] for i in range(1500) if i % 15 == 1 and i % 5) and np.mean([again[i] for i in range(0, 1500, 5)]) > 0.95
+    # unlabelled rows count in the label model
+    few = toxicity.fit(docs, known.filter("doc_id < 750"))
+    votes = few.label_model.chance[:, 1, 0]
+    assert abs(votes.sum() - 1) < 1e-9 and few.label_model.prior > 0.1
     kept = toxicity.drop_toxic(docs, known)
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, x in got.items() if not x.predicted}
 
 
+def test_toxicity_scores_as_a_plain_sum(spark):
+    """Scores over whole batches against one word at a time."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    table, seen = model.voters.table, {}
+
+    def columns(word):
+        if word not in seen:
+            seen[word] = set(chosen_terms(pa.array([word]), table)[1].tolist())
+        return seen[word]
+
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    for x in toxicity.score(docs, model).collect():
+        t = rows[x.doc_id] or ""
+        found = re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", t)
+        own = set().union(*(columns(w) for w in set(found)))
+        patterns = toxicity.pattern_votes(pa.array([t]))[0] == 1
+        lexicon = any(w.lower() in toxicity.LEXICON for w in found)
+        assert patterns[0] == lexicon
+        odds = model.bias + sum(model.weights[c] for c in own) + model.pattern_weights[patterns].sum()
+        assert abs(x.score - 1 / (1 + np.exp(-odds))) < 1e-9 and x.predicted == int(x.score >= 0.5)
+
+
+def test_label_model_of_a_table_is_that_of_the_rows(spark):
+    rng = np.random.default_rng(1)
+    y = rng.random(3000) < 0.3
+    votes = np.where(rng.random((3000, 5)) < np.where(y[:, None], 0.6, 0.05), 1, -1).astype(np.int8)
+    votes[(votes != 1).all(1), 4] = 0
+    patterns, n = np.unique(votes, axis=0, return_counts=True)
+    df = spark.createDataFrame([(bytes(p.tobytes()), int(c)) for p, c in zip(patterns, n, strict=True)], "votes binary, n long").repartition(3)
+    whole = spark.createDataFrame([(bytes(p.tobytes()), 1) for p in votes], "votes binary, n long").repartition(5)
+    a, b = (LabelModel(0.3).fit_table(x, 5, toxicity.first_guess, belief=toxicity.BELIEF, strength=0.001) for x in (df, whole))
+    assert np.allclose(a.chance, b.chance, atol=1e-5) and np.allclose(a.weight, b.weight, atol=1e-4)
+    assert ((a.posterior(votes) > 0.5) == y).mean() > 0.85
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.4
