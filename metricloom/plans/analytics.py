@@ -488,10 +488,25 @@ def sop_scoring(spark, d):
     return _round(text.rule_score(read(spark, d, "conversations"), ["conv_id"], "text", [("question", "[?]", 2.0), ("article", "(?i)the ", 1.0)]), "score")
 
 
-@query("select * from (values ('2026-07-17','2026-07-23','day')) t(first_day, last_day, grain)")
+#: Questions and, as SQL over t (today), the days they ask for.
+_TIMES = {
+    "最近7天的销售额": ("t - 6", "t", "t - 13", "t - 7", "day"),
+    "近两周": ("t - 13", "t", "t - 27", "t - 14", "week"),
+    "上周": ("date_trunc('week', t) - interval 7 day", "date_trunc('week', t) - interval 1 day", "date_trunc('week', t) - interval 14 day", "date_trunc('week', t) - interval 8 day", "week"),
+    "过去三个月": ("date_trunc('month', t) - interval 2 month", "last_day(t)", "date_trunc('month', t) - interval 5 month", "last_day(t - interval 3 month)", "month"),
+    "上季度": ("date_trunc('quarter', t) - interval 3 month", "date_trunc('quarter', t) - interval 1 day", "date_trunc('quarter', t) - interval 6 month", "date_trunc('quarter', t) - interval 3 month - interval 1 day", "month"),
+    "去年上半年": ("date_trunc('year', t) - interval 12 month", "date_trunc('year', t) - interval 6 month - interval 1 day", "date_trunc('year', t) - interval 18 month", "date_trunc('year', t) - interval 12 month - interval 1 day", "month"),
+    "本月同比": ("date_trunc('month', t)", "last_day(t)", "date_trunc('month', t) - interval 1 year", "last_day(t - interval 1 year)", "month"),
+    "2026-02-02至2026-02-15按周": ("date '2026-02-02'", "date '2026-02-15'", "date '2026-02-02' - 14", "date '2026-02-02' - 1", "week"),
+    "2026年2月30日": ("null", "null", "null", "null", None),
+}
+
+
+@query("with d as (select date '2026-07-23' t) " + " union all ".join(f"select '{q}' question, {', '.join(f'({x})::date::varchar {n}' for x, n in zip(v[:4], ('first_day', 'last_day', 'previous_first', 'previous_last'), strict=True))}, {f'{chr(39)}{v[4]}{chr(39)}' if v[4] else 'null::varchar'} grain from d" for q, v in _TIMES.items()))
 def parse_time(spark, d):
-    got = text.parse_time("最近7天的销售额", "2026-07-23")
-    return spark.createDataFrame([(got["start"], got["end"], got["grain"])], "first_day string, last_day string, grain string")
+    read = {q: text.parse_time(q, "2026-07-23") for q in _TIMES}
+    rows = [(q, *((g["start"], g["end"], g["previous_start"], g["previous_end"], g["grain"]) if g else (None,) * 5)) for q, g in read.items()]
+    return spark.createDataFrame(rows, "question string, first_day string, last_day string, previous_first string, previous_last string, grain string")
 
 
 @query("with g as (select p_brand, count(*) n, avg(p_retailprice) a from part group by all) select p_brand, n, round(a,4) price, case when a < 1400 then 'low' when a < 1500 then 'mid' else 'high' end band, concat_ws('-', p_brand, n) label from g")

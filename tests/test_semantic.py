@@ -155,21 +155,47 @@ def test_time_functions():
 @pytest.mark.parametrize(
     ("question", "want"),
     [
-        ("最近7天的销售额", ("2026-07-18", "2026-07-24", "2026-07-11", "2026-07-17", "day")),
-        ("上个月收入", ("2026-06-01", "2026-06-30", "2026-05-01", "2026-05-31", "month")),
-        ("本季度同比", ("2026-07-01", "2026-09-30", "2025-07-01", "2025-09-30", "quarter")),
-        ("2025年第2季度", ("2025-04-01", "2025-06-30", "2025-01-01", "2025-03-31", "quarter")),
-        ("2026-07-01到2026-07-10", ("2026-07-01", "2026-07-10", "2026-06-21", "2026-06-30", "day")),
-        ("昨天", ("2026-07-23", "2026-07-23", "2026-07-22", "2026-07-22", "day")),
-        ("去年", ("2025-01-01", "2025-12-31", "2024-01-01", "2024-12-31", "year")),
-        ("近三个月", ("2026-04-25", "2026-07-24", "2026-01-24", "2026-04-24", "month")),
+        ("20240105到20240110的订单", ("2024-01-05", "2024-01-10", "2023-12-30", "2024-01-04", "day")),
+        ("2024年2月20日至3月5日的收入", ("2024-02-20", "2024-03-05", "2024-02-05", "2024-02-19", "day")),
+        ("2024-01-30~2024-02-03", ("2024-01-30", "2024-02-03", "2024-01-25", "2024-01-29", "day")),
+        ("11月28日到1月3日", ("2024-11-28", "2025-01-03", "2024-10-22", "2024-11-27", "day")),
+        ("3月1日至15日", ("2024-03-01", "2024-03-15", "2024-02-15", "2024-02-29", "day")),
+        ("今年1月8日至1月9日", ("2024-01-08", "2024-01-09", "2024-01-06", "2024-01-07", "day")),
+        ("前年5月4日", ("2022-05-04", "2022-05-04", "2022-05-03", "2022-05-03", "day")),
+        ("昨天", ("2024-03-04", "2024-03-04", "2024-03-03", "2024-03-03", "day")),
+        ("最近10天的销售额", ("2024-02-25", "2024-03-05", "2024-02-15", "2024-02-24", "day")),
+        ("近三周", ("2024-02-14", "2024-03-05", "2024-01-24", "2024-02-13", "week")),
+        ("过去一个礼拜", ("2024-02-28", "2024-03-05", "2024-02-21", "2024-02-27", "week")),
+        ("最近三个完整周", ("2024-02-12", "2024-03-03", "2024-01-22", "2024-02-11", "week")),
+        ("最近两个完整月", ("2024-01-01", "2024-02-29", "2023-11-01", "2023-12-31", "month")),
+        ("过去四个月", ("2023-12-01", "2024-03-31", "2023-08-01", "2023-11-30", "month")),
+        ("最近半年", ("2023-10-01", "2024-03-31", "2023-04-01", "2023-09-30", "month")),
+        ("上个季度", ("2023-10-01", "2023-12-31", "2023-07-01", "2023-09-30", "month")),
+        ("前年第三季度", ("2022-07-01", "2022-09-30", "2022-04-01", "2022-06-30", "month")),
+        ("2023Q4", ("2023-10-01", "2023-12-31", "2023-07-01", "2023-09-30", "month")),
+        ("去年下半年", ("2023-07-01", "2023-12-31", "2023-01-01", "2023-06-30", "month")),
+        ("上半年", ("2024-01-01", "2024-06-30", "2023-07-01", "2023-12-31", "month")),
+        ("去年十二月", ("2023-12-01", "2023-12-31", "2023-11-01", "2023-11-30", "month")),
+        ("2023年11月到2月", ("2023-11-01", "2024-02-29", "2023-07-01", "2023-10-31", "month")),
+        ("2024-02的同比", ("2024-02-01", "2024-02-29", "2023-02-01", "2023-02-28", "month")),
+        ("上个月收入", ("2024-02-01", "2024-02-29", "2024-01-01", "2024-01-31", "month")),
+        ("本周", ("2024-03-04", "2024-03-10", "2024-02-26", "2024-03-03", "week")),
+        ("2024-W09", ("2024-02-26", "2024-03-03", "2024-02-19", "2024-02-25", "week")),
+        ("2022年的趋势", ("2022-01-01", "2022-12-31", "2021-01-01", "2021-12-31", "month")),
+        ("去年按季度", ("2023-01-01", "2023-12-31", "2022-01-01", "2022-12-31", "quarter")),
+        ("2024-03-01至2024-03-04同比", ("2024-03-01", "2024-03-04", "2023-03-01", "2023-03-04", "day")),
     ],
 )
 def test_time_expressions(question, want):
-    got = text.parse_time(question, "2026-07-24")
+    got = text.parse_time(question, "2024-03-05")
     assert tuple(got[k] for k in ("start", "end", "previous_start", "previous_end", "grain")) == want
 
 
+@pytest.mark.parametrize("question", ["", "2023年2月29日", "2024年4月31日至5月2日", "13月的收入", "20240230", "2024-03-05至2024-03-01", "2024-W54", "各门店的毛利"])
+def test_no_or_no_real_date_gives_nothing(question):
+    assert text.parse_time(question, "2024-03-05") is None
+
+
 def test_no_time_expression():
     assert text.parse_time("销售额", "2026-07-24") is None
 
