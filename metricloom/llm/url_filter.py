@@ -1,13 +1,17 @@
 """URL filter: host and path rules first, gradient-boosted trees on lexical features for the URLs without a rule.
 
 Host and path are cut out with DataFrame functions; a rule fits its host and all subdomains if the path starts with the rule's, and
-the longest rule wins. The trees (logistic loss, histogram splits) are trained on labelled URLs: lengths, path depth, digit and
-hyphen ratios, entropy of host and path, numbers of parameters and subdomains, and how often the host's suffixes were labelled
-bad. ``labelled`` may be any table of (url, label); of one longer than ``MAX_LABELLED`` the rows whose URLs have the smallest hashes are
-used, whatever its order. The default is :func:`seed_urls`, made by rule from word lists.
+the longest rule wins. The trees (logistic loss, histogram splits) are trained on labelled URLs: lengths, path depth, digit
+ratios, hyphens, entropy of host and path, numbers of parameters and subdomains, and two statistics of the labels themselves: how often URLs
+with the host's suffixes, and with the four-letter pieces of its names, were bad. These statistics are cross-fitted in training (a
+row's own site does not count), so the trees learn what they are worth on other sites.
+
+``labelled`` is a DataFrame or a list of (url, label); of one longer than ``MAX_LABELLED`` the rows whose URLs have the smallest hashes are
+used, whatever its order. The default is :func:`seed_urls`, made by rule from word lists: both classes share schemes, suffixes,
+hyphens, digits, depths and plain queries, and differ by vocabulary, random letters, chains of subdomains and long queries.
 
 Null URLs and URLs without ``://`` have an empty host and path; the model judges their features like any other's. Repeated rows are
-judged alike; ties cannot arise. Empty tables give empty results. Extra columns are ignored.
+judged alike; ties cannot arise. Empty tables give empty results. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,12 +19,15 @@ from __future__ import annotations
 import hashlib
 import heapq
 
+import random
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import map_arrow
+from .support import hashed_sample, map_arrow
 
 #: (action, rule): host up to the first slash, then the path's beginning.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -29,9 +36,16 @@ MAX_RULES = 1000
 #: Bound on the labelled URLs the trees are fitted on.
 MAX_LABELLED = 100_000
 BLOCK_AT = 0.5
-BAD_WORDS = ("casino", "pills", "cheap", "viagra", "spam", "farm", "porn", "xxx", "bet", "loan", "win", "free", "prize", "click", "bonus", "replica", "escort", "payday", "torrent", "crack", "hack", "miracle")
-GOOD_WORDS = ("news", "science", "library", "school", "garden", "weather", "history", "museum", "recipes", "travel", "research", "docs", "forum", "health", "music", "city", "journal", "kitchen", "nature", "code", "blog", "wiki")
+#: Words of the default labelled URLs.
+BAD_WORDS = ("casino", "pills", "viagra", "cialis", "porn", "xxx", "sexcam", "betting", "payday", "jackpot", "replica", "escort", "torrent", "warez", "keygen", "poker", "slots", "lottery", "milf", "nude", "steroid", "gambling", "hentai", "adult", "spam", "bets", "adtrack", "adserver", "popunder")
+GOOD_WORDS = ("news", "science", "library", "school", "garden", "weather", "history", "museum", "recipes", "travel", "research", "docs", "forum", "health", "music", "city", "journal", "kitchen", "nature", "code", "blog", "wiki", "bank", "market", "motors", "cola", "exchange", "royce", "benz", "hotel", "studio", "sport", "media", "group", "shop", "market", "world", "times", "book", "data")
 SUFFIXES = ("com", "org", "net", "info", "io", "de", "fr", "es")
+_SEEDS = 4000
+_PIECES = 1 << 16
+_PIECE = 4
+#: Rows a piece or suffix counts as having seen at the base rate.
+_SMOOTH = 4.0
+_FOLDS = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -58,69 +72,149 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RU
     return (none if rule is None else rule), (none if action is None else action)
 
 
-def seed_urls() -> list[tuple[str, int]]:
-    """Labelled URLs by rule from the word lists. Schemes, leading labels, suffixes, paths and plain queries are dealt alike to both
-    kinds; bad hosts join words by hyphens or digits, and some bad URLs carry long queries."""
-    out = []
-    for bad, words in ((1, BAD_WORDS), (0, GOOD_WORDS)):
-        for i, first in enumerate(words):
-            for j, other in enumerate(words):
-                if i == j:
-                    continue
-                k = i * len(words) + j
-                style = k % 4
-                if bad:
-                    name = (f"{first}-{other}", f"{first}-{other}", f"{first}{k % 97}{other}", f"best-{first}-{other}")[style]
-                else:
-                    name = (first, first + other, first[:3] + other, other[::-1] + first[:2])[style]
-                lead = ("", "www.", "blog.", "m.", "www.")[k * 7 % 5]
-                path = f"/{('en', 'de', 'fr', 'es')[k * 3 % 4]}/{k * 7919 % 10 ** (1 + k * 5 % 7)}"
-                tail = ("", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top")[k * 11 % 6]
-                if bad and k % 9 == 0:
-                    tail = f"?id={k * 7919}&ref={first}&sid={k * 104729 % 99991}&aff={i}&sub={j}"
-                out.append((f"http{'s' * (k % 3 > 0)}://{lead}{name}.example.{SUFFIXES[k * 13 % len(SUFFIXES)]}{path}{tail}", bad))
+def _name(r: random.Random) -> str:
+    """A made-up name that can be said."""
+    return "".join(r.choice("bcdfghjklmnprstvwz") + r.choice(("a", "e", "i", "o", "u", "an", "er", "on", "il", "th", "ch", "st")) for _ in range(r.randint(2, 4)))
+
+
+def _site(r: random.Random, bad: bool) -> str:
+    words = BAD_WORDS if bad else GOOD_WORDS
+    first, other = r.choice(words), r.choice((_name(r), r.choice(words), r.choice(GOOD_WORDS)))
+    if r.random() < 0.5:
+        first, other = other, first
+    if not bad and r.random() < 0.5:
+        first = _name(r)
+    number = r.choice(("2", "3", "24", "66", "99", "365", "1"))
+    style = r.randrange(6)
+    return (first + other, f"{first}-{other}", f"{first}{number}", f"{number}{first[:1]}" if not bad else f"{number}{first}", f"{first}-{number}-{other}", first if not bad or first in BAD_WORDS else first + other)[style]
+
+
+def _segment(r: random.Random) -> str:
+    """A part of a path, dealt alike to both classes."""
+    kind = r.randrange(6)
+    if kind == 0:
+        return r.choice(("en", "de", "fr", "es", "a", "p"))
+    if kind == 1:
+        return f"{r.randint(1998, 2025)}/{r.randint(1, 12):02d}/{r.randint(1, 28):02d}"
+    if kind == 2:
+        return r.choice("-_").join(r.choice((_name(r), r.choice(GOOD_WORDS), str(r.randrange(10**6)))) for _ in range(r.randint(2, 8)))
+    return r.choice(GOOD_WORDS) if kind == 3 else _name(r) if kind == 4 else str(r.randrange(10 ** r.randint(1, 9)))
+
+
+def seed_urls(n: int = _SEEDS) -> list[tuple[str, int]]:
+    """Labelled URLs by rule from the word lists, one class after the other; the same ones every time."""
+    r, out = random.Random(0), []
+    for bad in (1, 0):
+        for k in range(n // 2):
+            kind = k % 8
+            site, lead = _site(r, bool(bad)), r.choice(("", "www.", "blog.", "m.", "shop."))
+            suffix = r.choice(SUFFIXES)
+            place = f"{site}.{suffix}" if r.random() < 0.5 else f"{site}.example.{suffix}"
+            depth = r.randint(0, 4)
+            path = "".join(f"/{_segment(r)}" for _ in range(depth))
+            tail = r.choice(("", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top", f"?id={r.randrange(10**6)}"))
+            if bad and kind == 5:  # random letters and digits
+                site = "".join(r.choice("bcdfghjklmnpqrstvwxz0123456789") for _ in range(r.randint(14, 26)))
+                place = f"{site}.{suffix}"
+            elif bad and kind == 6:  # chains of subdomains in front of a plain name
+                place = ".".join([*(r.choice(("login", "secure", "verify", "account", "update", "pay", _name(r))) for _ in range(r.randint(3, 5))), f"{_name(r)}.{suffix}"])
+            elif bad and kind == 7:  # queries that carry others along
+                place = f"{_name(r)}.example.{suffix}"
+                tail = "?" + "&".join(f"{c}{j}={r.randrange(10**8)}" for j, c in enumerate(r.sample("abcdefghk", r.randint(5, 9))))
+            out.append((f"http{'s' * (r.random() < 0.66)}://{lead}{place}{path}{tail}", bad))
     return out
 
 
-def _entropy(s: str) -> float:
-    if not s:
-        return 0.0
-    n = np.bincount(np.frombuffer(s.encode(), dtype=np.uint8))
-    p = n[n > 0] / n.sum()
-    return float(-(p * np.log2(p)).sum())
-
-
-def _parts(url: str | None) -> tuple[str, str, str]:
-    rest = (url or "").partition("://")[2]
-    cut = min((k for k in (rest.find(c) for c in "/?#") if k >= 0), default=len(rest))
-    host, tail = rest[:cut].lower(), rest[cut:]
-    end = min((k for k in (tail.find(c) for c in "?#") if k >= 0), default=len(tail))
-    return host, tail[:end], tail[end:]
-
-
-def features(urls: list[str | None], suffixes: dict[str, float]) -> np.ndarray:
-    out = np.zeros((len(urls), 14))
-    for i, url in enumerate(urls):
-        host, path, query = _parts(url)
-        labels = host.split(".")
-        site = labels[-3] if len(labels) > 2 else labels[0]
-        n = max(len(host) + len(path) + len(query), 1)
-        out[i] = (
-            len(url or ""), len(host), len(path), path.count("/"), sum(c.isdigit() for c in host + path + query) / n, sum(c.isdigit() for c in host) / max(len(host), 1),
-            host.count("-"), len(labels), _entropy(host), _entropy(path), query.count("=") , len(query), len(site),
-            sum(suffixes.get(".".join(labels[k:]), 0.5) for k in (-1, -2)) / 2,
-        )
-    return out
-
-
-def suffix_shares(urls: list[str | None], y: np.ndarray) -> dict[str, float]:
-    """Smoothed share of bad URLs for each last label and last two labels of hosts."""
-    seen: dict[str, list[float]] = {}
-    for url, bad in zip(urls, y, strict=True):
-        labels = _parts(url)[0].split(".")
-        for k in (-1, -2):
-            seen.setdefault(".".join(labels[k:]), []).append(bad)
-    return {k: (sum(v) + 5 * float(y.mean())) / (len(v) + 5) for k, v in seen.items()}
+_CUT = r"(?s)^.*?://(?P<host>[^/?#]*)(?P<path>[^?#]*)(?P<query>.*)$"
+
+
+def _parts(urls: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Host (lower-cased), path and query of each URL, empty where there is none."""
+    cut = pc.extract_regex(urls, _CUT)
+    host, path, query = (pc.fill_null(pc.struct_field(cut, k), "") for k in ("host", "path", "query"))
+    return pc.ascii_lower(host), path, query
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the texts, and the text each is in."""
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), dtype=np.uint8)
+    return data, np.repeat(np.arange(len(texts)), size)
+
+
+def _entropy(data: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Bits a byte of each text."""
+    key, count = np.unique(row * 256 + data, return_counts=True)
+    at = key >> 8
+    p = count / np.maximum(np.bincount(row, minlength=n), 1)[at]
+    return np.bincount(at, -p * np.log2(p), minlength=n)
+
+
+def _pieces(data: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of every four consecutive letters or digits of a text."""
+    k = _PIECE
+    if len(data) < k:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = sum(data[i : len(data) - k + 1 + i].astype(np.uint64) << np.uint64(8 * i) for i in range(k))
+    solid = np.cumsum(np.concatenate(([0], (data | 32 < 97) & ((data < 48) | (data > 57)) | (data | 32 > 122))))
+    use = (row[: len(code)] == row[k - 1 :]) & (solid[k:] == solid[:-k])
+    return row[: len(code)][use], (code[use] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64) & (_PIECES - 1)
+
+
+def _suffixes(host: pa.Array) -> list[pa.Array]:
+    """The last label and the last two labels of each host."""
+    return [pc.struct_field(pc.extract_regex(host, p), "s") for p in (r"(?s)(?P<s>[^.]*)$", r"(?s)(?P<s>(?:[^.]*\.)?[^.]*)$")]
+
+
+class Shares:
+    """Smoothed shares of bad URLs among those with a suffix, and with a piece of a name."""
+
+    def __init__(self, urls: pa.Array, y: np.ndarray, keep: np.ndarray | None = None):
+        host = _parts(urls)[0]
+        keep = np.ones(len(y), dtype=bool) if keep is None else keep
+        self.base = float(y[keep].mean()) if keep.any() else 0.5
+        self.suffix: dict[str, float] = {}
+        for values in _suffixes(host):
+            seen: dict[str, list[float]] = {}
+            for v, bad, use in zip(values.to_pylist(), y, keep, strict=True):
+                if use:
+                    seen.setdefault(v, []).append(bad)
+            self.suffix |= {v: self._smooth(sum(b), len(b)) for v, b in seen.items()}
+        row, bucket = _pieces(*_bytes(_names(host)))
+        key = np.unique(row * _PIECES + bucket)
+        row, bucket = key // _PIECES, key % _PIECES
+        row, bucket = row[keep[row]], bucket[keep[row]]
+        self.piece = self._smooth(np.bincount(bucket, y[row], minlength=_PIECES), np.bincount(bucket, minlength=_PIECES))
+
+    def _smooth(self, bad, n):
+        return (bad + _SMOOTH * self.base) / (n + _SMOOTH)
+
+
+def _names(host: pa.Array) -> pa.Array:
+    """The host without its last label."""
+    return pc.replace_substring_regex(host, r"\.[^.]*$", "")
+
+
+def features(urls: pa.Array, shares: Shares) -> np.ndarray:
+    """Rows x features of a batch, worked out over its bytes."""
+    urls = pc.fill_null(urls.cast(pa.string()), "")
+    n = len(urls)
+    host, path, query = _parts(urls)
+    length = lambda t: pc.binary_length(t).to_numpy(zero_copy_only=False).astype(float)
+    count = lambda t, c: pc.count_substring(t, c).to_numpy(zero_copy_only=False).astype(float)
+    columns = [length(urls), length(host), length(path), length(query), count(path, "/"), count(host, "-"), count(host, "."), count(query, "=")]
+    digits = [np.bincount(row[(data >= 48) & (data <= 57)], minlength=n) for data, row in map(_bytes, (host, path, query))]
+    columns += [sum(digits) / np.maximum(columns[1] + columns[2] + columns[3], 1), digits[0] / np.maximum(columns[1], 1)]
+    columns += [_entropy(*_bytes(t), n) for t in (host, path)]
+    known = pa.array(list(shares.suffix), pa.string())
+    value = np.append(np.array(list(shares.suffix.values())), shares.base)
+    at = [pc.fill_null(pc.index_in(s, value_set=known), -1).to_numpy(zero_copy_only=False) for s in _suffixes(host)]
+    columns.append(sum(value[i] for i in at) / 2)
+    row, bucket = _pieces(*_bytes(_names(host)))
+    most, least = np.full(n, shares.base), np.full(n, shares.base)
+    np.maximum.at(most, row, shares.piece[bucket])
+    np.minimum.at(least, row, shares.piece[bucket])
+    return np.stack([*columns, most, least], axis=1)
 
 
 class Trees:
@@ -130,7 +224,7 @@ class Trees:
         self.rounds, self.depth, self.rate, self.bins = rounds, depth, rate, bins
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
+        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) if len(c) else c for c in x.T]
         b = self._binned(x)
         self.base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))) if len(y) else 0.0
         self.trees: list[list[tuple]] = []
@@ -191,24 +285,38 @@ def _training_rows(labelled: list[tuple[str | None, int]], most: int) -> list[tu
     return heapq.nsmallest(most, labelled, key=rank)
 
 
-def fit(labelled: list[tuple[str | None, int]] | None = None) -> tuple[Trees, dict[str, float]]:
-    rows = seed_urls() if labelled is None else _training_rows(labelled, MAX_LABELLED)
-    urls, y = [u for u, _ in rows], np.array([v for _, v in rows], dtype=float)
-    suffixes = suffix_shares(urls, y) if rows else {}
-    return Trees().fit(features(urls, suffixes), y), suffixes
+def _fold_of(urls: pa.Array) -> np.ndarray:
+    """A fold for each URL, the same for all URLs of a site (the last three labels of the host)."""
+    sites = [".".join(h.split(".")[-3:]) for h in _parts(urls)[0].to_pylist()]
+    return np.array([hashlib.blake2b(s.encode(), digest_size=4).digest()[0] % _FOLDS for s in sites], dtype=np.int64)
+
+
+def fit(labelled: DataFrame | list[tuple[str | None, int]] | None = None, most: int = MAX_LABELLED) -> tuple[Trees, Shares]:
+    """Trees and label statistics of at most ``most`` labelled URLs; labels that are null are left out."""
+    if isinstance(labelled, DataFrame):
+        rows = [tuple(r) for r in hashed_sample(labelled.select("url", F.col("label").cast("int")).filter("label is not null"), "url", most).collect()]
+    else:
+        rows = seed_urls() if labelled is None else _training_rows(labelled, most)
+    urls, y = pa.array([u or "" for u, _ in rows], pa.string()), np.array([v for _, v in rows], dtype=float)
+    shares, folds = Shares(urls, y), _fold_of(urls)
+    x = np.zeros((len(y), features(urls.slice(0, 0), shares).shape[1]))
+    for k in np.unique(folds):
+        own = folds == k
+        x[own] = features(urls.filter(pa.array(own)), Shares(urls, y, ~own))
+    return Trees().fit(x, y), shares
 
 
 def _score(model):
     def step(batches):
-        trees, suffixes = model.value
+        trees, shares = model.value
         for b in batches:
-            p = trees.predict(features(b.column("url").to_pylist(), suffixes))
+            p = trees.predict(features(b.column("url"), shares))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "score"])
 
     return step
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labelled: list[tuple[str | None, int]] | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labelled: DataFrame | list[tuple[str | None, int]] | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row; score is the trees' chance that the URL is bad."""
     model = pages.sparkSession.sparkContext.broadcast(fit(labelled))
     kind = pages.schema["page_id"].dataType.simpleString()

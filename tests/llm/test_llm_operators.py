@@ -489,27 +489,85 @@ def test_url_filter(spark):
     assert got[15] == "block" and got[16] == "allow"
 
 
-def test_trees_generalise():
+def auc(p, y):
+    rank = np.argsort(np.argsort(p, kind="stable"), kind="stable")
+    pos = int(y.sum())
+    return (rank[y == 1].sum() - pos * (pos - 1) / 2) / (pos * (len(y) - pos))
+
+
+def test_trees_on_sites_they_have_not_seen():
     rows = url_filter.seed_urls()
-    random.Random(0).shuffle(rows)
-    cut = len(rows) * 3 // 4
-    trees, suffixes = url_filter.fit(rows[:cut])
-    p = trees.predict(url_filter.features([u for u, _ in rows[cut:]], suffixes)) >= 0.5
-    assert np.mean(p == np.array([y for _, y in rows[cut:]])) > 0.9
+    folds = url_filter._fold_of(pa.array([u for u, _ in rows]))
+    trees, shares = url_filter.fit([r for r, k in zip(rows, folds, strict=True) if k])
+    rest = [r for r, k in zip(rows, folds, strict=True) if not k]
+    p, y = trees.predict(url_filter.features(pa.array([u for u, _ in rest]), shares)), np.array([v for _, v in rest])
+    assert auc(p, y) > 0.95 and len(y) > 500
+
+
+GOOD = "https://www.mercedes-benz.com/en https://coca-cola.com/ https://stack-exchange.com/q/1234 https://www.rolls-royce.com/ https://3m.com/products https://harley-davidson.com https://www.hewlett-packard.de/a/b https://en.wikipedia.org/wiki/Main_Page https://www.bbc.co.uk/news/world-1234567 https://www.lemonde.fr/politique/article/2024/01/05/titre-d-article_6209_823448.html https://docs.python.org/3/library/re.html https://7-eleven.com/ https://www.t-mobile.de"
+BAD = "https://www.pornhub.com/ http://casino.example.com/en/5 http://viagra.example.net/ https://freeporn.de/x https://onlinecasino.com https://bestpokerslots.example.info/ http://xk3j9fq2lm8vz0rt7pq.info/a http://login.secure.verify.account.baner.com/index.html https://cheap-viagra-24.org/p"
+
+
+def test_names_with_hyphens_are_not_bad_and_bad_ones_need_none():
+    trees, shares = url_filter.fit()
+    score = lambda urls: trees.predict(url_filter.features(pa.array(urls.split()), shares))
+    assert (score(GOOD) < 0.5).all() and (score(BAD) >= 0.5).all()
+
+
+def features_brute(url, shares):
+    """One URL at a time."""
+    url = url or ""
+    rest = url.partition("://")[2]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    query, host = rest[len(host) + len(path) :], re.sub("[A-Z]", lambda m: m.group().lower(), host)
+    size = lambda t: len(t.encode())
+
+    def entropy(t):
+        n = collections.Counter(t.encode())
+        return -sum(c / size(t) * np.log2(c / size(t)) for c in n.values())
+
+    def pieces(t, table):
+        b = re.sub("[A-Z]", lambda m: m.group().lower(), t).encode()
+        hit = [table[url_filter._pieces(np.frombuffer(b[i : i + 4], dtype=np.uint8), np.zeros(4, np.int64))[1][0]] for i in range(len(b) - 3) if re.fullmatch(rb"[a-z0-9]{4}", b[i : i + 4])]
+        return [max([*hit, shares.base]), min([*hit, shares.base])]
+
+    digits = [len(re.findall("[0-9]", t)) for t in (host, path, query)]
+    labels = host.split(".")
+    return [
+        size(url), size(host), size(path), size(query), path.count("/"), host.count("-"), host.count("."), query.count("="),
+        sum(digits) / max(size(host) + size(path) + size(query), 1), digits[0] / max(size(host), 1), entropy(host), entropy(path),
+        (shares.suffix.get(labels[-1], shares.base) + shares.suffix.get(".".join(labels[-2:]), shares.base)) / 2, *pieces(host.rpartition(".")[0] if "." in host else host, shares.piece),
+    ]
+
+
+def test_url_features_one_by_one():
+    _, shares = url_filter.fit(url_filter.seed_urls()[::37])
+    urls = [None, "", "no scheme", "http://", "http://É.Com/\u00e9?x=1", "a://b\nc/d\ne?f=\n", "x" * 3000, "h://" + "a.b-" * 900 + "/casino/" * 50, *GOOD.split(), *BAD.split(), *(u for u, _ in url_filter.seed_urls()[::101])]
+    got = url_filter.features(pa.array(urls, pa.string()), shares)
+    assert np.allclose(got, [features_brute(u, shares) for u in urls])
+    assert url_filter.features(pa.array([], pa.string()), shares).shape == (0, got.shape[1])
 
 
-def test_trees_of_a_long_ordered_list_see_both_classes(monkeypatch):
+def test_trees_of_a_long_ordered_list_see_both_classes(spark, monkeypatch):
     rows = url_filter.seed_urls()
     bad = sum(y for _, y in rows)
     assert [y for _, y in rows] == [1] * bad + [0] * (len(rows) - bad)
-    monkeypatch.setattr(url_filter, "MAX_LABELLED", bad)
-    trees, suffixes = url_filter.fit(rows)
-    p = trees.predict(url_filter.features([u for u, _ in rows], suffixes)) >= 0.5
-    assert np.mean(p == np.array([y for _, y in rows])) > 0.9
+    trees, shares = url_filter.fit(rows, most=bad)
+    y = np.array([y for _, y in rows])
+    p = trees.predict(url_filter.features(pa.array([u for u, _ in rows]), shares))
+    assert auc(p, y) > 0.95
     chosen = url_filter._training_rows([*rows, (None, 1), ("", 0)], bad)
     assert len(chosen) == bad and 0.4 < np.mean([y for _, y in chosen]) < 0.6
     assert chosen == url_filter._training_rows([*rows, (None, 1), ("", 0)][::-1], bad)
     assert url_filter._training_rows(rows, len(rows)) == rows
+    # a table as labelled URLs, with a bound
+    table = spark.createDataFrame([(u, v, "h") for u, v in [*rows, (None, 1), ("http://x/", None)]], "url string, label int, host string")
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows[::50])], "page_id long, url string")
+    got = {r.page_id: r.score for r in url_filter.judge(pages, (), labelled=table).collect()}
+    assert auc(np.array([got[i] for i in range(len(got))]), y[::50]) > 0.95
+    assert len(support.hashed_sample(table, "url", 500).collect()) == 500
+    assert url_filter.judge(pages, (), labelled=table.limit(0)).count() == len(got)
 
 
 # -- 9
