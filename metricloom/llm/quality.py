@@ -3,7 +3,7 @@
 Overlapping labellers look at symbols, tables, shouting, exclamations, stuttering, vocabulary, repeated lines, word length, text
 length and sentence ends; each says good (1), poor (0) or nothing. Without any given label, expectation-maximisation over the counted
 vote patterns of all rows estimates how often each is right, and the posterior labels of a bounded sample of rows (``TRAIN_ROWS``, in
-the order of a hash of their ids) train a logistic model of hashed features: binned statistics and the shapes of word endings. That
+the order of a hash of their ids, one text an id) train a logistic model of hashed features: binned statistics and the shapes of word endings. That
 model scores every row.
 
 Null and empty texts count as texts without words and score as poor. Repeated rows score alike; an empty table gives an empty result
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Words
-from .support import map_arrow, mix_py, stored
+from .support import hashed_sample, map_arrow, mix_py, stored
 from .weak import LabelModel, logistic
 
 #: Bound on the rows the scorer is fitted on; the label model sees the votes of all rows.
@@ -165,8 +165,9 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
     if not len(v):
         return QualityModel(np.zeros(1 << FEATURES_LOG2), 0.0, np.full(len(LABELLERS), 0.5))
     model = LabelModel(0.8).fit(v, np.where((v == 0).any(1), 0.1, 0.95), belief=BELIEF, strength=0.05, counts=counts)
-    chosen = stored(docs.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).distinct(), "chosen")
-    got = map_arrow(docs.select("doc_id", "text").join(chosen, "doc_id").select("text"), _train_rows, "votes binary, cols array<int>").toArrow()
+    chosen = F.broadcast(stored(hashed_sample(docs.filter("doc_id is not null").select("doc_id"), "doc_id", train_rows).distinct(), "chosen"))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    got = map_arrow(rows.select("text"), _train_rows, "votes binary, cols array<int>").toArrow()
     n = got.num_rows
     if not n:
         return QualityModel(np.zeros(1 << FEATURES_LOG2), 0.0, model.accuracies())

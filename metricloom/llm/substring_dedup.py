@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Words, rolled, sliding_min
-from .support import discard, heavy_join, id_bitmap, id_cells, in_bitmap, list_column, map_arrow, stored
+from .support import among, discard, heavy_join, id_cells, in_bitmap, list_column, map_arrow, stored
 
 WINDOW = 50
 ANCHOR = 12
@@ -151,21 +151,6 @@ def _whole(ids, id_log2: int, window: int, shape):
     return lambda batches: _cut(window, shape)(rows(batches))
 
 
-def _chosen(ids, id_log2: int):
-    def step(batches):
-        for b in batches:
-            yield b.filter(pa.array(in_bitmap(ids.value, id_cells(b.column("doc_id").to_numpy(zero_copy_only=False), id_log2))))
-
-    return step
-
-
-def _among(docs: DataFrame, chosen: DataFrame) -> tuple[DataFrame, object, int]:
-    """The rows of docs that may be among the chosen doc_ids, and the bitmap that says so."""
-    ids, log2, _ = id_bitmap(chosen, "doc_id")
-    ids = docs.sparkSession.sparkContext.broadcast(ids)
-    return map_arrow(docs, _chosen(ids, log2), docs.schema), ids, log2
-
-
 def _cell(row: int, log2: int) -> F.Column:
     """Cell of an anchor in a row of the sketch; the row is the last bit."""
     return F.shiftleft(F.xxhash64("anchor", F.lit(row)).bitwiseAND(F.lit((1 << log2) - 1)), 1).bitwiseOR(F.lit(row).cast("long"))
@@ -193,7 +178,7 @@ def _changes(docs: DataFrame, window: int, width: int) -> DataFrame:
     listed = stored(suspects(pairs, width).groupBy("doc_id", F.col("key").alias(_KEY)).agg(F.collect_set("anchor").alias("anchors")), "suspects")
     discard(first, classes, pairs)
 
-    near, _, _ = _among(docs, listed)
+    near, _, _ = among(docs, listed, "doc_id")
     candidates = stored(map_arrow(near.join(listed, ["doc_id", _KEY]), _windows(window), CANDIDATE), "windows")
     total = candidates.count()
     owners = stored(candidates.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("owner < last").drop("last"), "owners")
@@ -207,7 +192,7 @@ def _changes(docs: DataFrame, window: int, width: int) -> DataFrame:
 def _applied(docs: DataFrame, window: int, width: int, shape, schema) -> DataFrame:
     docs = docs.filter("doc_id is not null").withColumn(_KEY, F.xxhash64("text"))
     changed = _changes(docs, window, width).select(F.col("doc_id").alias("_mx_id"), F.col("key").alias("_mx_key"), F.col("copy").alias(_COPY), F.col("at").alias(_AT))
-    touched, ids, log2 = _among(docs, changed.select(F.col("_mx_id").alias("doc_id")))
+    touched, ids, log2 = among(docs, changed.select(F.col("_mx_id").alias("doc_id")), "doc_id")
     moved = touched.join(changed, (F.col("doc_id") == F.col("_mx_id")) & (F.col(_KEY) == F.col("_mx_key")), "left").drop("_mx_id", "_mx_key")
     moved = moved.withColumn(_COPY, F.coalesce(F.col(_COPY), F.lit(False)))
     return map_arrow(docs, _whole(ids, log2, window, shape), schema).unionByName(map_arrow(moved, _cut(window, shape), schema))

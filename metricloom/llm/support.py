@@ -143,6 +143,21 @@ def hashed_sample(df: DataFrame, column: str, most: int) -> DataFrame:
     return df.orderBy(F.xxhash64(column), column).limit(most)
 
 
+def _chosen(ids, log2: int, column: str):
+    def step(batches):
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(ids.value, id_cells(b.column(column).to_numpy(zero_copy_only=False), log2))))
+
+    return step
+
+
+def among(df: DataFrame, chosen: DataFrame, column: str) -> tuple[DataFrame, object, int]:
+    """The rows of df whose id may be among the chosen ones (a few others may be with them), the broadcast bitmap that says so, its log2."""
+    ids, log2, _ = id_bitmap(chosen, column)
+    ids = df.sparkSession.sparkContext.broadcast(ids)
+    return map_arrow(df, _chosen(ids, log2, column), df.schema), ids, log2
+
+
 def list_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
