@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import fresh_path, map_arrow, stored
+from .support import among, fresh_path, heavy_join, id_cells, in_bitmap, map_arrow, stored
 
 #: Most bytes of one read, and the gap between records that is read through rather than skipped.
 RANGE_BYTES = 8 << 20
@@ -84,13 +84,20 @@ def _clean(url: str | None) -> str:
     return (url or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _write(folder: str):
+def _write(folder: str, ids=None, log2: int = 0):
+    """Writes the rows it gets; with a bitmap of ids only those not in it, none of which is a revisit."""
+
     def step(batches):
         store, root = open_store(folder)
         context = TaskContext.get()
         out = None
         name, at = "", 0
         for b in batches:
+            if ids is not None:
+                b = b.filter(pa.array(~in_bitmap(ids.value, id_cells(b.column("page_id").to_numpy(zero_copy_only=False), log2))))
+                b = b.append_column("refers_to", pa.nulls(b.num_rows, pa.int64()))
+            if not b.num_rows:
+                continue
             rows: list[tuple] = []
             for page, url, html, sha, target in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "sha", "refers_to")), strict=True):
                 sha = base64.b32encode(bytes.fromhex(sha)).decode()
@@ -122,10 +129,13 @@ def write_archives(pages: DataFrame, least: int = 0, folder: str | None = None)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
     pages = pages.filter("page_id is not null").select("page_id", "url", "html").withColumn("sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     digests = stored(pages.select("page_id", "sha", F.coalesce(F.octet_length("html"), F.lit(0)).alias("n")).distinct(), "digests")
-    newest = digests.groupBy("sha").agg(F.max("page_id").alias("newest"))
-    kinds = digests.join(newest, "sha").select("page_id", "sha", F.when((F.col("n") >= least) & (F.col("page_id") != F.col("newest")), F.col("newest")).alias("refers_to"))
-    joined = pages.join(kinds, ["page_id", "sha"]).select("page_id", "url", "html", "sha", "refers_to")
-    return folder, stored(map_arrow(joined, _write(folder), INDEX), "index")
+    newest = digests.filter(f"n >= {least}").groupBy("sha").agg(F.max("page_id").alias("newest"), F.count("*").alias("rows")).filter("rows > 1")
+    kinds = heavy_join(digests, stored(newest, "newest"), ["sha"], digests.count(), "rows")
+    revisits = stored(kinds.filter("page_id != newest").select("page_id", "sha", F.col("newest").alias("refers_to")), "revisits")
+    # only pages that may be revisits are shuffled to learn what they refer to; the others are written where they are read
+    some, ids, log2 = among(pages, revisits, "page_id")
+    joined = some.join(revisits, ["page_id", "sha"], "left").select("page_id", "url", "html", "sha", "refers_to")
+    return folder, stored(map_arrow(pages, _write(folder, ids, log2), INDEX).unionByName(map_arrow(joined, _write(folder), INDEX)), "index")
 
 
 def _ranges(offsets: np.ndarray, lengths: np.ndarray, most: int, gap: int) -> list[tuple[int, int]]:
@@ -180,5 +190,7 @@ def _read(folder: str, payload: bool):
 def read_records(folder: str, index: DataFrame, payload: bool = False) -> DataFrame:
     """The records an index selects, read by coalesced byte ranges; with ``payload`` the content too (null payload: revisit's is empty)."""
     by_place = index.select("archive", "offset", "length").withColumn("part", F.expr(f"offset div {4 * RANGE_BYTES}"))
-    by_place = by_place.repartition("archive", "part").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
+    total = by_place.agg(F.sum("length")).first()[0] or 0
+    parts = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // (4 * RANGE_BYTES)))
+    by_place = by_place.repartition(parts, "archive", "part").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
     return map_arrow(by_place, _read(folder, payload), RECORD + (", payload binary" if payload else ""))
