@@ -3,9 +3,10 @@
 A document is the set of its distinct word shingles (64-bit hashes). Steps, all over every row and whole texts, the same at every size:
 
 1. Texts with the same set form one class; one of them goes on.
-2. *Heads*: with the shingles in the order of their hashes, two sets with Jaccard >= t share at least min(l_a, l_b) of their
-   ``n - ceil(t n) + l`` first ones; l is a tenth of the set. The heads' shingles are counted over all classes. A class whose head holds fewer than l shingles
-   that another head has (l of the smallest set it could link with) links with nothing.
+2. *Survivors*: with the shingles in the order of their hashes, two sets with Jaccard >= t share at least min(l_a, l_b) of their
+   ``n - ceil(t n) + l`` first ones; l is a tenth of the set. These heads are counted over all classes, and a class goes out whose head holds fewer
+   than l shingles that another head has (l of the smallest set it could link with). Of the classes left all shingles are counted, and one goes
+   out of which less than t are in another.
 3. *Adaptive prefixes*: within a head the shingles are put in the order of their counts, rare ones first; those no other head has come
    first and need no posting. A document that leaves out the ``l - m`` most frequent ones (l as above) still shares m posted shingles with every
    partner that does so too: what a pair loses is lost by the one of the two that leaves out more. So with each shingle by which its prefix is
@@ -17,6 +18,7 @@ A document is the set of its distinct word shingles (64-bit hashes). Steps, all
    across components of documents that are not in their leader's component. Every pair must have room for enough shared
    shingles before and after the one it meets at, in the order of hashes as in that of counts.
 
+Shingles are counted by their low bits, 64 cells a shingle or more: one that shares its cell counts as frequent, none as rare by mistake.
 Counting, looking up counts and postings are shuffles on the shingle; very frequent shingles, copies and components meet broadcast rows
 instead (``support.heavy_join``). The components are exact, and all pairs of a group are never made by steps 1 to 4; at worst, a list
 whose documents all lie in other components than their leader's, and are no links, is compared pair by pair.
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Words, shingle_sets
-from .support import components, discard, heavy_join, id_bitmap, id_cells, in_bitmap, list_column, map_arrow, stored
+from .support import among, components, discard, heavy_join, list_column, map_arrow, stored
 
 MAX_MATCH = 4
 STAR_ROUNDS = 3
@@ -73,13 +75,13 @@ def _heads(percent: int, width: int):
     return step
 
 
-def _whole_sets(ids, log2: int, width: int):
+def _whole_sets(width: int):
     def step(batches):
         for b in batches:
-            b = b.filter(pa.array(in_bitmap(ids.value, id_cells(b.column("doc_id").to_numpy(zero_copy_only=False), log2))))
             if b.num_rows:
                 sets = shingle_sets(Words(b.column("text"), lower=True), width)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "key", "members"])
+                n = np.array([len(s) for s in sets], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), list_column(np.concatenate(sets).view(np.int64), n, pa.int64())], names=["doc_id", "key", "members"])
 
     return step
 
@@ -87,9 +89,9 @@ def _whole_sets(ids, log2: int, width: int):
 def _linked(percent: int):
     def step(batches):
         for b in batches:
-            xs, ys = b.column("xs").to_pylist(), b.column("ys").to_pylist()
+            xs, ys = b.column("xs"), b.column("ys")
             n, m = b.column("xn").to_numpy(), b.column("yn").to_numpy()
-            both = np.array([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(xs, ys, strict=True)], dtype=np.int64)
+            both = np.array([len(np.intersect1d(np.asarray(x.values), np.asarray(y.values), assume_unique=True)) for x, y in zip(xs, ys, strict=True)], dtype=np.int64)
             yield b.select(["a", "b"]).filter(pa.array(100 * both >= percent * (n + m - both)))
 
     return step
@@ -112,23 +114,34 @@ def _classes(first: DataFrame) -> DataFrame:
     return stored(heavy_join(full.select("sid", "digest"), many, ["digest"], full.count(), "rows").filter("sid != rep").select("sid", "rep"), "copies")
 
 
-def _postings(heads: DataFrame) -> DataFrame:
-    """Steps 2 and 3: (t, sid, n, u, need, tail, later, before, after) of the posted shingles.
+def _counts(rows: DataFrame, column: str) -> tuple[DataFrame, F.Column, int]:
+    """(cell, df, sid) of the shingles in the array ``column`` of rows with a sid, the cell of a shingle t, and the number of shingles.
 
-    ``spare`` is the smallest ``_extra`` of any set that a set can link with. u counts the shingles of the head that no other head has, tail
-    those outside the head, later the shared shingles of the head that follow t in the order of counts. In the order of hashes, before counts
-    the shingles ahead of t that another head has (a partner with t has them in its head, if at all), and after all that follow.
+    df counts the sets with a shingle in the cell; of cells of one set only the sid is kept, of the others only the cell.
     """
-    total = heads.agg(F.coalesce(F.sum(F.size("head")), F.lit(0))).first()[0]
-    counted = heads.select("sid", F.explode("head").alias("t")).groupBy("t").agg(F.count("*").alias("df"), F.min("sid").alias("sid"))
-    # of a shingle of one head only its owner matters
-    counted = stored(counted.select(F.expr("if(df > 1, t, null) as t"), "df", F.expr("if(df > 1, null, sid) as sid")), "counts")
-    alone = counted.filter("df = 1").groupBy("sid").agg(F.count("*").alias("u"))
-    alive = heads.select("sid", "spare", F.size("head").alias("h")).join(alone, "sid", "left").filter("h - coalesce(u, 0) >= spare").select("sid")
-    alive = stored(alive, "alive")
-    shared = counted.filter("df > 1").select("t", "df")
-    posted = heads.join(alive, "sid", "left_semi").select("sid", "n", "spare", F.size("head").alias("h"), F.posexplode("head").alias("pos", "t"))
-    by_set = heavy_join(posted, shared, ["t"], total, "df").groupBy("sid", "n", "spare", "h").agg(F.sort_array(F.collect_list(F.struct("pos", "df", "t"))).alias("items"))
+    total = rows.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
+    mask = (1 << min(62, max(16, int(np.ceil(np.log2(max(total, 1) * 64)))))) - 1
+    cell = F.col("t").bitwiseAND(F.lit(mask))
+    counted = rows.select("sid", F.explode(column).alias("t")).groupBy(cell.alias("cell")).agg(F.count("*").alias("df"), F.min("sid").alias("sid"))
+    return stored(counted.select(F.expr("if(df > 1, cell, null) as cell"), "df", F.expr("if(df > 1, null, sid) as sid")), "counts"), cell, total
+
+
+def _lone(counted: DataFrame) -> DataFrame:
+    """(sid, lone): how many of its shingles no other set has."""
+    return counted.filter("df = 1").groupBy("sid").agg(F.count("*").alias("lone"))
+
+
+def _postings(heads: DataFrame, alive: DataFrame, counted: DataFrame, cell: F.Column, total: int) -> DataFrame:
+    """Step 3: (t, sid, n, most, u, need, tail, later, before, after) of the posted shingles of the sets (sid, most) alive.
+
+    ``spare`` is the smallest ``_extra`` of any set that a set can link with. most counts the shingles of the whole set that others have, u those of
+    the head that no other head has, tail those outside the head, later the shared shingles of the head that follow t in the order of counts.
+    In the order of hashes, before counts the shingles ahead of t that another head has (a partner with t has them in its head, if at all), and
+    after all that follow.
+    """
+    shared = counted.filter("df > 1").select("cell", "df")
+    posted = heads.join(alive, "sid").select("sid", "n", "most", "spare", F.size("head").alias("h"), F.posexplode("head").alias("pos", "t")).withColumn("cell", cell)
+    by_set = heavy_join(posted, shared, ["cell"], total, "df").groupBy("sid", "n", "most", "spare", "h").agg(F.sort_array(F.collect_list(F.struct("pos", "df", "t"))).alias("items"))
     # in the order of counts, each with the number of shared shingles ahead of it in the order of hashes
     by_set = by_set.withColumn("items", F.expr("sort_array(transform(items, (x, i) -> struct(x.df as df, x.t as t, x.pos as pos, i as before)))"))
     by_set = by_set.withColumn("common", F.size("items")).withColumn("u", F.expr("h - common"))
@@ -141,11 +154,9 @@ def _postings(heads: DataFrame) -> DataFrame:
     # no more matches can be asked for than the partner's smallest head is sure to share
     need = F.array_min(F.filter(F.array(*costs), lambda c: c["need"] <= F.col("spare")))["need"]
     chosen = by_set.withColumn("need", need).filter("one + need - 1 > 0")
-    rows = chosen.select("sid", "n", "u", "h", "need", "common", F.posexplode(F.expr("slice(items, 1, one + need - 1)")).alias("q", "x"))
-    rows = rows.select(F.col("x.t").alias("t"), "sid", "n", "u", "need", F.expr("n - h").alias("tail"), F.expr("common - q - 1").alias("later"), F.col("x.before").alias("before"), F.expr("n - x.pos - 1").alias("after"))
-    rows = stored(rows, "postings")
-    discard(counted, alive)
-    return rows
+    rows = chosen.select("sid", "n", "most", "u", "h", "need", "common", F.posexplode(F.expr("slice(items, 1, one + need - 1)")).alias("q", "x"))
+    rows = rows.select(F.col("x.t").alias("t"), "sid", "n", "most", "u", "need", F.expr("n - h").alias("tail"), F.expr("common - q - 1").alias("later"), F.col("x.before").alias("before"), F.expr("n - x.pos - 1").alias("after"))
+    return stored(rows, "postings")
 
 
 def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -167,15 +178,23 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[
         docs = docs.dropDuplicates(["doc_id", "key"])
     heads = stored(first.filter("n > 0").join(copies, "sid", "left_anti").drop("digest"), "heads")
     discard(first)
-    posting = _postings(heads)
-    wanted = stored(posting.select("sid").distinct().join(heads.select("sid", "doc_id", "key", "n"), "sid"), "wanted")
-    discard(heads)
-    ids, log2, n_wanted = id_bitmap(wanted, "doc_id")
-    if not n_wanted:
-        return members, edges
-    ids = docs.sparkSession.sparkContext.broadcast(ids)
-    sets = map_arrow(docs, _whole_sets(ids, log2, width), "doc_id long, key long, members binary")
+    counted, cell, total = _counts(heads, "head")
+    small = heads.select("sid", "doc_id", "key", "n", "spare", F.size("head").alias("h"))
+    wanted = small.join(_lone(counted), "sid", "left").filter("h - coalesce(lone, 0) >= spare").select("sid", "doc_id", "key", "n")
+    wanted = stored(wanted, "wanted")
+    some, _, _ = among(docs, wanted, "doc_id")
+    sets = map_arrow(some, _whole_sets(width), "doc_id long, key long, members array<long>")
     sets = stored(sets.join(wanted, ["doc_id", "key"]).select("sid", "n", "members"), "wholes")
+    every, _, _ = _counts(sets, "members")
+    most = F.expr("n - coalesce(lone, 0)")
+    alive = sets.select("sid", "n").join(_lone(every), "sid", "left").select("sid", most.alias("most"), "n").filter(f"100 * most >= {percent} * n").drop("n")
+    alive = stored(alive, "alive")
+    posting = _postings(heads, alive, counted, cell, total)
+    discard(heads, counted, every, wanted)
+    if posting.isEmpty():
+        return members, edges
+    wholes, sets = sets, stored(sets.join(alive, "sid", "left_semi"), "alive-sets")
+    discard(wholes)
 
     # 4: stars
     total = posting.count()
@@ -226,13 +245,14 @@ def _labelled(posting: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _leaders(now: DataFrame) -> DataFrame:
     """Of each posting list that spans components: the document with the smallest unique share, and the list's length."""
-    lead = F.struct((F.col("u") / F.col("n")).alias("share"), *[F.col(c).alias(f"l{c}") for c in ("sid", "label", "n", "need", "tail", "later", "before", "after")])
+    lead = F.struct((F.col("u") / F.col("n")).alias("share"), *[F.col(c).alias(f"l{c}") for c in ("sid", "label", "n", "most", "need", "tail", "later", "before", "after")])
     return now.groupBy("t").agg(F.min(lead).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).filter("lo < hi")
 
 
 def _room(x: str, y: str, percent: int) -> str:
-    """Whether a pair that shares a shingle can share enough: at most what both have before it, it, and what both have after it."""
-    both = f"least({x}before, {y}before) + 1 + least({x}after, {y}after)"
+    """Whether a pair that shares a shingle can share enough: at most what both have before it, it, and what both have after it, and no
+    more than either shares with anyone."""
+    both = f"least({x}most, {y}most, least({x}before, {y}before) + 1 + least({x}after, {y}after))"
     return f"(100 + {percent}) * ({both}) >= {percent} * ({x}n + {y}n)"
 
 
