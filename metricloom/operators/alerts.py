@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import predicate
+from .ranking import quantiles
 
 
 def _spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -59,12 +60,11 @@ def expression_anomalies(parents: DataFrame, operands: DataFrame, keys: list[str
 
 
 def thresholds(df: DataFrame, rules: list[tuple[str, str, str, tuple, int]]) -> DataFrame:
-    """Rows that meet rules (name, measure, operator, values, severity), once for each rule, with rule and severity."""
-    out = None
-    for name, measure, op, values, severity in rules:
-        hit = df.filter(predicate(F.col(measure), op, values)).withColumn("rule", F.lit(name)).withColumn("severity", F.lit(severity))
-        out = hit if out is None else out.unionByName(hit)
-    return df.withColumn("rule", F.lit("")).withColumn("severity", F.lit(0)).limit(0) if out is None else out
+    """Rows that meet rules (name, measure, operator, values, severity), once for each rule, with rule and severity: one pass for all rules."""
+    kind = "array<struct<rule:string,severity:int>>"
+    hits = [F.when(predicate(F.col(measure), op, values), F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"))) for name, measure, op, values, severity in rules]
+    met = F.filter(F.array(*hits), lambda h: h.isNotNull()) if hits else F.array()
+    return df.select("*", F.explode(met.cast(kind)).alias("__hit")).select(*df.columns, "__hit.rule", "__hit.severity")
 
 
 def monitor(df: DataFrame, by: list[str], value: str, current: Column, base: Column | None, op: str, values: tuple) -> DataFrame:
@@ -77,11 +77,19 @@ def monitor(df: DataFrame, by: list[str], value: str, current: Column, base: Col
 
 
 def sanity(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, n, n_values, all_zero, mild, extreme): counts, and values beyond 1.5 and 3 quartile ranges (of four or more values)."""
-    out = None
+    """(column_name, n, n_values, all_zero, mild, extreme): counts, and values beyond 1.5 and 3 quartile ranges (of four or more values).
+
+    Quartiles come from ranks in bins, the counts of all columns from one aggregation into one row.
+    """
+    facts = []
     for c in columns:
-        one = _spread(df.select(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")), ["column_name"], "v")
-        beyond = lambda k: F.sum(F.when((F.col("__n") >= 4) & (F.col("__iqr") > 0) & ((F.col("v") < F.col("__q1") - k * F.col("__iqr")) | (F.col("v") > F.col("__q3") + k * F.col("__iqr"))), 1).otherwise(0))
-        got = one.groupBy("column_name").agg(F.count("*").alias("n"), F.count("v").alias("n_values"), (F.sum(F.when(F.col("v") != 0, 1).otherwise(0)) == 0).alias("all_zero"), beyond(1.5).alias("mild"), beyond(3.0).alias("extreme"))
-        out = got if out is None else out.unionByName(got)
-    return out
+        v = F.col(c).cast("double")
+        q1, q3 = quantiles(df.select(v.alias("v")), "v", [0.25, 0.75])
+        wide = max((q3 or 0.0) - (q1 or 0.0), 0.0)
+        beyond = lambda k, v=v, q1=q1, q3=q3, wide=wide: F.sum(F.when((v < q1 - k * wide) | (v > q3 + k * wide), 1).otherwise(0)) if wide else F.lit(0)
+        few = F.count(v) < 4
+        facts.append(F.struct(
+            F.lit(c).alias("column_name"), F.count("*").alias("n"), F.count(v).alias("n_values"), (F.coalesce(F.sum(F.when(v != 0, 1).otherwise(0)), F.lit(0)) == 0).alias("all_zero"),
+            F.when(few, 0).otherwise(beyond(1.5)).cast("long").alias("mild"), F.when(few, 0).otherwise(beyond(3.0)).cast("long").alias("extreme"),
+        ))
+    return df.agg(F.array(*facts).alias("f")).select(F.explode("f").alias("f")).select("f.*")

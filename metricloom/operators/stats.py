@@ -36,6 +36,32 @@ def t_p(t: float, df: float) -> float:
     return _beta(df / 2, 0.5, df / (df + t * t)) if df > 0 and math.isfinite(t) else float("nan")
 
 
+def t_limit(p: float, df: float) -> float:
+    """The t that is exceeded either way with chance p."""
+    lo, hi = 0.0, 1.0
+    while t_p(hi, df) > p:
+        hi *= 2
+    for _ in range(100):
+        middle = (lo + hi) / 2
+        lo, hi = (middle, hi) if t_p(middle, df) > p else (lo, middle)
+    return hi
+
+
+def range_p(q: float, groups: int, df: float) -> float:
+    """Tail of the studentised range, by quadrature over the normal and over the spread of the estimated deviation."""
+    z, w = np.polynomial.legendre.leggauss(200)
+    z, w = 8 * z, 8 * w
+    phi = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    below = lambda x: 0.5 * np.array([math.erfc(-v / math.sqrt(2)) for v in x.ravel()]).reshape(x.shape)
+    s, u = np.polynomial.legendre.leggauss(40)
+    spread = 8 / math.sqrt(2 * df)
+    s = np.maximum(1 + spread * s, 1e-6)
+    density = np.exp(math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - df * s * s / 2)
+    inner = groups * ((phi * w)[None, :] * (below(np.broadcast_to(z, (len(s), len(z)))) - below(z[None, :] - q * s[:, None])) ** (groups - 1)).sum(1)
+    weight = density * u
+    return float(np.clip(1 - (weight * inner).sum() / weight.sum(), 0, 1))
+
+
 def f_p(f: float, d1: float, d2: float) -> float:
     return _beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if d1 > 0 and d2 > 0 and f >= 0 else float("nan")
 
@@ -72,7 +98,7 @@ def descriptive(df: DataFrame, value: str, by: list[str] | None = None) -> DataF
     v = F.col(value)
     return df.groupBy(*(by or [])).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.percentile(v, F.lit(0.25)).alias("q1"), F.percentile(v, F.lit(0.5)).alias("median"),
-        F.percentile(v, F.lit(0.75)).alias("q3"), F.max(v).alias("max"), F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"),
+        F.percentile(v, F.lit(0.75)).alias("q3"), F.max(v).alias("max"), F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis"), F.mode(v, True).alias("mode"),
     )
 
 
@@ -166,8 +192,30 @@ def anova(df: DataFrame, value: str, group: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(k, n, between, within, f, f_p(f, k - 1, n - k), between / (between + within))], "groups long, n long, ss_between double, ss_within double, f double, p double, eta2 double")
 
 
+def tukey(df: DataFrame, value: str, group: str, most: int = 100) -> DataFrame:
+    """(a, b, difference, q, p) of every two groups by Tukey's test, at most ``most`` groups."""
+    g = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")).filter("n > 0").orderBy(group).limit(most + 1).collect()
+    if len(g) > most:
+        raise ValueError(f"more than {most} groups")
+    left = sum(r["n"] for r in g) - len(g)
+    within = sum((r["n"] - 1) * (r["v"] or 0.0) for r in g) / max(left, 1)
+    rows = []
+    for i, x in enumerate(g):
+        for y in g[i + 1 :]:
+            q = abs(y["m"] - x["m"]) / math.sqrt(max(within, 1e-300) / 2 * (1 / x["n"] + 1 / y["n"]))
+            rows.append((str(x[group]), str(y[group]), y["m"] - x["m"], q, range_p(q, len(g), left)))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, difference double, q double, p double")
+
+
+#: Cells of a two-way table whose sums are worked on together.
+MAX_CELLS = 10_000
+
+
 def anova_two_way(df: DataFrame, value: str, a: str, b: str) -> DataFrame:
-    """(source, ss, df, f, p) of the main effects and interaction, from cell sums (sequential sums of squares)."""
+    """(source, ss, df, f, p) of the main effects and interaction, from cell sums (sequential sums of squares); at most ``MAX_CELLS`` cells."""
+    sums = df.groupBy(a, b).agg(F.count(value).alias("n")).filter("n > 0").count()
+    if sums > MAX_CELLS:
+        raise ValueError(f"{sums} cells, more than {MAX_CELLS}")
     cells = df.groupBy(a, b).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q")).filter("n > 0").collect()
     n = sum(r["n"] for r in cells)
     levels = [sorted({r[c] for r in cells}, key=str) for c in (a, b)]
@@ -196,10 +244,13 @@ def t_test(df: DataFrame, value: str, group: str, a, b, equal: bool = False) ->
     return df.sparkSession.createDataFrame([(n1, n2, m1, m2, v1, v2, t, float(free), t_p(t, free), (m1 - m2) / math.sqrt(pooled))], "n1 long, n2 long, mean1 double, mean2 double, var1 double, var2 double, t double, df double, p double, cohen_d double")
 
 
-def t_test_one(df: DataFrame, value: str, mu: float) -> DataFrame:
+def t_test_one(df: DataFrame, value: str, mu: float, sure: float = 0.95) -> DataFrame:
+    """One row: n, mean, deviation, t, p and the interval that holds the mean with ``sure``."""
     n, m, s = df.agg(F.count(value), F.avg(value), F.stddev_samp(value)).first()
-    t = (m - mu) / (s / math.sqrt(n))
-    return df.sparkSession.createDataFrame([(n, m, s, t, t_p(t, n - 1))], "n long, mean double, std double, t double, p double")
+    error = s / math.sqrt(n)
+    t = (m - mu) / error
+    wide = t_limit(1 - sure, n - 1) * error
+    return df.sparkSession.createDataFrame([(n, m, s, t, t_p(t, n - 1), m - wide, m + wide)], "n long, mean double, std double, t double, p double, lower double, upper double")
 
 
 def t_test_paired(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -218,12 +269,14 @@ def rank_sums(df: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
-    rows = rank_sums(df, value, group).collect()
-    n = sum(r["n"] for r in rows)
-    h = 12 / (n * (n + 1)) * sum(r["rank_sum"] ** 2 / r["n"] for r in rows) - 3 * (n + 1)
+    """One row: groups, n, H corrected for ties, p."""
+    g = rank_sums(df.filter(F.col(value).isNotNull()), value, group)
+    k, n, part = g.agg(F.count("*"), F.sum("n"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n"))).first()
+    if not n:
+        return df.sparkSession.createDataFrame([], "groups long, n long, h double, p double")
     ties = df.filter(F.col(value).isNotNull()).groupBy(value).count().agg(F.sum(F.expr("cast(count as double) * count * count - count"))).first()[0]
-    h /= 1 - ties / (float(n) ** 3 - n)
-    return df.sparkSession.createDataFrame([(len(rows), n, h, chi2_p(h, len(rows) - 1))], "groups long, n long, h double, p double")
+    h = (12 / (n * (n + 1)) * part - 3 * (n + 1)) / (1 - ties / (float(n) ** 3 - n) or 1e-300)
+    return df.sparkSession.createDataFrame([(k, n, h, chi2_p(h, k - 1))], "groups long, n long, h double, p double")
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
@@ -235,15 +288,21 @@ def mann_whitney(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
 
 
 def cronbach(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(item, alpha): alpha of all items (item null) and without each one."""
+    """(item, alpha, item_total): alpha of all items (item null) and without each one, and each item's correlation with the sum of the others."""
     _, _, cov = moments(df, columns)
 
     def alpha(at: list[int]) -> float | None:
         k, c = len(at), cov[np.ix_(at, at)]
         return float(k / (k - 1) * (1 - np.trace(c) / c.sum())) if k > 1 and c.sum() else None
 
+    def with_rest(i: int) -> float | None:
+        with_all, own = cov[i].sum(), cov[i, i]
+        spread = own * (cov.sum() - 2 * with_all + own)
+        return float((with_all - own) / math.sqrt(spread)) if spread > 0 else None
+
     every = list(range(len(columns)))
-    return df.sparkSession.createDataFrame([(None, alpha(every))] + [(c, alpha([j for j in every if j != i])) for i, c in enumerate(columns)], "item string, alpha double")
+    rows = [(None, alpha(every), None)] + [(c, alpha([j for j in every if j != i]), with_rest(i)) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "item string, alpha double, item_total double")
 
 
 def entropy_weights(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -267,15 +326,16 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def pca(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(component, eigenvalue, share, loadings) of the correlation matrix; loadings by column, signed so that the largest is positive."""
+    """(component, eigenvalue, share, kept, loadings) of the correlation matrix; kept by Kaiser's rule (above 1), loadings by column, signed so
+    that the largest is positive."""
     _, _, cov = moments(df, columns)
     s = np.sqrt(np.diag(cov))
     values, vectors = np.linalg.eigh(cov / np.outer(s, s))
     rows = []
     for k, i in enumerate(np.argsort(-values), 1):
         v = vectors[:, i] * np.sign(vectors[np.argmax(np.abs(vectors[:, i])), i])
-        rows.append((k, float(values[i]), float(values[i] / values.sum()), dict(zip(columns, (v * math.sqrt(max(values[i], 0))).tolist(), strict=True))))
-    return df.sparkSession.createDataFrame(rows, "component int, eigenvalue double, share double, loadings map<string,double>")
+        rows.append((k, float(values[i]), float(values[i] / values.sum()), bool(values[i] > 1), dict(zip(columns, (v * math.sqrt(max(values[i], 0))).tolist(), strict=True))))
+    return df.sparkSession.createDataFrame(rows, "component int, eigenvalue double, share double, kept boolean, loadings map<string,double>")
 
 
 def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataFrame:
@@ -288,6 +348,19 @@ def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataFra
     return KMeans(k=k, seed=seed, featuresCol="__s", predictionCol="cluster").fit(scaled).transform(scaled).drop("__v", "__s")
 
 
+def elbow(df: DataFrame, columns: list[str], most: int = 8, seed: int = 42) -> DataFrame:
+    """(k, cost, chosen): within-cluster sums of squares for 2 to ``most`` clusters; chosen is the one farthest below the line between the ends."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    full = VectorAssembler(inputCols=columns, outputCol="__v", handleInvalid="skip").transform(df)
+    scaled = StandardScaler(inputCol="__v", outputCol="__s", withMean=True).fit(full).transform(full).select("__s")
+    cost = [float(KMeans(k=k, seed=seed, featuresCol="__s").fit(scaled).summary.trainingCost) for k in range(2, most + 1)]
+    line = [cost[0] + (cost[-1] - cost[0]) * i / max(len(cost) - 1, 1) for i in range(len(cost))]
+    best = int(np.argmax(np.array(line) - np.array(cost)))
+    return df.sparkSession.createDataFrame([(k + 2, c, k == best) for k, c in enumerate(cost)], "k int, cost double, chosen boolean")
+
+
 def logit(df: DataFrame, y: str, xs: list[str], multinomial: bool = False) -> dict:
     """Logistic regression without penalty: coefficients, odds ratios, log-likelihoods and pseudo R2 of the binary model."""
     from pyspark.ml.classification import LogisticRegression
@@ -311,11 +384,14 @@ def drivers(df: DataFrame, outcome: str, columns: list[str], q: float = 0.75, le
     """(driver, n_high, n_rest, mean_high, mean_rest, lift_percent, cohen_d, r): how columns differ where the outcome is in its top quarter."""
     cut = df.agg(F.percentile(outcome, F.lit(q)).alias("__cut"))
     d = df.crossJoin(cut).withColumn("__high", F.col(outcome) >= F.col("__cut"))
-    out = None
+    facts = []
     for c in columns:
         hi, lo = F.when(F.col("__high"), F.col(c)), F.when(~F.col("__high"), F.col(c))
-        one = d.agg(F.lit(c).alias("driver"), F.count(hi).alias("n_high"), F.count(lo).alias("n_rest"), F.avg(hi).alias("mean_high"), F.avg(lo).alias("mean_rest"), F.var_samp(hi).alias("__a"), F.var_samp(lo).alias("__b"), F.corr(c, outcome).alias("r"))
-        out = one if out is None else out.unionByName(one)
+        facts.append(F.struct(
+            F.lit(c).alias("driver"), F.count(hi).alias("n_high"), F.count(lo).alias("n_rest"), F.avg(hi).alias("mean_high"), F.avg(lo).alias("mean_rest"),
+            F.var_samp(hi).alias("__a"), F.var_samp(lo).alias("__b"), F.corr(c, outcome).alias("r"),
+        ))
+    out = d.agg(F.array(*facts).alias("f")).select(F.explode("f").alias("f")).select("f.*")
     gap = F.col("mean_high") - F.col("mean_rest")
     return out.filter(F.col("n_high") + F.col("n_rest") >= least).withColumn("lift_percent", F.try_divide(gap, F.abs("mean_rest")) * 100).withColumn("cohen_d", F.try_divide(gap, F.sqrt((F.col("__a") + F.col("__b")) / 2))).drop("__a", "__b")
 
@@ -372,14 +448,15 @@ def group_lift(df: DataFrame, by: str, value: str) -> DataFrame:
 
 def peers(df: DataFrame, entity: str, which, columns: list[str]) -> DataFrame:
     """(column_name, own, peer_mean, peer_std, z, percentile) of one entity among all entities."""
-    out = None
-    for c in columns:
-        own = F.max(F.when(F.col(entity) == which, F.col(c)))
-        others = F.when(F.col(entity) != which, F.col(c))
-        one = df.agg(F.lit(c).alias("column_name"), own.alias("own"), F.avg(others).alias("peer_mean"), F.stddev_samp(others).alias("peer_std"))
-        below = df.select(entity, c).crossJoin(df.agg(own.alias("__own"))).agg(F.avg(F.when(F.col(entity) != which, (F.col(c) <= F.col("__own")).cast("int"))).alias("percentile"))
-        one = one.crossJoin(below)
-        out = one if out is None else out.unionByName(one)
+    row = df.agg(*[F.max(F.when(F.col(entity) == which, F.col(c))).alias(f"__{i}") for i, c in enumerate(columns)])
+    facts = []
+    for i, c in enumerate(columns):
+        own, others = F.col(f"__{i}"), F.when(F.col(entity) != which, F.col(c))
+        facts.append(F.struct(
+            F.lit(c).alias("column_name"), F.first(own).alias("own"), F.avg(others).alias("peer_mean"), F.stddev_samp(others).alias("peer_std"),
+            F.avg(F.when(F.col(entity) != which, (F.col(c) <= own).cast("int"))).alias("percentile"),
+        ))
+    out = df.select(entity, *columns).crossJoin(row).agg(F.array(*facts).alias("f")).select(F.explode("f").alias("f")).select("f.*")  # one row on the right
     return out.withColumn("z", F.try_divide(F.col("own") - F.col("peer_mean"), F.col("peer_std")))
 
 
@@ -400,3 +477,51 @@ def factor_loadings(df: DataFrame, columns: list[str], factors: int, rounds: int
             break
         h = new
     return dict(zip(columns, loading.tolist(), strict=True))
+
+
+#: Rows the Shapiro-Wilk test looks at: its tail is not known beyond.
+SHAPIRO_ROWS = 5000
+
+
+def shapiro(df: DataFrame, value: str, seed: int = 42) -> DataFrame:
+    """One row: n, rows used, W and p of the Shapiro-Wilk test by Royston's approximation; of more than ``SHAPIRO_ROWS`` values a seeded sample."""
+    from statistics import NormalDist
+
+    values = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
+    n = values.count()
+    if n > SHAPIRO_ROWS:
+        values = values.sample(min(1.0, 1.1 * SHAPIRO_ROWS / n), seed).limit(SHAPIRO_ROWS)
+    x = np.sort(values.toPandas()["v"].to_numpy())
+    k = len(x)
+    if k < 3 or x[0] == x[-1]:
+        return df.sparkSession.createDataFrame([(n, k, None, None)], "n long, used long, w double, p double")
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (k + 0.25)) for i in range(1, k + 1)])
+    u, c = 1 / math.sqrt(k), m / math.sqrt(m @ m)
+    a = np.zeros(k)
+    a[-1] = c[-1] + np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, 0], u)
+    if k > 5:
+        a[-2] = c[-2] + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0], u)
+        phi = (m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * a[-1] ** 2 - 2 * a[-2] ** 2)
+        a[2:-2] = m[2:-2] / math.sqrt(phi)
+        a[1] = -a[-2]
+    elif k > 3:
+        phi = (m @ m - 2 * m[-1] ** 2) / (1 - 2 * a[-1] ** 2)
+        a[1:-1] = m[1:-1] / math.sqrt(phi)
+    else:
+        a[-1] = math.sqrt(0.5)
+    a[0] = -a[-1]
+    w = float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum())
+    w = min(w, 1.0)
+    if k == 3:
+        p = max(6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))), 0.0)
+    else:
+        log = math.log(k)
+        if k <= 11:
+            g = np.polyval([0.459, -2.273], k)
+            y = -math.log(max(g - math.log1p(-w), 1e-300))
+            mean, spread = np.polyval([-0.0006714, 0.025054, -0.39978, 0.544], k), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], k))
+        else:
+            y = math.log1p(-w) if w < 1 else -745.0
+            mean, spread = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], log), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], log))
+        p = 0.5 * math.erfc((y - mean) / spread / math.sqrt(2))
+    return df.sparkSession.createDataFrame([(n, k, w, float(p))], "n long, used long, w double, p double")

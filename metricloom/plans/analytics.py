@@ -155,9 +155,12 @@ def monitor_rule(spark, d):
     return _round(_round(alerts.monitor(o, ["c_mktsegment"], "o_totalprice", y == 1997, y == 1996, "notBetween", (-0.01, 0.01)), "current", "base", n=2), "change")
 
 
-@query("with x as (select o_totalprice v from orders), s as (select quantile_cont(v,0.25) q1, quantile_cont(v,0.75) q3 from x) select 'o_totalprice' column_name, count(*) n, count(v) n_values, false all_zero, count(case when v<q1-1.5*(q3-q1) or v>q3+1.5*(q3-q1) then 1 end) mild, count(case when v<q1-3*(q3-q1) or v>q3+3*(q3-q1) then 1 end) extreme from x, s")
+_FENCES = " union all ".join(f"select '{c}' column_name, count(*) n, count({c}) n_values, count(case when {c}<>0 then 1 end)=0 all_zero, count(case when {c}<a-1.5*(b-a) or {c}>b+1.5*(b-a) then 1 end) mild, count(case when {c}<a-3*(b-a) or {c}>b+3*(b-a) then 1 end) extreme from lineitem, (select quantile_cont({c},0.25) a, quantile_cont({c},0.75) b from lineitem)" for c in ("l_extendedprice", "l_discount", "l_tax"))
+
+
+@query(_FENCES)
 def sanity_checks(spark, d):
-    return alerts.sanity(read(spark, d, "orders"), ["o_totalprice"])
+    return alerts.sanity(read(spark, d, "lineitem"), ["l_extendedprice", "l_discount", "l_tax"])
 
 
 # series
@@ -184,15 +187,16 @@ def series_collapse(spark, d):
 
 
 def _gappy(spark, d):
-    return read(spark, d, "events").filter("event_id % 5 = 0 and dayofmonth(ts) % 4 <> 0").groupBy(F.col("event_type").alias("k"), F.to_date("ts").alias("p")).agg(F.sum("value").alias("v"))
+    # users have days without events, event types have none
+    return read(spark, d, "events").groupBy(F.col("user_id").alias("k"), F.to_date("ts").alias("p")).agg(F.sum("value").alias("v"))
 
 
-@query("with x as (select event_type k, ts::date p, sum(value) v from events where event_id%5=0 and day(ts)%4<>0 group by all), e as (select k, min(p) a, max(p) b from x group by k), c as (select k, unnest(range(a, b + interval 1 day, interval 1 day))::date p from e), j as (select c.k, c.p, v, row_number() over (partition by c.k order by c.p) i from c left join x on c.k=x.k and c.p=x.p), f as (select *, last_value(case when v is not null then i end ignore nulls) over w pi, last_value(v ignore nulls) over w pv, first_value(case when v is not null then i end ignore nulls) over z ni, first_value(v ignore nulls) over z nv from j window w as (partition by k order by p rows between unbounded preceding and 1 preceding), z as (partition by k order by p rows between 1 following and unbounded following)) select k, p, round(coalesce(v, pv+(nv-pv)*(i-pi)/(ni-pi)),4) v, v is null missing from f")
+@query("with x as (select user_id k, ts::date p, sum(value) v from events group by all), e as (select k, min(p) a, max(p) b from x group by k), c as (select k, unnest(range(a, b + interval 1 day, interval 1 day))::date p from e), j as (select c.k, c.p, v, row_number() over (partition by c.k order by c.p) i from c left join x on c.k=x.k and c.p=x.p), f as (select *, last_value(case when v is not null then i end ignore nulls) over w pi, last_value(v ignore nulls) over w pv, first_value(case when v is not null then i end ignore nulls) over z ni, first_value(v ignore nulls) over z nv from j window w as (partition by k order by p rows between unbounded preceding and 1 preceding), z as (partition by k order by p rows between 1 following and unbounded following)) select k, p, round(coalesce(v, pv+(nv-pv)*(i-pi)/(ni-pi)),4) v, v is null missing from f")
 def gap_fill(spark, d):
     return _round(series.fill(_gappy(spark, d), ["k"], "p", "v", "1 day", "interpolate"), "v", n=4)
 
 
-@query("with x as (select event_type k, ts::date p, sum(value) v from events where event_id%5=0 and day(ts)%4<>0 group by all), e as (select k, min(p) a, max(p) b from x group by k), c as (select k, unnest(range(a, b + interval 1 day, interval 1 day))::date p from e) select c.k, c.p, round(coalesce(v,0),4) v, v is null missing from c left join x on c.k=x.k and c.p=x.p")
+@query("with x as (select user_id k, ts::date p, sum(value) v from events group by all), e as (select k, min(p) a, max(p) b from x group by k), c as (select k, unnest(range(a, b + interval 1 day, interval 1 day))::date p from e) select c.k, c.p, round(coalesce(v,0),4) v, v is null missing from c left join x on c.k=x.k and c.p=x.p")
 def gap_fill_zero(spark, d):
     return _round(series.fill(_gappy(spark, d), ["k"], "p", "v", "1 day", "zero"), "v", n=4)
 
@@ -218,7 +222,7 @@ def forecast_metrics(spark, d):
     return _round(_round(series.error_metrics(x, ["k"], "v", "g", "s"), "mae", n=2), "wape", "smape", "mase")
 
 
-@query("with x as (select event_type k, ts::date p, sum(value) v from events where event_id%5=0 and day(ts)%4<>0 group by all), e as (select k, min(p) a, max(p) b, count(*) n, stddev_pop(v) s from x group by k) select k, (b-a+1)::bigint expected, n points, round(0.45*n/(b-a+1)+0.25*least(1.0,n/40.0)+0.2+0.1*(case when s>1e-12 then 1 else 0.8 end),6) score from e")
+@query("with x as (select user_id k, ts::date p, sum(value) v from events group by all), e as (select k, min(p) a, max(p) b, count(*) n, stddev_pop(v) s from x group by k) select k, (b-a+1)::bigint expected, n points, round(0.45*n/(b-a+1)+0.25*least(1.0,n/40.0)+0.2+0.1*(case when s>1e-12 then 1 else 0.8 end),6) score from e")
 def series_quality(spark, d):
     return series.quality_score(series.fill(_gappy(spark, d), ["k"], "p", "v", "1 day"), ["k"], "v")
 
@@ -230,14 +234,23 @@ def goal_achievement(spark, d):
     return series.goal_achievement(x, "a", "t").select("k", "rate", "goal_status")
 
 
-@query()
+_ERFC = "(t*exp(-z*z-1.26551223+t*(1.00002368+t*(0.37409196+t*(0.09678418+t*(-0.18628806+t*(0.27886807+t*(-1.13520398+t*(1.48851587+t*(-0.82215223+t*0.17087277))))))))))"
+
+
+@query(
+    "with x as (select o_orderpriority, coalesce(sum(case when year(o_orderdate)=1997 then o_totalprice end),0) actual, sum(case when year(o_orderdate)=1996 then o_totalprice end)*0.3 forecast, stddev_samp(o_totalprice)*2*sqrt(count(*)) sigma, sum(case when year(o_orderdate)=1996 then o_totalprice end)*1.3 target from orders group by all),"
+    " a as (select *, actual+forecast projected, (target-actual-forecast)/sigma g from x), b as (select *, abs(g)/sqrt(2) z, 1/(1+0.5*abs(g)/sqrt(2)) t from a),"
+    f" c as (select *, case when g>=0 then {_ERFC}/2 else 1-{_ERFC}/2 end p from b)"
+    " select o_orderpriority, round(actual,2) actual, round(projected,2) projected, round(least(1,greatest(0,p)),6) probability, round(greatest(0,target-projected),2) gap, round(greatest(0,target-actual)/4,2) required_pace, case when actual>=target then 'ACHIEVED' when p>=0.7 then 'ON_TRACK' when p>=0.3 then 'AT_RISK' else 'OFF_TRACK' end status from c"
+)
 def pace_to_goal(spark, d):
     y = F.year("o_orderdate")
     x = read(spark, d, "orders").groupBy("o_orderpriority").agg(
-        F.coalesce(F.sum(F.when(y == 1997, F.col("o_totalprice"))), F.lit(0.0)).alias("actual"), (F.sum(F.when(y == 1996, F.col("o_totalprice"))) * 0.3).alias("forecast"), F.stddev_samp("o_totalprice").alias("sigma"), (F.sum(F.when(y == 1996, F.col("o_totalprice"))) * 1.3).alias("target"),
+        F.coalesce(F.sum(F.when(y == 1997, F.col("o_totalprice"))), F.lit(0.0)).alias("actual"), (F.sum(F.when(y == 1996, F.col("o_totalprice"))) * 0.3).alias("forecast"), (F.stddev_samp("o_totalprice") * 2 * F.sqrt(F.count("*"))).alias("sigma"), (F.sum(F.when(y == 1996, F.col("o_totalprice"))) * 1.3).alias("target"),
     )
     goals = x.select("o_orderpriority", "actual", "forecast", "sigma", F.lit(4).alias("remaining"), "target", F.lit("HIGHER").alias("direction"), F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"))
-    return series.pace_to_goal(goals)
+    got = series.pace_to_goal(goals).select("o_orderpriority", "actual", "projected", "probability", "gap", "required_pace", "status")
+    return _round(_round(got, "actual", "projected", "gap", "required_pace", n=2), "probability")
 
 
 _TWO = "with m as (select date_trunc('month',o_orderdate)::date p, sum(o_totalprice) x, count(*)::double y from orders group by all)"
@@ -325,89 +338,16 @@ def org_tree_recursive(spark, d):
     return spark.sql("with recursive t(n, parent, path) as (select id, up, name from {rows} where up is null union all select r.id, r.up, concat(t.path, '/', r.name) from {rows} r join t on r.up = t.n) select n, parent, path from t", rows=rows)
 
 
-# statistics
-@query("select event_type, count(value) n, round(avg(value),6) mean, round(stddev_samp(value),6) std, round(quantile_cont(value,0.25),6) q1, round(median(value),6) median from events group by all")
-def stats_descriptive(spark, d):
-    return _round(stats.descriptive(read(spark, d, "events"), "value", ["event_type"]).select("event_type", "n", "mean", "std", "q1", "median"), "mean", "std", "q1", "median")
-
-
-@query("select a, b, n, round(r,6) r from (select 'l_quantity' a, 'l_extendedprice' b, count(*) n, corr(l_quantity,l_extendedprice) r from lineitem union all select 'l_quantity','l_discount',count(*),corr(l_quantity,l_discount) from lineitem union all select 'l_extendedprice','l_discount',count(*),corr(l_extendedprice,l_discount) from lineitem)")
-def stats_correlation(spark, d):
-    return _round(stats.correlation_matrix(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]).drop("p"), "r")
-
-
-@query("select count(*) n, round(regr_slope(l_extendedprice,l_quantity),4) slope, round(regr_intercept(l_extendedprice,l_quantity),4) as intercept, round(regr_r2(l_extendedprice,l_quantity),6) r2 from lineitem")
-def stats_regression(spark, d):
-    got = stats.ols(read(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"])
-    return spark.createDataFrame([(got["n"], round(got["coefficients"]["l_quantity"], 4), round(got["intercept"], 4), round(got["r2"], 6))], "n long, slope double, intercept double, r2 double")
-
-
-@query("with g as (select event_type, count(value) n, avg(value) m, var_samp(value) v from events group by all), t as (select count(*) k, sum(n) n, sum(n*m)/sum(n) grand, sum((n-1)*v) w from g), b as (select sum(g.n*(m-grand)**2) b from g, t) select k as \"groups\", n::bigint n, round(b,2) ss_between, round(w,2) ss_within, round((b/(k-1))/(w/(n-k)),6) f, round(b/(b+w),6) eta2 from t, b")
-def stats_anova(spark, d):
-    return _round(_round(stats.anova(read(spark, d, "events"), "value", "event_type").drop("p"), "ss_between", "ss_within", n=2), "f", "eta2")
-
-
-@query("with s as (select count(case when event_type='click' then value end) n1, count(case when event_type='view' then value end) n2, avg(case when event_type='click' then value end) m1, avg(case when event_type='view' then value end) m2, var_samp(case when event_type='click' then value end) v1, var_samp(case when event_type='view' then value end) v2 from events) select n1, n2, round((m1-m2)/sqrt(v1/n1+v2/n2),6) t, round((v1/n1+v2/n2)**2/((v1/n1)**2/(n1-1)+(v2/n2)**2/(n2-1)),4) df from s")
-def stats_ttest(spark, d):
-    return _round(_round(stats.t_test(read(spark, d, "events"), "value", "event_type", "click", "view").select("n1", "n2", "t", "df"), "t"), "df", n=4)
-
-
-@query("with c as (select value v, count(*) c from events group by all), r as (select v, sum(c) over (order by v rows unbounded preceding) - (c-1)/2.0 k from c) select event_type, count(*) n, sum(k)::double rank_sum from events join r on value=v group by all")
-def stats_rank_sums(spark, d):
-    return stats.rank_sums(read(spark, d, "events"), "value", "event_type")
-
-
-@query("with v as (select var_samp(l_quantity) a, var_samp(l_discount) b, var_samp(l_tax) c, var_samp(l_quantity+l_discount+l_tax) t, var_samp(l_discount+l_tax) bc, var_samp(l_quantity+l_tax) ac, var_samp(l_quantity+l_discount) ab from lineitem) select item, round(alpha,6) alpha from (select null::varchar item, 1.5*(1-(a+b+c)/t) alpha from v union all select 'l_quantity', 2*(1-(b+c)/bc) from v union all select 'l_discount', 2*(1-(a+c)/ac) from v union all select 'l_tax', 2*(1-(a+b)/ab) from v)")
-def stats_cronbach(spark, d):
-    return _round(stats.cronbach(read(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"]), "alpha")
-
-
-@query("with m as (select min(p_size) a, max(p_size) b, min(p_retailprice) c, max(p_retailprice) e, count(*) n from part), x as (select (p_size-a)/(b-a)+1e-9 u, (p_retailprice-c)/(e-c)+1e-9 w, n from part, m), s as (select sum(u) su, sum(w) sw, max(n) n from x), h as (select -sum(u/su*ln(u/su))/ln(max(s.n)) eu, -sum(w/sw*ln(w/sw))/ln(max(s.n)) ew from x, s) select 'p_size' column_name, round(eu,6) entropy, round((1-eu)/(2-eu-ew),6) weight from h union all select 'p_retailprice', round(ew,6), round((1-ew)/(2-eu-ew),6) from h")
-def entropy_weight(spark, d):
-    return _round(stats.entropy_weights(read(spark, d, "part"), ["p_size", "p_retailprice"]), "entropy", "weight")
-
-
-@query("with m as (select min(l_extendedprice) a, max(l_extendedprice) b from lineitem) select least(floor((l_extendedprice-a)/((b-a)/8))+1,8)::bigint bin, count(*) n from lineitem, m group by all")
-def histogram(spark, d):
-    return stats.histogram(read(spark, d, "lineitem"), "l_extendedprice", 8).select(F.col("bin").cast("long").alias("bin"), "n")
-
-
-@query("with c as (select quantile_cont(l_extendedprice,0.75) c from lineitem), h as (select l_quantity x, l_extendedprice y, l_extendedprice>=c hi from lineitem, c) select 'l_quantity' driver, count(case when hi then 1 end) n_high, count(case when not hi then 1 end) n_rest, round(avg(case when hi then x end),6) mean_high, round(avg(case when not hi then x end),6) mean_rest, round(corr(x,y),6) r, round((avg(case when hi then x end)-avg(case when not hi then x end))/abs(avg(case when not hi then x end))*100,6) lift_percent, round((avg(case when hi then x end)-avg(case when not hi then x end))/sqrt((var_samp(case when hi then x end)+var_samp(case when not hi then x end))/2),6) cohen_d from h")
-def driver_analysis(spark, d):
-    return _round(stats.drivers(read(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"]), "mean_high", "mean_rest", "r", "lift_percent", "cohen_d")
-
-
-@query("with x as (select event_type m, ts::date t, sum(value) v from events group by all), r as (select a.m a, b.m b, count(*) n, corr(a.v,b.v) r from x a join x b using(t) where a.m<>b.m group by all) select a, b, n, round(r,6) r from r qualify row_number() over (partition by a order by r desc, b)<=2")
-def measure_similarity(spark, d):
-    x = read(spark, d, "events").groupBy(F.col("event_type").alias("m"), F.to_date("ts").alias("t")).agg(F.sum("value").alias("v"))
-    return _round(stats.similarity(x, "m", "t", "v", 2), "r")
-
-
-@query("with x as (select event_type k, ts::date p, sum(value) v from events group by all), i as (select k, v, row_number() over (partition by k order by p)-1 i from x) select k, count(*) n, round(regr_slope(v,i),6) slope, round(regr_intercept(v,i),4) as intercept, round(regr_r2(v,i),6) r2 from i group by k")
-def trend(spark, d):
-    x = read(spark, d, "events").groupBy(F.col("event_type").alias("k"), F.to_date("ts").alias("p")).agg(F.sum("value").alias("v"))
-    return _round(_round(stats.trend(x, ["k"], "p", "v"), "slope", "r2"), "intercept", n=4)
-
-
-@query(f"with x as ({_SERIES}), q as (select k, quantile_cont(v,0.25) a, quantile_cont(v,0.75) b, avg(v) m, stddev_samp(v) s from x group by k) select k, p, round(v,4) v, (v<a-1.5*(b-a) or v>b+1.5*(b-a)) by_iqr, abs((v-m)/s)>2.5 by_z from x join q using(k) where by_iqr or by_z")
-def outliers(spark, d):
-    return _round(stats.outliers(_events(spark, d), ["k"], "v"), "v", n=4)
-
-
-@query()
-def stats_pca(spark, d):
-    return stats.pca(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-
-
-@query()
-def stats_kmeans(spark, d):
-    return stats.kmeans(read(spark, d, "part"), ["p_size", "p_retailprice"], 3).select("p_partkey", "cluster")
+# metadata
+_PROFILE = " union all ".join(
+    f"select '{c}' column_name, '{t}' base_type, count(*) n, count(*)-count({c}) n_null, count(distinct {c}) n_distinct, min({c})::varchar min_value, max({c})::varchar max_value, {mean} mean, min(length({c}::varchar))::int min_length, max(length({c}::varchar))::int max_length, null::varchar pattern from customer"
+    for c, t, mean in (("c_custkey", "NUMERIC", "round(avg(c_custkey),6)"), ("c_mktsegment", "STRING", "null::double"), ("c_name", "STRING", "null::double"), ("c_nationkey", "NUMERIC", "round(avg(c_nationkey),6)"))
+)
 
 
-# metadata
-@query("select 'c_custkey' column_name, count(*) n, count(*)-count(c_custkey) n_null, count(distinct c_custkey) n_distinct, min(c_custkey)::varchar min_value from customer union all select 'c_mktsegment', count(*), count(*)-count(c_mktsegment), count(distinct c_mktsegment), min(c_mktsegment) from customer")
+@query(_PROFILE)
 def profile_columns(spark, d):
-    return meta.profile(read(spark, d, "customer"), ["c_custkey", "c_mktsegment"]).select("column_name", "n", "n_null", "n_distinct", "min_value")
+    return _round(meta.profile(read(spark, d, "customer"), ["c_custkey", "c_mktsegment", "c_name", "c_nationkey"]), "mean")
 
 
 @query("select p_brand as value, count(*) n from part group by all order by 2 desc, 1 limit 10")
@@ -415,20 +355,28 @@ def top_values(spark, d):
     return meta.top_values(read(spark, d, "part"), "p_brand")
 
 
-@query("select count(distinct o_custkey) n_values, count(distinct case when o_custkey in (select c_custkey from customer) then o_custkey end) n_common, 1.0::double share, 'full' verdict from orders")
+@query("with x as (select count(distinct o_custkey) n, count(distinct case when o_custkey in (select c_custkey from customer) then o_custkey end) c from orders) select n n_values, c n_common, c/n share, case when c>=3 and c/n>=0.95 then 'full' when c>=3 and c/n>=0.6 then 'partial' else 'none' end verdict from x")
 def inclusion_dependency(spark, d):
     return meta.inclusion(read(spark, d, "orders"), "o_custkey", read(spark, d, "customer"), "c_custkey")
 
 
-@query("select * from (values ('orders','o_custkey','customer','c_custkey',1.0::double,0.95::double),('lineitem','l_orderkey','orders','o_orderkey',1.0::double,0.95::double),('customer','c_nationkey','nation','n_nationkey',1.0::double,0.95::double)) t(table_name,column_name,to_table,to_column,share,confidence)")
+_SHARES = " union all ".join(f"select '{t}' table_name, '{c}' column_name, '{to}' to_table, '{k}' to_column, count(distinct case when {c} in (select {k} from {to}) then {c} end) / count(distinct {c}) share from {t}" for t, c, to, k in (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("customer", "c_nationkey", "nation", "n_nationkey")))
+
+
+@query(f"with x as ({_SHARES}), y as (select *, case when share>=0.99 then 0.95 when share>=0.9 then 0.85 when share>=0.7 then 0.7 when share>=0.5 then 0.6 end::double confidence from x) select * from y where confidence is not null")
 def fk_discovery(spark, d):
     t = {n: read(spark, d, n) for n in ("orders", "lineitem", "customer", "nation")}
     return meta.foreign_keys(t, {"customer": "c_custkey", "orders": "o_orderkey", "nation": "n_nationkey"})
 
 
-@query("select l_partkey as value, count(*) n from lineitem where l_partkey not in (select p_partkey from part where p_size < 40) group by all")
+@query("select 'lineitem.l_partkey' as reference, l_partkey as value, count(*) n from lineitem where l_partkey not in (select p_partkey from part) group by all union all select 'events.user_id', user_id, count(*) from events where user_id not in (select c_custkey from customer) group by all union all select 'customer.c_custkey', c_custkey, count(*) from customer where c_custkey not in (select s_suppkey from supplier) group by all")
 def fk_orphans(spark, d):
-    return meta.orphans(read(spark, d, "lineitem"), "l_partkey", read(spark, d, "part").filter("p_size < 40"), "p_partkey")
+    t = {n: read(spark, d, n) for n in ("lineitem", "part", "events", "customer", "supplier")}
+    out = None
+    for child, column, parent, key in (("lineitem", "l_partkey", "part", "p_partkey"), ("events", "user_id", "customer", "c_custkey"), ("customer", "c_custkey", "supplier", "s_suppkey")):
+        one = meta.orphans(t[child], column, t[parent], key).select(F.lit(f"{child}.{column}").alias("reference"), "value", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("with a as (select distinct l_linestatus v from lineitem), b as (select distinct o_orderstatus v from orders) select (select count(*) from a) n_a, (select count(*) from b) n_b, (select count(*) from a join b using(v))::bigint n_common, 0.8::double confidence")
@@ -436,10 +384,11 @@ def shared_enum(spark, d):
     return _round(meta.shared_enum(read(spark, d, "lineitem"), "l_linestatus", read(spark, d, "orders"), "o_orderstatus"), "confidence")
 
 
-@query("select 'orders' table_name, count(*) n from orders union all select 'part', count(*) from part")
+@query("select 'orders' table_name, count(*) n, 'o_custkey' as column_name, count(distinct o_custkey) n_distinct from orders union all select 'orders', count(*), 'o_orderstatus', count(distinct o_orderstatus) from orders union all select 'part', count(*), 'p_brand', count(distinct p_brand) from part")
 def table_histogram(spark, d):
     t = {n: read(spark, d, n) for n in ("orders", "part")}
-    return meta.table_histogram(t, {"orders": ["o_custkey"], "part": ["p_brand"]}).select("table_name", "n")
+    got = meta.table_histogram(t, {"orders": ["o_custkey", "o_orderstatus"], "part": ["p_brand"]})
+    return got.select("table_name", "n", F.explode("distinct_counts").alias("column_name", "n_distinct"))
 
 
 @query("select * from (values ('lineitem','fact'),('orders','fact'),('customer','dimension'),('nation','lookup'),('region','lookup')) t(table_name, kind)")

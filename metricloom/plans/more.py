@@ -53,11 +53,6 @@ def linear_coefficients(spark, d):
     return spark.createDataFrame(sorted(got.items()), "operand string, coefficient double")
 
 
-@query()
-def stats_ks(spark, d):
-    return stats.ks_normal(read(spark, d, "events"), "value")
-
-
 @query("select p_brand, count(*) n, round(avg(p_retailprice),4) mean, round((avg(p_retailprice)-(select avg(p_retailprice) from part))/(select avg(p_retailprice) from part)*100,6) lift_percent from part group by all")
 def group_lift(spark, d):
     return _round(_round(stats.group_lift(read(spark, d, "part"), "p_brand", "p_retailprice"), "mean", n=4), "lift_percent")
@@ -75,9 +70,9 @@ def _two(spark, d):
     return read(spark, d, "orders").groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("p")).agg(F.sum("o_totalprice").alias("x"), F.count("*").cast("double").alias("y"))
 
 
-@query(_TWO + ", s as (select avg(x) mx, stddev_pop(x) sx, avg(y) my, stddev_pop(y) sy from m) select p, round(x,2) x, y, round((x-mx)/sx,6) zx, round((y-my)/sy,6) zy from m, s where abs((x-mx)/sx)>=1 and abs((y-my)/sy)>=1")
+@query(_TWO + ", s as (select avg(x) mx, stddev_pop(x) sx, avg(y) my, stddev_pop(y) sy from m) select p, round(x,2) x, y, round((x-mx)/sx,6) zx, round((y-my)/sy,6) zy from m, s where abs((x-mx)/sx)>=3 and abs((y-my)/sy)>=3")
 def joint_anomalies(spark, d):
-    return _round(_round(series.joint_anomalies(_two(spark, d), "p", "x", "y", 1.0), "x", n=2), "zx", "zy")
+    return _round(_round(series.joint_anomalies(_two(spark, d), "p", "x", "y"), "x", n=2), "zx", "zy")
 
 
 @query(_TWO + ", h as (select x, y, ntile(2) over (order by p) h from m), c as (select corr(case when h=1 then x end, case when h=1 then y end) r1, corr(case when h=2 then x end, case when h=2 then y end) r2 from h) select round(r1,6) r1, round(r2,6) r2, sign(r1)=sign(r2) and abs(r1-r2)<=0.3 stable from c")
@@ -85,16 +80,26 @@ def correlation_stability(spark, d):
     return _round(series.stability(_two(spark, d), "p", "x", "y"), "r1", "r2")
 
 
-@query("select * from (values ('average_line','dependency',1.0::double),('return_rate','dependency',1.0::double)) t(b, why, priority)")
+@query()
 def metric_candidates(spark, d):
-    rows = [(b if a in ("lines", "quantity") else a, why, p) for a, b, p, why in series.metric_candidates(CATALOG) if why == "dependency" and {a, b} in ({"lines", "average_line"}, {"quantity", "return_rate"})]
-    return spark.createDataFrame(rows, "b string, why string, priority double")
+    return spark.createDataFrame(series.metric_candidates(CATALOG), "a string, b string, priority double, why string")
 
 
-@query()
+_GRAMS = "list_concat(list_concat(list_transform(range(1, greatest(length({t})-0, 1)), lambda i: substr({t}, i, 2)), list_transform(range(1, greatest(length({t})-1, 1)), lambda i: substr({t}, i, 3))), list_concat(list_transform(range(1, greatest(length({t})-2, 1)), lambda i: substr({t}, i, 4)), list_transform(regexp_extract_all({t}, '[^\\s_]+'), lambda w: '#' || w)))"
+_WEIGHTS = "select {k} k, ('0x'||substr(md5(g),1,15))::bigint%1024 slot, sum(case when ('0x'||substr(md5(g),16,1))::int<8 then 1.0 else -1.0 end) w from (select {k}, unnest({g}) g from {f}) group by all"
+_NAMES = [m.name for m in CATALOG.measures]
+_ASKED = ["revenues", "order counts", "zzz", "average line value"]
+
+
+@query(
+    f"with n as (select unnest({_NAMES!r}) name_), q as (select unnest({_ASKED!r}) query_), nw as ({_WEIGHTS.format(k='name_', g=_GRAMS.format(t='lower(name_)'), f='n')}), qw as ({_WEIGHTS.format(k='query_', g=_GRAMS.format(t='lower(query_)'), f='q')}),"
+    " nn as (select k, sqrt(sum(w*w)) l from nw group by k), qn as (select k, sqrt(sum(w*w)) l from qw group by k),"
+    " s as (select qw.k as query, nw.k as name, sum(qw.w*nw.w)/any_value(qn.l)/any_value(nn.l) score from qw join nw using(slot) join qn on qn.k=qw.k join nn on nn.k=nw.k group by all)"
+    " select query, name, round(score,6) score, row_number() over (partition by query order by score desc, name)::int as rank from s where score>=0.45 qualify rank<=2"
+)
 def retrieve_names(spark, d):
-    names = spark.createDataFrame([(m.name,) for m in CATALOG.measures], "name string")
-    return text.retrieve(spark.createDataFrame([("revenues",), ("order counts",), ("zzz",)], "query string"), names, 2)
+    names = spark.createDataFrame([(n,) for n in _NAMES], "name string")
+    return _round(text.retrieve(spark.createDataFrame([(q,) for q in _ASKED], "query string"), names, 2), "score")
 
 
 @query("with c as (select conv_id, turn, role, length(coalesce(\"text\",'')) n, case when lag(role) over w is not distinct from role and lag(turn) over w is not null then 0 else 1 end c from conversations window w as (partition by conv_id order by turn)), s as (select *, sum(c) over (partition by conv_id order by turn rows unbounded preceding) segment from c) select conv_id, segment::bigint segment, role, count(*) turns, sum(n)::bigint chars, round(sum(n)*60.0/240,1)::double as seconds from s group by all")

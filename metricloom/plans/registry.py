@@ -21,7 +21,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def queries() -> dict[str, Query]:
-    from . import analytics, core, more  # noqa: F401
+    from . import analytics, core, more, statistics  # noqa: F401
 
     return {k: f for k, (f, _) in _FOUND.items()}
 
