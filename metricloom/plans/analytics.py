@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import alerts, attribution, meta, pivot, series, stats, text
+from ..operators import alerts, attribution, forecasting, meta, pivot, series, text
 from .registry import query
 from .tables import CATALOG, NAMES, read
 
@@ -210,7 +210,7 @@ def forecast_simple(spark, d):
 @query()
 def forecast_auto(spark, d):
     x = read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("k"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("p")).agg(F.sum("o_totalprice").alias("v"))
-    return series.auto_forecast(x, ["k"], "p", "v", 6, 12)
+    return forecasting.auto_forecast(x, ["k"], "p", "v", 6, 12)
 
 
 @query("with x as (select o_orderpriority k, date_trunc('month',o_orderdate) p, sum(o_totalprice) v from orders group by all), l as (select k, v, lag(v) over (partition by k order by p) g from x) select k, round(avg(abs(v-g)),2) mae, round(sum(abs(v-g))/sum(abs(v)),6) wape, round(avg(2*abs(v-g)/(abs(v)+abs(g))),6) smape, round(avg(abs(v-g))/avg(abs(v-g)),6) mase from l where g is not null group by k")

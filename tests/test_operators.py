@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from metricloom.operators import alerts, attribution, meta, pivot, ranking, series, stats, text
+from metricloom.operators import alerts, attribution, forecasting, meta, pivot, ranking, series, stats, text
 from metricloom.sources import writers
 from metricloom.sources.readers import Database, Sources
 from metricloom.streaming import scans
@@ -65,13 +65,34 @@ def test_benjamini_hochberg_of_the_worked_case(spark):
     assert got[0] == pytest.approx(0.003) and got[1] == pytest.approx(0.03) and got[2] == pytest.approx(0.5) and got[3] is None
 
 
+def test_forecast_paths_against_one_origin_at_a_time():
+    rng = np.random.default_rng(5)
+    y, season, h = 50 + np.cumsum(rng.normal(size=60)) + 5 * np.sin(np.arange(60) * np.pi / 6), 12, 5
+    every = forecasting.paths(y, h, season)
+    for o in (24, 25, 40, 55):  # what a model says after o points does not depend on those to come
+        cut = forecasting.paths(y[:o], h, season)
+        assert all(np.allclose(every[k][o - 1], cut[k][-1], equal_nan=True) for k in every)
+        assert np.allclose(every["drift"][o - 1], y[o - 1] + (y[o - 1] - y[0]) / (o - 1) * np.arange(1, h + 1))
+        assert np.allclose(every["seasonal_naive"][o - 1], [y[o - season + k % season] for k in range(h)])
+    table = forecasting.error_table(y, every["naive"], 24)
+    assert table.shape == (60 - h - 23, h)
+    assert np.allclose(table[3], y[27 : 27 + h] - y[26])
+    rows, sure = forecasting.best_forecast(y, 8, season, 1.0)
+    assert len(rows) == 8 and 0 <= sure <= 1 and (np.diff(rows.upper95 - rows.lower95) >= -1e-9).all()
+
+
 def test_forecast_and_pace(spark):
     rows = [("up", i, 10.0 + 2 * i) for i in range(40)] + [("short", i, 1.0) for i in range(5)] + [("wave", i, 50 + 10 * math.sin(i * math.pi / 6)) for i in range(60)]
     df = spark.createDataFrame(rows, "k string, i int, v double")
-    got = series.auto_forecast(df, ["k"], "i", "v", 4, 12).toPandas()
+    got = forecasting.auto_forecast(df, ["k"], "i", "v", 4, 12).toPandas()
     up = got[got.k == "up"].sort_values("step")
     assert np.allclose(up.value, [90, 92, 94, 96], atol=1.5) and set(got[got.k == "short"].status) == {"INSUFFICIENT_DATA"}
-    assert set(got[got.k == "wave"].model) == {"seasonal_naive"}
+    wave = got[got.k == "wave"]
+    assert set(wave.model) == {"seasonal_naive"} == set(wave.baseline) and set(wave.status) == {"QUALIFIED"} and len(wave) == 4
+    assert (got.lower95.dropna() <= got.lower80.dropna()).all() and (got.lower80.dropna() <= got.value.dropna()).all() and (got.value.dropna() <= got.upper80.dropna()).all()
+    holes = spark.createDataFrame([("h", i, None if i % 3 == 0 else float(i)) for i in range(60)] + [("few", i, None if i == 7 else float(i)) for i in range(60)], "k string, i int, v double")
+    got = {r.k: (r.status, r.missing_rate) for r in forecasting.auto_forecast(holes, ["k"], "i", "v", 1).collect()}
+    assert got["h"][0] == "INSUFFICIENT_DATA" and got["h"][1] == pytest.approx(1 / 3) and got["few"][0] == "QUALIFIED"
     goals = spark.createDataFrame(
         [("a", 120.0, 0.0, 0.0, 3, 100.0, "HIGHER"), ("b", 50.0, 60.0, 5.0, 3, 100.0, "HIGHER"), ("c", 50.0, 40.0, 5.0, 3, 100.0, "HIGHER"), ("d", 50.0, 50.0, 10.0, 2, 100.0, "LOWER"), ("e", 90.0, 0.0, 0.0, 0, 100.0, "HIGHER"), ("f", 50.0, 50.0, 1.0, 2, 100.0, "RANGE")],
         "k string, actual double, forecast double, sigma double, remaining int, target double, direction string",
