@@ -265,6 +265,32 @@ def cross_metric_corr(spark, d):
     return _round(series.correlations(_two(spark, d), "p", "x", "y"), "pearson", "spearman", "pearson_diff", "pearson_change")
 
 
+_DAILY = "with x as (select event_type m, ts::date p, sum(value) v from events where not (event_type='error' and day(ts)=9) group by all), c as (select a.m a, b.m b from (select distinct m from x) a join (select distinct m from x) b on a.m<b.m)"
+
+
+def _daily(spark, d):
+    v = read(spark, d, "events").filter("not (event_type = 'error' and dayofmonth(ts) = 9)").groupBy(F.col("event_type").alias("m"), F.to_date("ts").alias("p")).agg(F.sum("value").alias("v"))
+    kinds = v.select("m").distinct()
+    pairs = kinds.select(F.col("m").alias("a")).join(kinds.select(F.col("m").alias("b")), F.expr("a < b")).withColumn("priority", F.lit(0.85))
+    return series.pair_measures(v, pairs, "m", "p", "v", 3)
+
+
+@query(
+    _DAILY + ", j as (select c.a, c.b, x.p, x.v x, y.v y from c join x on x.m=c.a join x y on y.m=c.b and y.p=x.p), k as (select c.a, c.b, (select count(*) from x where m=c.a)+(select count(*) from x where m=c.b) t from c),"
+    " l as (select *, x-lag(x) over w dx, y-lag(y) over w dy, (x-lag(x) over w)/lag(x) over w px, (y-lag(y) over w)/lag(y) over w py, row_number() over w i, count(*) over (partition by a, b) n from j window w as (partition by a, b order by p)),"
+    " h as (select a, b, any_value(n) n, corr(x,y) pearson, corr(dx,dy) difference, corr(px,py) as change, corr(case when i-1<=floor((n-1)/2) then dx end, case when i-1<=floor((n-1)/2) then dy end) r1, corr(case when i-1>floor((n-1)/2) then dx end, case when i-1>floor((n-1)/2) then dy end) r2 from l group by a, b),"
+    " g as (select u.a, u.b, s lag, corr(u.x, z.y) r from l u, range(-3,4) t(s), l z where z.a=u.a and z.b=u.b and z.i=u.i+s group by all), f as (select a, b, lag, r from g qualify row_number() over (partition by a, b order by round(abs(r),9) desc, abs(lag), lag desc)=1)"
+    " select h.a, h.b, 0.85::double priority, h.n, round(h.n/(k.t-h.n),6) coverage, round(pearson,6) pearson, round(difference,6) difference, round(change,6) as change, round((1-abs(r1-r2)/2)*case when r1*r2>=0 then 1 else 0.25 end,6) stability, f.lag::int best_lag, round(f.r,6) lag_r from h join k using (a,b) join f using (a,b)"
+)
+def pair_measures(spark, d):
+    return _round(_daily(spark, d), "coverage", "pearson", "difference", "change", "stability", "lag_r")
+
+
+@query()
+def pair_relations(spark, d):
+    return series.pair_relations(_daily(spark, d), least=20, coverage=0.8, effect=0.05, most_q=1.0).drop("difference", "change")
+
+
 @query(_TWO + ", i as (select row_number() over (order by p) i, x, y from m) select g::int lag, count(*) n, round(corr(a.x,b.y),6) r from i a, range(-6,7) t(g) join i b on b.i=a.i+g group by g")
 def lagged_corr(spark, d):
     return _round(series.lagged(_two(spark, d), "p", "x", "y"), "r")

@@ -182,6 +182,30 @@ def pop_filter_order(spark, d):
     return _round(_round(engine(spark, d).query(spec), "order_value", "order_value_prev", n=2), "order_value_change")
 
 
+_MONTHLY = "with a as (select date_trunc('month',o_orderdate)::date order_month, sum(o_totalprice) v from orders group by all)"
+
+
+@query(_MONTHLY + " select a.order_month, round(a.v,2) order_value, round(p.v,2) order_value_prev, round((a.v-p.v)/p.v,4) order_value_change from a left join a p on a.order_month=(p.order_month + interval 1 month)::date where a.order_month between date '1996-03-01' and date '1996-08-01'")
+def pop_filtered(spark, d):
+    where = Filter("order_month", "between", ("1996-03-01", "1996-08-01"))
+    df = engine(spark, d).query(QuerySpec(("order_value",), ("order_month",), where, period=Period("order_month", "month", 1)))
+    return _round(_round(df, "order_value", "order_value_prev", n=2), "order_value_change")
+
+
+@query(_MONTHLY + " select a.order_month, round(a.v,2) order_value, round(p.v,2) order_value_prev, round(a.v/p.v,4) order_value_change from a left join a p on p.order_month=date '1995-01-01' where a.order_month >= date '1997-06-01'")
+def pop_fixed_filtered(spark, d):
+    where = Filter("order_month", "gte", ("1997-06-01",))
+    df = engine(spark, d).query(QuerySpec(("order_value",), ("order_month",), where, period=Period("order_month", fixed="1995-01-01", result="ratio")))
+    return _round(_round(df, "order_value", "order_value_prev", n=2), "order_value_change")
+
+
+@query("with a as (select date_trunc('month',o_orderdate)::date order_month, o_orderpriority priority, sum(o_totalprice) v from orders where o_orderdate::date between date '1996-05-01' and date '1996-06-15' group by all), p as (select date_trunc('month',o_orderdate)::date order_month, o_orderpriority priority, sum(o_totalprice) v from orders where o_orderdate::date between date '1995-05-01' and date '1995-06-15' group by all) select a.order_month, a.priority, round(a.v,2) order_value, round(p.v,2) order_value_prev, round(a.v-p.v,4) order_value_change from a left join p on a.order_month=(p.order_month + interval 1 year)::date and a.priority=p.priority")
+def pop_partial_period(spark, d):
+    where = Filter("order_day", "inDateRange", ("1996-05-01", "1996-06-15"))
+    df = engine(spark, d).query(QuerySpec(("order_value",), ("order_month", "priority"), where, period=Period("order_month", "year", 1, result="difference")))
+    return _round(_round(df, "order_value", "order_value_prev", n=2), "order_value_change")
+
+
 # level of detail
 @query(f"with a as (select r_name region, c_mktsegment segment, {_REV} revenue from {_STAR} group by all) select region, segment, round(revenue,4) revenue, round((select sum(revenue) from a b where b.region=a.region),4) region_revenue from a")
 def lod_fixed(spark, d):

@@ -9,6 +9,7 @@ broadcast is left to Spark, which knows the sizes.
 from __future__ import annotations
 
 import datetime
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
@@ -19,11 +20,14 @@ from pyspark.sql import functions as F
 from ..functions.filters import predicate
 from ..functions.formats import formatted
 from ..functions.formula import compile_formula, names
-from ..functions.timegrain import period_of, shifted, truncated
+from ..functions.timegrain import add_months, period_of, shifted, truncated
 from .catalog import Catalog, Dimension, Measure
+from .guard import checked
 from .spec import And, Filter, Period, QuerySpec
 
 ADDITIVE = {"sum", "count"}
+#: Plans an engine keeps.
+PLANS = 256
 
 
 def aggregate(agg: str, name: str) -> Column:
@@ -47,8 +51,13 @@ class Engine:
     """``read`` gives the DataFrame of a table name; ``policies`` are row-level predicates by dimension, always AND-ed."""
 
     def __init__(self, catalog: Catalog, read: Callable[[str], DataFrame], policies: dict[str, tuple[Any, ...]] | None = None, denied: frozenset[str] = frozenset()):
+        for m in catalog.measures:
+            for part in (m.where, m.expr if m.kind == "origin" else None):
+                checked(part) if part else None
+        for written in (*(j.where for j in catalog.joins), *(d.expr for d in catalog.dimensions), *(t for d in catalog.dimensions for _, t in d.groups)):
+            checked(written) if written else None
         self.catalog, self.read, self.policies, self.denied = catalog, read, policies or {}, denied
-        self._cache: dict[QuerySpec, DataFrame] = {}
+        self._cache: OrderedDict[QuerySpec, DataFrame] = OrderedDict()
 
     # -- scan and joins
 
@@ -196,11 +205,18 @@ class Engine:
     # -- queries
 
     def query(self, spec: QuerySpec) -> DataFrame:
-        """The rows of a specification. Equal specifications share one plan."""
+        """The rows of a specification. Equal specifications share one plan, the ``PLANS`` used last being kept; :meth:`forget` drops them."""
         if spec not in self._cache:
             self._cache[spec] = self._query(spec)
+        self._cache.move_to_end(spec)
+        while len(self._cache) > PLANS:
+            self._cache.popitem(last=False)
         return self._cache[spec]
 
+    def forget(self) -> None:
+        """Drops the plans kept, as after a change of tables."""
+        self._cache.clear()
+
     def _query(self, spec: QuerySpec) -> DataFrame:
         measures = [m for m in spec.measures if m not in self.denied]
         dims_tree, rest = self._split(spec.where)
@@ -208,10 +224,10 @@ class Engine:
         extra = [m for m in self._members(rest) if self._is_dimension(m) and m not in spec.dimensions]
         if extra:
             raise ValueError(f"filters that mix measures with {extra} need these dimensions in the query")
-        df = self.aggregated(needed, spec.dimensions, dims_tree, spec.subtotals, spec.as_of)
-        df = df.select(*spec.dimensions, *(["grouping_id"] if spec.subtotals else []), *[self.final(m).alias(m) for m in needed])
+        df = self._measured(spec, needed, dims_tree)
         if spec.period:
-            df = self.compared(df, spec, needed)
+            before = self._base_filter(dims_tree, spec.period)
+            df = self.compared(df, spec, needed, None if before == dims_tree else self._measured(spec, needed, before))
         for tree in (rest, spec.having):
             if tree is not None:
                 df = df.filter(self._condition(tree, lambda n: F.col(f"`{n}`")))
@@ -230,6 +246,22 @@ class Engine:
                 df = df.withColumn(m, formatted(F.col(m), how))
         return df
 
+    def _measured(self, spec: QuerySpec, needed: list[str], tree: Any) -> DataFrame:
+        df = self.aggregated(needed, spec.dimensions, tree, spec.subtotals, spec.as_of)
+        return df.select(*spec.dimensions, *(["grouping_id"] if spec.subtotals else []), *[self.final(m).alias(m) for m in needed])
+
+    def _base_filter(self, tree: Any, p: Period) -> Any:
+        """The filter of the period compared with: conjuncts on the period's own date column are moved back, so the first period has a base."""
+        if tree is None:
+            return None
+        own = self.catalog.dimension(p.dimension)
+        dated = lambda f: isinstance(f, Filter) and (d := self.catalog.dimension(f.member)).table == own.table and d.column == own.column and not d.expr and not d.groups
+        parts = tree.parts if isinstance(tree, And) else (tree,)
+        if p.fixed is not None:
+            kept = tuple(f for f in parts if not dated(f))
+            return tree if len(kept) == len(parts) else And((*kept, Filter(p.dimension, "equals", (p.fixed,))))
+        return And(tuple(replace(f, values=tuple(moved_back(v, p.unit, p.n) for v in f.values)) if dated(f) else f for f in parts))
+
     def aggregated(self, measures: list[str], dimensions: tuple[str, ...], where: Any = None, subtotals: Any = None, as_of: str | None = None) -> DataFrame:
         """Rows of the dimensions with the aggregates the measures need: one pass over each fact, then their union."""
         bases: dict[str, tuple[Measure, str | None]] = {}
@@ -279,9 +311,9 @@ class Engine:
         value = F.expr(m.expr or "1")
         return F.when(F.expr(" AND ".join(f"({c})" for c in conditions)), value) if conditions else value
 
-    def compared(self, df: DataFrame, spec: QuerySpec, measures: list[str]) -> DataFrame:
+    def compared(self, df: DataFrame, spec: QuerySpec, measures: list[str], before: DataFrame | None = None) -> DataFrame:
         p = spec.period
-        return period_compare(df, p, [d for d in spec.dimensions if d != p.dimension], measures)
+        return period_compare(df, p, [d for d in spec.dimensions if d != p.dimension], measures, before)
 
     def _order(self, o) -> Column:
         c = F.col(f"`{o.member}`")
@@ -361,9 +393,25 @@ class Engine:
         return out
 
 
-def period_compare(df: DataFrame, p: Period, others: list[str], measures: list[str]) -> DataFrame:
-    """Adds ``<m>_prev`` and ``<m>_change``: the base's rows move forward to the period they are compared with."""
-    base = df.select(
+def moved_back(value: Any, unit: str, n: int) -> Any:
+    """A day n units earlier, the last day of a month staying the last; what is no day stays as it is."""
+    try:
+        day = datetime.date.fromisoformat(str(value)[:10])
+    except ValueError:
+        return value
+    if unit in ("day", "week"):
+        day -= datetime.timedelta(n * (7 if unit == "week" else 1))
+    else:
+        last = day == period_of(day, "month")[1]
+        day = add_months(day, -n * {"month": 1, "quarter": 3, "year": 12}[unit])
+        day = period_of(day, "month")[1] if last else day
+    return day if isinstance(value, datetime.date) else day.isoformat()
+
+
+def period_compare(df: DataFrame, p: Period, others: list[str], measures: list[str], before: DataFrame | None = None) -> DataFrame:
+    """Adds ``<m>_prev`` and ``<m>_change``: the base's rows move forward to the period they are compared with; they come from ``before`` if
+    it is given, or else from the rows themselves."""
+    base = (df if before is None else before).select(
         *([] if p.fixed is not None else [shifted(F.col(p.dimension), p.unit, p.n).alias("__p")]), *[F.col(o).alias(f"__{o}") for o in others], *[F.col(m).alias(f"{m}_prev") for m in measures],
         *([F.col(p.dimension).alias("__p")] if p.fixed is not None else []),
     )
