@@ -130,6 +130,33 @@ def common_contributors(df: DataFrame, metric: str, member: str, value: str, top
     return got.withColumn("kind", kind).orderBy(F.desc("weight"), member).limit(top)
 
 
+def dismantling_tree(df: DataFrame, floors: list[str], value: Column, current: Column, base: Column, top: int | None = None) -> DataFrame:
+    """(level, floors, current, base, delta, contribution, proportion, rank): every floor of a breakdown, one below the other.
+
+    All floors come from one rollup. Contribution is the change over the parent's base, proportion the share of the parent's current
+    value, rank the order of the children of one parent by the size of their change. With ``top`` only the children of the first
+    ``top`` of each floor are gone into.
+    """
+    n = len(floors)
+    sums = df.rollup(*floors).agg(F.grouping_id().alias("__g"), F.coalesce(F.sum(F.when(current, value)), F.lit(0)).alias("current"), F.coalesce(F.sum(F.when(base, value)), F.lit(0)).alias("base"))
+    named = F.array(*[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in floors])
+    rows = sums.withColumn("level", (F.lit(n) - F.bit_count("__g")).cast("int")).drop("__g").withColumn("__path", F.slice(named, 1, F.col("level")))
+    rows = rows.withColumn("__parent", F.when(F.col("level") > 0, F.slice(F.col("__path"), F.lit(1), F.greatest(F.col("level") - 1, F.lit(0)))))
+    above = rows.select(F.col("__path").alias("__parent"), F.col("level").alias("__above"), F.col("current").alias("__pc"), F.col("base").alias("__pb"))
+    rows = rows.filter("level > 0").join(above, "__parent").filter("__above = level - 1")
+    delta = F.col("current") - F.col("base")
+    rows = rows.withColumn("delta", delta).withColumn("contribution", F.try_divide(delta, F.col("__pb"))).withColumn("proportion", F.try_divide(F.col("current"), F.col("__pc")))
+    w = Window.partitionBy("level", "__parent").orderBy(F.desc(F.abs("delta")), "__path")
+    rows = rows.withColumn("rank", F.row_number().over(w))
+    if top is not None:
+        shown = rows.filter("level = 1")
+        for level in range(2, n + 1):
+            kept = shown.filter(f"level = {level - 1} and rank <= {top}").select(F.col("__path").alias("__parent"))
+            shown = shown.unionByName(rows.filter(f"level = {level}").join(kept, "__parent", "left_semi").select(*shown.columns))
+        rows = shown
+    return rows.select("level", *floors, "current", "base", "delta", "contribution", "proportion", "rank")
+
+
 def dismantling_level(df: DataFrame, parents: list[str], member: str) -> DataFrame:
     """One floor of a breakdown tree: additive contribution of (parents, member, current, base), proportion of the parent, rank."""
     out = additive(df, parents)

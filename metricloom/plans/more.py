@@ -29,6 +29,18 @@ def drill_down(spark, d):
     return _round(got.withColumn("rank", F.col("rank").cast("long")).withColumn("member_rank", F.col("member_rank").cast("long")), "current", "base", "delta", n=2)
 
 
+_FLOORS = "with r as (select c_mktsegment, o_orderpriority, grouping(c_mktsegment) ga, grouping(o_orderpriority) gb, coalesce(sum(case when year(o_orderdate)=1997 then o_totalprice end),0) as current, coalesce(sum(case when year(o_orderdate)=1996 then o_totalprice end),0) base from orders left join customer on o_custkey=c_custkey group by rollup(c_mktsegment, o_orderpriority))"
+_FLOORS += ", a as (select x.*, (x.current-x.base)/p.base contribution, x.current/p.current proportion, row_number() over (order by abs(x.current-x.base) desc, x.c_mktsegment) as rank from r x, r p where x.ga=0 and x.gb=1 and p.ga=1 and p.gb=1)"
+_FLOORS += ", b as (select x.*, (x.current-x.base)/p.base contribution, x.current/p.current proportion, row_number() over (partition by x.c_mktsegment order by abs(x.current-x.base) desc, x.o_orderpriority) as rank, p.rank above from r x join a p on p.c_mktsegment=x.c_mktsegment where x.ga=0 and x.gb=0)"
+
+
+@query(_FLOORS + " select 1::int as level, c_mktsegment, o_orderpriority, round(current,2) as current, round(base,2) base, round(current-base,2) delta, round(contribution,6) contribution, round(proportion,6) proportion, rank from a union all select 2, c_mktsegment, o_orderpriority, round(current,2), round(base,2), round(current-base,2), round(contribution,6), round(proportion,6), rank from b where above<=3")
+def dismantling_floors(spark, d):
+    y = F.col("y")
+    got = attribution.dismantling_tree(_orders(spark, d), ["c_mktsegment", "o_orderpriority"], F.col("o_totalprice"), y == 1997, y == 1996, top=3)
+    return _round(_round(got.withColumn("rank", F.col("rank").cast("long")), "current", "base", "delta", n=2), "contribution", "proportion")
+
+
 _DIMS = " union all ".join(f"select '{c}' dimension, {c}::varchar member, coalesce(sum(case when year(o_orderdate)=1997 then o_totalprice end),0) as current, coalesce(sum(case when year(o_orderdate)=1996 then o_totalprice end),0) base from orders left join customer on o_custkey=c_custkey group by all" for c in ("c_mktsegment", "o_orderpriority", "o_orderstatus"))
 
 

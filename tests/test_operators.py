@@ -225,8 +225,18 @@ def test_stream_scan_waits_out_the_cooldown(spark, tmp_path):
     assert run() == [("a", "2024-01-01 00:00:00")]
     feed([("a", "2024-01-01 00:10:00", 70.0), ("b", "2024-01-01 00:10:00", 99.0)])
     assert run() == [("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:10:00")]
-    feed([("a", "2024-01-01 00:20:00", 70.0)])
-    assert run()[1] == ("a", "2024-01-01 00:20:00")
+    feed([("a", "2024-01-01 00:20:00", 70.0), ("a", "2024-01-01 00:34:00", 71.0), ("a", "2024-01-01 00:36:00", 72.0)])
+    assert [t for k, t in run() if k == "a"] == ["2024-01-01 00:00:00", "2024-01-01 00:20:00", "2024-01-01 00:36:00"]
+    told = {str(r["ts"]): (r["measure"], r["value"], r["severity"], r["rule"]) for r in spark.read.parquet(f"{tmp_path}/out").filter("k = 'a'").collect()}
+    assert told["2024-01-01 00:36:00"] == ("v", 72.0, 3, "high")
+
+
+def test_a_batch_run_again_tells_nothing_twice(spark):
+    alerts_ = spark.createDataFrame([("r", "a", "2024-01-01 00:00:00", 3, "m", 1.0), ("r", "a", "2024-01-01 00:10:00", 3, "m", 2.0), ("r", "a", "2024-01-01 00:16:00", 3, "m", 3.0)], "rule string, k string, ts string, severity int, measure string, value double").withColumn("ts", F.to_timestamp("ts"))
+    got = scans.cooled(alerts_, None, ["rule", "k"], "ts")
+    assert got.columns == alerts_.columns and sorted(r["value"] for r in got.collect()) == [1.0, 3.0]
+    last = alerts_.filter("value = 1").select("rule", "k", "ts")
+    assert [r["value"] for r in scans.cooled(alerts_, last, ["rule", "k"], "ts").collect()] == [3.0]
 
 
 def test_ranks_and_running_totals_in_bins(spark):
