@@ -18,7 +18,7 @@ A document is the set of its distinct word shingles (64-bit hashes). Steps, all
    across components of documents that are not in their leader's component. Every pair must have room for enough shared
    shingles before and after the one it meets at, in the order of hashes as in that of counts.
 
-Shingles are counted by their low bits, 64 cells a shingle or more: one that shares its cell counts as frequent, none as rare by mistake.
+Shingles are counted by their low bits, ``CELLS`` cells a shingle or more: one that shares its cell counts as frequent, none as rare by mistake.
 Counting, looking up counts and postings are shuffles on the shingle; very frequent shingles, copies and components meet broadcast rows
 instead (``support.heavy_join``). The components are exact, and all pairs of a group are never made by steps 1 to 4; at worst, a list
 whose documents all lie in other components than their leader's, and are no links, is compared pair by pair.
@@ -46,6 +46,8 @@ STAR_ROUNDS = 3
 VERIFY_COST = 20.0
 PERCENT = 80
 WIDTH = 5
+#: Cells a shingle, so that few unlike ones share a cell.
+CELLS = 1 << 12
 
 
 def _needed(n, percent: int):
@@ -114,34 +116,40 @@ def _classes(first: DataFrame) -> DataFrame:
     return stored(heavy_join(full.select("sid", "digest"), many, ["digest"], full.count(), "rows").filter("sid != rep").select("sid", "rep"), "copies")
 
 
-def _counts(rows: DataFrame, column: str) -> tuple[DataFrame, F.Column, int]:
-    """(cell, df, sid) of the shingles in the array ``column`` of rows with a sid, the cell of a shingle t, and the number of shingles.
+def _counts(rows: DataFrame, column: str, ahead: str) -> tuple[DataFrame, F.Column, int]:
+    """(cell, df, sid, head) of the shingles in the array ``column`` of rows with a sid, the cell of a shingle t, and the number of shingles.
 
-    df counts the sets with a shingle in the cell; of cells of one set only the sid is kept, of the others only the cell.
+    df counts the sets with a shingle in the cell; of cells of one set only the sid is kept and whether the shingle is among the
+    first ``ahead`` of its set, of the others only the cell.
     """
     total = rows.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
-    mask = (1 << min(62, max(16, int(np.ceil(np.log2(max(total, 1) * 64)))))) - 1
+    mask = (1 << min(62, max(16, int(np.ceil(np.log2(max(total, 1) * CELLS)))))) - 1
     cell = F.col("t").bitwiseAND(F.lit(mask))
-    counted = rows.select("sid", F.explode(column).alias("t")).groupBy(cell.alias("cell")).agg(F.count("*").alias("df"), F.min("sid").alias("sid"))
-    return stored(counted.select(F.expr("if(df > 1, cell, null) as cell"), "df", F.expr("if(df > 1, null, sid) as sid")), "counts"), cell, total
+    places = rows.select("sid", ahead, F.posexplode(column).alias("pos", "t"))
+    # whether it is in the head is the last bit beside the sid
+    owner = F.shiftleft("sid", 1).bitwiseOR(F.expr(f"if(pos < {ahead}, 1L, 0L)"))
+    counted = places.select(cell.alias("cell"), owner.alias("owner")).groupBy("cell").agg(F.count("*").alias("df"), F.min("owner").alias("owner"))
+    kept = counted.select(F.expr("if(df > 1, cell, null) as cell"), "df", F.expr("if(df > 1, null, shiftright(owner, 1)) as sid"), F.expr("if(df > 1, null, owner & 1 = 1) as head"))
+    return stored(kept, "counts"), cell, total
 
 
 def _lone(counted: DataFrame) -> DataFrame:
-    """(sid, lone): how many of its shingles no other set has."""
-    return counted.filter("df = 1").groupBy("sid").agg(F.count("*").alias("lone"))
+    """(sid, lone, lone_head): how many of its shingles no other set has, and how many of them are in its head."""
+    return counted.filter("df = 1").groupBy("sid").agg(F.count("*").alias("lone"), F.count_if("head").alias("lone_head"))
 
 
 def _postings(heads: DataFrame, alive: DataFrame, counted: DataFrame, cell: F.Column, total: int) -> DataFrame:
-    """Step 3: (t, sid, n, most, u, need, tail, later, before, after) of the posted shingles of the sets (sid, most) alive.
+    """Step 3: (t, sid, n, most, u, need, edge, tail, later, before, after) of the posted shingles of the sets (sid, most, tail) alive.
 
-    ``spare`` is the smallest ``_extra`` of any set that a set can link with. most counts the shingles of the whole set that others have, u those of
-    the head that no other head has, tail those outside the head, later the shared shingles of the head that follow t in the order of counts.
+    ``spare`` is the smallest ``_extra`` of any set that a set can link with. most counts the shingles of the whole set that others have, tail
+    those of them outside the head, u those of the head that no other head has, later the shared shingles of the head that follow t in the
+    order of counts. edge is the last hash of the head, so of two heads the one with the smaller edge lies within the other's range.
     In the order of hashes, before counts the shingles ahead of t that another head has (a partner with t has them in its head, if at all), and
     after all that follow.
     """
     shared = counted.filter("df > 1").select("cell", "df")
-    posted = heads.join(alive, "sid").select("sid", "n", "most", "spare", F.size("head").alias("h"), F.posexplode("head").alias("pos", "t")).withColumn("cell", cell)
-    by_set = heavy_join(posted, shared, ["cell"], total, "df").groupBy("sid", "n", "most", "spare", "h").agg(F.sort_array(F.collect_list(F.struct("pos", "df", "t"))).alias("items"))
+    posted = heads.join(alive, "sid").select("sid", "n", "most", "tail", "spare", F.size("head").alias("h"), F.expr("element_at(head, -1) ^ shiftleft(1L, 63)").alias("edge"), F.posexplode("head").alias("pos", "t")).withColumn("cell", cell)
+    by_set = heavy_join(posted, shared, ["cell"], total, "df").groupBy("sid", "n", "most", "tail", "spare", "h", "edge").agg(F.sort_array(F.collect_list(F.struct("pos", "df", "t"))).alias("items"))
     # in the order of counts, each with the number of shared shingles ahead of it in the order of hashes
     by_set = by_set.withColumn("items", F.expr("sort_array(transform(items, (x, i) -> struct(x.df as df, x.t as t, x.pos as pos, i as before)))"))
     by_set = by_set.withColumn("common", F.size("items")).withColumn("u", F.expr("h - common"))
@@ -154,8 +162,8 @@ def _postings(heads: DataFrame, alive: DataFrame, counted: DataFrame, cell: F.Co
     # no more matches can be asked for than the partner's smallest head is sure to share
     need = F.array_min(F.filter(F.array(*costs), lambda c: c["need"] <= F.col("spare")))["need"]
     chosen = by_set.withColumn("need", need).filter("one + need - 1 > 0")
-    rows = chosen.select("sid", "n", "most", "u", "h", "need", "common", F.posexplode(F.expr("slice(items, 1, one + need - 1)")).alias("q", "x"))
-    rows = rows.select(F.col("x.t").alias("t"), "sid", "n", "most", "u", "need", F.expr("n - h").alias("tail"), F.expr("common - q - 1").alias("later"), F.col("x.before").alias("before"), F.expr("n - x.pos - 1").alias("after"))
+    rows = chosen.select("sid", "n", "most", "tail", "edge", "u", "need", "common", F.posexplode(F.expr("slice(items, 1, one + need - 1)")).alias("q", "x"))
+    rows = rows.select(F.col("x.t").alias("t"), "sid", "n", "most", "u", "need", "edge", "tail", F.expr("common - q - 1").alias("later"), F.col("x.before").alias("before"), F.expr("n - x.pos - 1").alias("after"))
     return stored(rows, "postings")
 
 
@@ -178,22 +186,22 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[
         docs = docs.dropDuplicates(["doc_id", "key"])
     heads = stored(first.filter("n > 0").join(copies, "sid", "left_anti").drop("digest"), "heads")
     discard(first)
-    counted, cell, total = _counts(heads, "head")
+    counted, cell, total = _counts(heads, "head", "n")
     small = heads.select("sid", "doc_id", "key", "n", "spare", F.size("head").alias("h"))
-    wanted = small.join(_lone(counted), "sid", "left").filter("h - coalesce(lone, 0) >= spare").select("sid", "doc_id", "key", "n")
+    wanted = small.join(_lone(counted), "sid", "left").filter("h - coalesce(lone, 0) >= spare").select("sid", "doc_id", "key", "n", "h")
     wanted = stored(wanted, "wanted")
     some, _, _ = among(docs, wanted, "doc_id")
     sets = map_arrow(some, _whole_sets(width), "doc_id long, key long, members array<long>")
-    sets = stored(sets.join(wanted, ["doc_id", "key"]).select("sid", "n", "members"), "wholes")
-    every, _, _ = _counts(sets, "members")
-    most = F.expr("n - coalesce(lone, 0)")
-    alive = sets.select("sid", "n").join(_lone(every), "sid", "left").select("sid", most.alias("most"), "n").filter(f"100 * most >= {percent} * n").drop("n")
+    sets = stored(sets.join(wanted, ["doc_id", "key"]).select("sid", "n", "h", "members"), "wholes")
+    every, _, _ = _counts(sets, "members", "h")
+    most, tail = F.expr("n - coalesce(lone, 0)"), F.expr("n - h - coalesce(lone - lone_head, 0)")
+    alive = sets.select("sid", "n", "h").join(_lone(every), "sid", "left").select("sid", most.alias("most"), tail.alias("tail"), "n").filter(f"100 * most >= {percent} * n").drop("n")
     alive = stored(alive, "alive")
     posting = _postings(heads, alive, counted, cell, total)
     discard(heads, counted, every, wanted)
     if posting.isEmpty():
         return members, edges
-    wholes, sets = sets, stored(sets.join(alive, "sid", "left_semi"), "alive-sets")
+    wholes, sets = sets, stored(sets.select("sid", "n", "members").join(alive, "sid", "left_semi"), "alive-sets")
     discard(wholes)
 
     # 4: stars
@@ -202,9 +210,12 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[
     labels = None
     for k in range(STAR_ROUNDS):
         now = _labelled(posting, labels)
+        # lists within one component are done with: what is joined is all that later rounds look at
+        led = stored(heavy_join(now, stored(_leaders(now).select("t", "rows", "lead.*"), "leaders"), ["t"], total, "rows"), "led")
+        discard(posting)
+        posting = led.select(posting.columns)
         best = (
-            heavy_join(now, stored(_leaders(now).select("t", "rows", "lead.*"), "leaders"), ["t"], total, "rows")
-            .filter(f"label != llabel and {_room('', 'l', percent)} and {_reach('', 'l', 'least(need, lneed)', percent)} and {_reach('l', '', 'least(need, lneed)', percent)}")
+            led.filter(f"label != llabel and {_room('', 'l', percent)} and {_reach('', 'l', 'least(need, lneed)', percent)} and {_reach('l', '', 'least(need, lneed)', percent)}")
             .groupBy(F.col("sid").alias("b"), F.col("lsid").alias("a"), F.least("need", "lneed").alias("need")).count().filter("count >= need")
         )
         if tried is not None:
@@ -245,7 +256,7 @@ def _labelled(posting: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _leaders(now: DataFrame) -> DataFrame:
     """Of each posting list that spans components: the document with the smallest unique share, and the list's length."""
-    lead = F.struct((F.col("u") / F.col("n")).alias("share"), *[F.col(c).alias(f"l{c}") for c in ("sid", "label", "n", "most", "need", "tail", "later", "before", "after")])
+    lead = F.struct((F.col("u") / F.col("n")).alias("share"), *[F.col(c).alias(f"l{c}") for c in ("sid", "label", "n", "most", "need", "edge", "tail", "later", "before", "after")])
     return now.groupBy("t").agg(F.min(lead).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).filter("lo < hi")
 
 
@@ -259,10 +270,11 @@ def _room(x: str, y: str, percent: int) -> str:
 def _reach(x: str, y: str, need: str, percent: int) -> str:
     """Whether a shingle of x can be among the first ``need`` in the order of counts that both heads have.
 
-    Of the o shingles that a linked pair shares, all but the larger of the two tails lie in both heads, and all of these but ``need`` at most
-    follow it there.
+    Of the o shingles that a linked pair shares, all but the tail of the set whose head ends first lie in both heads, and all of these but
+    ``need`` at most follow it there.
     """
-    return f"(100 + {percent}) * ({x}later + {need} + greatest({x}tail, {y}tail)) >= {percent} * ({x}n + {y}n)"
+    tail = f"if({x}edge < {y}edge, {x}tail, if({x}edge > {y}edge, {y}tail, least({x}tail, {y}tail)))"
+    return f"(100 + {percent}) * ({x}later + {need} + {tail}) >= {percent} * ({x}n + {y}n)"
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
