@@ -41,8 +41,9 @@ def distribution(df: DataFrame, member: str, value: Column, top: int = 5) -> Dat
     name = F.when(text.isNull() | F.trim(text).isin("", "-", "null", "NULL"), "missing").otherwise(text)
     got = df.groupBy(name.alias(member)).agg(value.alias("total"))
     every = got.agg(F.sum("total").alias("__t"))
-    w = Window.orderBy(F.desc("total"), member)
-    return got.crossJoin(every).select(member, "total", F.try_divide("total", "__t").alias("share"), F.row_number().over(w).alias("rank")).filter(F.col("rank") <= top)
+    first = got.orderBy(F.desc("total"), member).limit(top)  # each task keeps its first rows
+    w = Window.orderBy(F.desc("total"), member)  # of these few
+    return first.crossJoin(every).select(member, "total", F.try_divide("total", "__t").alias("share"), F.row_number().over(w).alias("rank"))
 
 
 def representatives(df: DataFrame, by: list[str], value: str, key: str) -> DataFrame:
