@@ -247,3 +247,63 @@ def test_trees_guards_and_questions():
     assert read_question("hello", CATALOG, "2026-07-24").problems == ["no measure is named"]
     assert read_question("order value by brand", CATALOG, "2026-07-24").problems == ["order_value cannot be split by brand"]
     assert read_question("最近7天 销售额", CATALOG, "2026-07-24", aliases={"revenue": ("销售额",)}, date="order_day").spec.where.parts[0].values == ("2026-07-18", "2026-07-24")
+
+
+def test_questions_are_read_or_refused():
+    from metricloom.semantic.question import read_question
+
+    catalog = Catalog(
+        joins=(Join("sales", "shop", "shops", "shop_id"),),
+        measures=(Measure("revenue", table="sales", expr="amount"), Measure("net_revenue", table="sales", expr="net"), Measure("orders", table="sales", expr="id", agg="count"), Measure("stock", table="stock", expr="pieces")),
+        dimensions=(Dimension("city", "shops", "city"), Dimension("region", "shops", "region"), Dimension("day", "sales", "day")),
+    )
+    aliases = {"revenue": ("销售额", "turnover"), "orders": ("订单数",), "net_revenue": ("turnover",)}
+    values = {"city": ("Paris", "New York", "北京"), "region": ("North", "Paris")}
+    ask = lambda q, **k: read_question(q, catalog, "2024-03-05", aliases, k.get("values", {"city": values["city"]}), "day")
+    filters = lambda r: {f.member: f.values for f in r.spec.where.parts}
+
+    got = ask("net revenue by city in New York")
+    assert got.spec.measures == ("net_revenue",) and got.spec.dimensions == ("city",) and filters(got) == {"city": ("New York",)}
+    assert ask("revenu by city").spec.measures == ("revenue",) and ask("revenues").spec.measures == ("revenue",)
+    assert ask("前3 城市的订单数", values={}).spec.limit == 3 and ask("前3天的订单数").spec.limit is None
+    assert filters(ask("北京去年的销售额")) == {"city": ("北京",), "day": ("2023-01-01", "2023-12-31")}
+    for question, code in {
+        "turnover by city": "AMBIGUOUS", "how are you": "NO_MEASURE", "unrevenued": "NO_MEASURE", "stock by city": "INCOMPATIBLE_DIMENSION",
+        "revenue except Paris": "UNSUPPORTED_OPERATOR", "除了北京以外的销售额": "UNSUPPORTED_OPERATOR", "北京以外的销售额": "UNSUPPORTED_OPERATOR", "revenue without New York": "UNSUPPORTED_OPERATOR",
+    }.items():
+        got = ask(question)
+        assert got.spec is None and got.codes == [code], (question, got)
+    assert ask("revenue in Paris", values=values).codes == ["AMBIGUOUS_VALUE"] and ask("revenue by region in Paris", values=values).spec is not None
+    assert read_question("revenue yesterday 昨天", catalog, "2024-03-05").codes == ["NO_DATE_DIMENSION"]
+
+
+def test_expressions_are_checked():
+    from metricloom.semantic.guard import check_expression
+
+    for fine in ("a = 1", "status IN ('x', 'it''s') AND NOT (b > 2.5 OR c IS NULL)", "coalesce(a, 0) * -1 <= b % 3", "t.a LIKE '%;--%'", "`odd name` <=> 3", "CASE WHEN a > 1 THEN 'x' ELSE 'y' END = 'x'", "upper(trim(a)) rlike '^A'"):
+        assert check_expression(fine) == [], fine
+    for bad in ("", "a = 1; drop table t", "a = (select max(b) from t)", "a = 1 -- more", "a /* x */ = 1", "(a = 1", "a = 1)", "a = 'open", "sleep(10) = 0", "a =", "= 1", "a = = 1", "a AND", "f(a] = 1", "1 union 2"):
+        assert check_expression(bad), bad
+    assert check_expression("a = 1 and b = 2", ["a"]) == ["unknown column b"] and check_expression("A = 1 and t.b between 1 and 2", ["a", "b"]) == []
+    catalog = Catalog(measures=(Measure("m", table="t", expr="x", where="x = 1; drop table t"),))
+    with pytest.raises(ValueError):
+        Engine(catalog, lambda n: None)
+
+
+def test_filtered_periods_have_a_base(engine):
+    got = engine.query(QuerySpec(("amount",), ("month",), Filter("month", "gte", ("2024-02-01",)), period=Period("month", "month", 1))).collect()
+    assert {str(r["month"]): r["amount_prev"] for r in got} == {"2024-02-01": 15.0, "2024-03-01": 27.0}
+    from metricloom.semantic.engine import moved_back
+
+    assert moved_back("2024-02-29", "month", 1) == "2024-01-31" and moved_back("2024-03-15", "year", 1) == "2023-03-15" and moved_back("2024-03-05", "week", 1) == "2024-02-27" and moved_back("x", "day", 1) == "x"
+
+
+def test_plans_are_kept_up_to_a_bound(engine, monkeypatch):
+    from metricloom.semantic import engine as module
+
+    monkeypatch.setattr(module, "PLANS", 2)
+    specs = [QuerySpec(("orders",), (), Filter("id", "equals", (i,))) for i in range(4)]
+    frames = [engine.query(s) for s in specs]
+    assert engine.query(specs[3]) is frames[3] and len(engine._cache) == 2 and engine.query(specs[0]) is not frames[0]
+    engine.forget()
+    assert not engine._cache
