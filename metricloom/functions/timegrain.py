@@ -112,3 +112,14 @@ def relative_token(token: str, as_of: str) -> str:
     n = int(m[2])
     back = first - dt.timedelta(n * (7 if unit == "week" else 1)) if unit in ("day", "week") else add_months(first, -n * {"month": 1, "quarter": 3, "year": 12}[unit])
     return period_of(back, unit)[1 if m[3] else 0].isoformat()
+
+
+def token_day(token: str, day: Column) -> Column:
+    """:func:`relative_token` for every row's day."""
+    m = re.fullmatch(r"T-([DWMQY])-(\d+)(E?)", token)
+    if not m:
+        raise ValueError(f"unknown token {token}")
+    unit, n = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}[m[1]], int(m[2])
+    first = day if unit == "day" else truncated(day, unit)
+    start = shifted(first, unit, -n)
+    return F.date_sub(shifted(start, unit, 1), 1) if m[3] else start

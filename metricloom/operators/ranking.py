@@ -53,3 +53,23 @@ def quantiles(df: DataFrame, value: str, at: list[float], bins: int = BINS) -> l
     v = F.col(value).cast("double")
     row = ranks.agg(*[F.min(F.when(F.col("upto") >= k, v)) for x in places for k in (int(x) + 1, min(int(x) + 2, n))]).first()
     return [float(row[2 * i] + (row[2 * i + 1] - row[2 * i]) * (x - int(x))) for i, x in enumerate(places)]
+
+
+def grouped_percentiles(df: DataFrame, by: list[str], value: str, at: list[float], bins: int = BINS) -> DataFrame:
+    """(by, q, value): of each group the smallest value with at least a share q of the group's values up to it.
+
+    The counts of distinct values are summed up within a group and a bin of values, so a group of any size is dealt to many tasks.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    d = binned(counts, "__v", bins)
+    totals = d.groupBy(*by, "__bin").agg(F.sum("__c").alias("__s"))
+    before = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # as many rows a group as bins
+    offsets = totals.select(
+        *[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__bin").alias("__at"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o"), F.sum("__s").over(Window.partitionBy(*by)).alias("__n")
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)] + [F.col("__bin") == F.col("__at")]
+    within = Window.partitionBy(*by, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = d.join(offsets, same).select(*by, "__bin", "__v", "__n", "__c", "__o")
+    upto = upto.withColumn("__upto", F.col("__o") + F.sum("__c").over(within))
+    found = upto.groupBy(*by).agg(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.min(F.when(F.col("__upto") >= F.ceil(q * F.col("__n")), F.col("__v"))).alias("value")) for q in at]).alias("__q"))
+    return found.select(*by, F.explode("__q").alias("__q")).select(*by, "__q.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import timegrain
-from ..operators import attribution, series, stats, text
+from ..operators import attribution, meta, series, stats, text
 from ..semantic import And, Filter, QuerySpec
 from .registry import query
 from .tables import CATALOG, engine, read
@@ -169,3 +169,61 @@ def semantic_load(spark, d):
 
     payload = {"measures": ["order_count"], "dimensions": ["priority"], "timeDimensions": [{"dimension": "order_day", "granularity": "quarter", "dateRange": ["1996-01-01", "1996-12-31"]}], "filters": [{"member": "orderstatus", "operator": "equals", "values": ["F", "O"]}], "order": {"priority": "asc", "order_quarter": "asc"}, "limit": 12}
     return engine(spark, d).query(spec_of(payload, CATALOG))
+
+
+_RISK = "with x as (select o_orderpriority, o_orderstatus, sum(case when year(o_orderdate)=1997 then o_totalprice end) a, sum(case when year(o_orderdate)=1996 then o_totalprice end) t from orders group by all)"
+
+
+@query(_RISK + " select o_orderpriority, count(case when a < t then 1 end) risky from x group by all having count(case when a < t then 1 end)>=2")
+def joint_goal_risk(spark, d):
+    y = F.year("o_orderdate")
+    x = read(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.sum(F.when(y == 1997, F.col("o_totalprice"))).alias("a"), F.sum(F.when(y == 1996, F.col("o_totalprice"))).alias("t"))
+    status = F.when(F.col("a") < 0.9 * F.col("t"), "OFF_TRACK").when(F.col("a") < F.col("t"), "AT_RISK").otherwise("ON_TRACK")
+    return series.joint_goal_risk(x.withColumn("status", status), ["o_orderpriority"])
+
+
+@query(f"with p as (select p_partkey k_, lower(p_name) t from part), w as ({_WEIGHTS.format(k='k_', g=_GRAMS.format(t='t'), f='p')}), n as (select k, sqrt(sum(w*w)) l from w group by k) select k p_partkey, slot, round(w/nullif(l,0),6) weight from w join n using (k)")
+def gram_vectors(spark, d):
+    return _round(text.gram_vectors(read(spark, d, "part"), "p_partkey", "p_name"), "weight")
+
+
+_COLUMNS = {"customer": ("c_custkey", "c_nationkey", "c_acctbal"), "supplier": ("s_suppkey", "s_nationkey", "s_acctbal")}
+
+
+def _profiles(t: str) -> str:
+    return " union all ".join(f"select '{c}' c, count(*) n, count(*)-count({c}) z, count(distinct {c}) d from {t}" for c in _COLUMNS[t])
+
+
+@query(f"with a as ({_profiles('customer')}), b as ({_profiles('supplier')}), s as (select a.c a, b.c b, 'NUMERIC' base_type, 0.6*least(a.d,b.d)/greatest(a.d,b.d)+0.4*(1-abs(a.z/a.n-b.z/b.n)) score from a, b) select a, b, base_type, round(score,6) score from s where score>=0.45")
+def profile_similarity(spark, d):
+    a, b = (meta.profile(read(spark, d, t), list(c)) for t, c in _COLUMNS.items())
+    return _round(meta.profile_similarity(a, b, 0.45), "score")
+
+
+_TOKENS = {
+    "T-D-3": "t - 3", "T-W-0": "date_trunc('week', t)", "T-W-2E": "date_trunc('week', t) - interval 8 day", "T-M-1": "date_trunc('month', t) - interval 1 month", "T-M-0E": "last_day(t)",
+    "T-Q-1": "date_trunc('quarter', t) - interval 3 month", "T-Q-0E": "date_trunc('quarter', t) + interval 3 month - interval 1 day", "T-Y-2": "date_trunc('year', t) - interval 2 year", "T-Y-0E": "date_trunc('year', t) + interval 1 year - interval 1 day",
+}
+
+
+@query("with o as (select distinct o_orderdate::date t from orders) " + " union all ".join(f"select t as day, '{k}' token, ({v})::date::varchar resolved from o" for k, v in _TOKENS.items()))
+def relative_tokens(spark, d):
+    days = read(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    out = None
+    for token in _TOKENS:
+        one = days.select("day", F.lit(token).alias("token"), timegrain.token_day(token, F.col("day")).cast("string").alias("resolved"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select 'missing' change, 'o_clerk' as column_name union all select 'added', 'o_orderpriority' union all select 'type', 'o_totalprice'")
+def schema_difference(spark, d):
+    declared = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "decimal(12,2)", "o_orderdate": dict(read(spark, d, "orders").dtypes)["o_orderdate"], "o_clerk": "string"}
+    return spark.createDataFrame([(kind, c) for c, kind in meta.schema_difference(declared, read(spark, d, "orders"))], "change string, column_name string")
+
+
+@query("with x as (select l_returnflag g, l_extendedprice v, row_number() over (partition by l_returnflag order by l_extendedprice) r, count(*) over (partition by l_returnflag) n from lineitem), p as (select g, unnest([0.5,0.9,0.95,0.99]) q) select p.g l_returnflag, p.q, min(v) as value from x join p on x.g=p.g where r >= ceil(p.q*n) group by all")
+def agg_percentile_ranked(spark, d):
+    from ..operators.ranking import grouped_percentiles
+
+    return grouped_percentiles(read(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.5, 0.9, 0.95, 0.99])
