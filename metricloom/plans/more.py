@@ -222,7 +222,7 @@ def schema_difference(spark, d):
     return spark.createDataFrame([(kind, c) for c, kind in meta.schema_difference(declared, read(spark, d, "orders"))], "change string, column_name string")
 
 
-@query("with x as (select l_returnflag g, l_extendedprice v, row_number() over (partition by l_returnflag order by l_extendedprice) r, count(*) over (partition by l_returnflag) n from lineitem), p as (select g, unnest([0.5,0.9,0.95,0.99]) q) select p.g l_returnflag, p.q, min(v) as value from x join p on x.g=p.g where r >= ceil(p.q*n) group by all")
+@query("with x as (select l_returnflag g, l_extendedprice v, row_number() over (partition by l_returnflag order by l_extendedprice) r, count(*) over (partition by l_returnflag) n from lineitem), p as (select unnest([0.5,0.9,0.95,0.99])::double q) select g l_returnflag, q, min(v) as value from x, p where r >= ceil(q*n) group by all")
 def agg_percentile_ranked(spark, d):
     from ..operators.ranking import grouped_percentiles
 
