@@ -16,7 +16,8 @@ A document is the set of its distinct word shingles (64-bit hashes). Steps, all
 4. *Stars*: in a posting list only pairs with the list's leader (the document with the smallest unique share) are verified,
    one for each document; members of one component need no comparison with each other. After that, the pairs left are those
    across components of documents that are not in their leader's component. Every pair must have room for enough shared
-   shingles before and after the one it meets at, in the order of hashes as in that of counts.
+   shingles before and after the one it meets at, in the order of hashes as in that of counts, and by 256-bit sketches of both sets that
+   tell how much they differ at least.
 
 Shingles are counted by their low bits, ``CELLS`` cells a shingle or more: one that shares its cell counts as frequent, none as rare by mistake.
 Counting, looking up counts and postings are shuffles on the shingle; very frequent shingles, copies and components meet broadcast rows
@@ -46,6 +47,8 @@ STAR_ROUNDS = 3
 VERIFY_COST = 20.0
 PERCENT = 80
 WIDTH = 5
+#: Columns of the parity sketch. Two sets differ in at least as many members as their sketches differ in bits.
+PARITY = ("p0", "p1", "p2", "p3")
 #: Cells a shingle, so that few unlike ones share a cell.
 CELLS = 1 << 12
 
@@ -77,13 +80,22 @@ def _heads(percent: int, width: int):
     return step
 
 
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set 64 bits a column of ``PARITY``: whether a cell holds an odd number of its members."""
+    out = np.empty((len(sets), 64 * len(PARITY)), dtype=np.uint8)
+    for i, s in enumerate(sets):
+        out[i] = np.bincount((s >> np.uint64(40)).astype(np.int64) % out.shape[1], minlength=out.shape[1]) & 1
+    return np.packbits(out, axis=1, bitorder="little").view(np.int64)
+
+
 def _whole_sets(width: int):
     def step(batches):
         for b in batches:
             if b.num_rows:
                 sets = shingle_sets(Words(b.column("text"), lower=True), width)
                 n = np.array([len(s) for s in sets], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), list_column(np.concatenate(sets).view(np.int64), n, pa.int64())], names=["doc_id", "key", "members"])
+                parity = [pa.array(p) for p in _parities(sets).T]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), list_column(np.concatenate(sets).view(np.int64), n, pa.int64()), *parity], names=["doc_id", "key", "members", *PARITY])
 
     return step
 
@@ -191,8 +203,8 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[
     wanted = small.join(_lone(counted), "sid", "left").filter("h - coalesce(lone, 0) >= spare").select("sid", "doc_id", "key", "n", "h")
     wanted = stored(wanted, "wanted")
     some, _, _ = among(docs, wanted, "doc_id")
-    sets = map_arrow(some, _whole_sets(width), "doc_id long, key long, members array<long>")
-    sets = stored(sets.join(wanted, ["doc_id", "key"]).select("sid", "n", "h", "members"), "wholes")
+    sets = map_arrow(some, _whole_sets(width), f"doc_id long, key long, members array<long>, {', '.join(f'{c} long' for c in PARITY)}")
+    sets = stored(sets.join(wanted, ["doc_id", "key"]).select("sid", "n", "h", "members", *PARITY), "wholes")
     every, _, _ = _counts(sets, "members", "h")
     most, tail = F.expr("n - coalesce(lone, 0)"), F.expr("n - h - coalesce(lone - lone_head, 0)")
     alive = sets.select("sid", "n", "h").join(_lone(every), "sid", "left").select("sid", most.alias("most"), tail.alias("tail"), "n").filter(f"100 * most >= {percent} * n").drop("n")
@@ -201,7 +213,7 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[
     discard(heads, counted, every, wanted)
     if posting.isEmpty():
         return members, edges
-    wholes, sets = sets, stored(sets.select("sid", "n", "members").join(alive, "sid", "left_semi"), "alive-sets")
+    wholes, sets = sets, stored(sets.select("sid", "n", "members", *PARITY).join(alive, "sid", "left_semi"), "alive-sets")
     discard(wholes)
 
     # 4: stars
@@ -234,11 +246,11 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[
     # the pairs left: across components, of documents that are not in their leader's one
     now = _labelled(posting, labels)
     leaders = stored(_leaders(now).select("t", "rows", F.col("lead.llabel").alias("al")), "leaders")
-    sides = heavy_join(now, leaders, ["t"], total, "rows").drop("rows")
+    sides = heavy_join(now, leaders, ["t"], total, "rows").drop("rows").join(sets.select("sid", *PARITY), "sid")
     fewer = "least(x.need, y.need)"
     left = (
         sides.filter("label != al").alias("x")
-        .join(sides.alias("y"), F.expr(f"x.t = y.t and x.label != y.label and {_room('x.', 'y.', percent)} and {_reach('x.', 'y.', fewer, percent)} and {_reach('y.', 'x.', fewer, percent)}"))
+        .join(sides.alias("y"), F.expr(f"x.t = y.t and x.label != y.label and {_room('x.', 'y.', percent)} and {_reach('x.', 'y.', fewer, percent)} and {_reach('y.', 'x.', fewer, percent)} and {_alike('x.', 'y.', percent)}"))
         .select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"), F.expr(f"{fewer} as need"), F.expr("if(y.label != y.al, 1, 2) as w"))
         .groupBy("a", "b", "need").agg(F.sum("w").alias("shared")).filter("shared >= 2 * need").select("a", "b")
     )
@@ -277,6 +289,12 @@ def _reach(x: str, y: str, need: str, percent: int) -> str:
     return f"(100 + {percent}) * ({x}later + {need} + {tail}) >= {percent} * ({x}n + {y}n)"
 
 
+def _alike(x: str, y: str, percent: int) -> str:
+    """Whether the parity sketches leave room for enough shared shingles: sets of n and m that differ in d members share (n + m - d) / 2."""
+    apart = " + ".join(f"bit_count({x}{c} ^ {y}{c})" for c in PARITY)
+    return f"(100 + {percent}) * ({x}n + {y}n - ({apart})) >= 2 * {percent} * ({x}n + {y}n)"
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document; component_id is the smallest doc_id reachable by links."""
     members, edges = links(docs, percent, width)

@@ -129,6 +129,16 @@ def test_ngram_join_at_the_threshold(spark, seed):
     assert {x.doc_id: x.component_id for x in ngram_join.jaccard_components(frame(spark, rows)).collect()} == component
 
 
+def test_parity_sketches_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 100, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, n // 8 + 1, dtype=np.uint64)]))
+        p, q = ngram_join._parities([a, b])
+        assert sum(int(x).bit_count() for x in (p ^ q).view(np.uint64)) <= len(np.setxor1d(a, b))
+    assert ngram_join._parities([np.zeros(0, np.uint64)]).tolist() == [[0, 0, 0, 0]]
+
+
 def test_keep_one_with_clashing_columns(spark):
     names = ("key", "sid", "rep", "head", "n_shingles", "component_id", "t", "rows")
     df = spark.createDataFrame([(i, t, *(f"{n}{i}" for n in names)) for i, t in corpus()], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
