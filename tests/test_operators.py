@@ -275,3 +275,66 @@ def test_more_text(spark):
     assert [(r["query"], r["name"]) for r in text.retrieve(q, n, 1).collect()] == [("revenues", "revenue")]
     loading = stats.factor_loadings(spark.createDataFrame([(float(i), float(2 * i + i % 3), float(i % 5)) for i in range(60)], "a double, b double, c double"), ["a", "b", "c"], 1)
     assert abs(loading["a"][0]) > 0.9 and abs(loading["c"][0]) < 0.5
+
+
+def test_tables_of_the_studentised_range_and_t():
+    for q, groups, df in ((3.877, 3, 10), (3.578, 3, 20), (3.917, 5, 120), (4.046, 4, 16)):
+        assert stats.range_p(q, groups, df) == pytest.approx(0.05, abs=0.001)
+    assert stats.t_limit(0.05, 10) == pytest.approx(2.2281, abs=1e-3) and stats.t_limit(0.05, 1e6) == pytest.approx(1.95996, abs=1e-3)
+
+
+def test_more_statistics(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, float(x), float(e), "abc"[i % 3], float(rng.normal(i % 3 == 2))) for i, (x, e) in enumerate(zip(rng.normal(size=300), rng.exponential(size=300), strict=True))]
+    df = spark.createDataFrame(rows, "i int, x double, e double, g string, v double")
+    normal, skewed = stats.shapiro(df, "x").first(), stats.shapiro(df, "e").first()
+    assert normal["p"] > 0.01 and skewed["p"] < 1e-6 and skewed["w"] < normal["w"] <= 1 and normal["used"] == 300
+    assert stats.shapiro(df.filter("i < 2"), "x").first()["w"] is None
+    # three values: W is known in closed form
+    three = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x double")
+    assert stats.shapiro(three, "x").first()["w"] == pytest.approx(0.5 * 9 / ((1 - 7 / 3) ** 2 + (2 - 7 / 3) ** 2 + (4 - 7 / 3) ** 2))
+    pairs = {(r["a"], r["b"]): r["p"] for r in stats.tukey(df, "v", "g").collect()}
+    assert pairs["a", "c"] < 0.01 and pairs["b", "c"] < 0.01 and pairs["a", "b"] > 0.05
+    with pytest.raises(ValueError):
+        stats.tukey(df, "v", "i")
+    one = stats.t_test_one(df, "x", 0.0).first()
+    assert one["lower"] < one["mean"] < one["upper"] and one["upper"] - one["mean"] == pytest.approx(stats.t_limit(0.05, 299) * one["std"] / math.sqrt(300))
+    curve = stats.elbow(spark.createDataFrame([(float(c * 50 + rng.normal()), float(c % 2 * 50 + rng.normal())) for c in range(3) for _ in range(30)], "x double, y double"), ["x", "y"], 6).collect()
+    assert [r["k"] for r in curve if r["chosen"]] == [3]
+    assert {r["component"]: r["kept"] for r in stats.pca(df, ["x", "e", "v"]).collect()}[1] is True
+
+
+def test_percentiles_and_quantiles_by_ranks(spark):
+    rng = np.random.default_rng(2)
+    v = {"a": rng.integers(0, 50, 400).astype(float), "b": rng.normal(size=37), None: np.array([3.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in v.items() for x in xs] + [("a", None)], "k string, x double")
+    got = {(r["k"], r["q"]): r["value"] for r in ranking.grouped_percentiles(df, ["k"], "x", [0.0, 0.25, 0.5, 0.99, 1.0], bins=9).collect()}
+    for k, xs in v.items():
+        s = sorted(xs)
+        assert all(got[k, q] == s[max(math.ceil(q * len(s)) - 1, 0)] for q in (0.0, 0.25, 0.5, 0.99, 1.0))
+    every = np.concatenate([xs for xs in v.values()])
+    assert np.allclose(ranking.quantiles(df, "x", [0.0, 0.25, 0.5, 0.9, 1.0], bins=7), np.quantile(every, [0, 0.25, 0.5, 0.9, 1]))
+    assert ranking.quantiles(df.limit(0), "x", [0.5]) == [None]
+
+
+def test_pairs_of_metrics_need_changes_that_go_together(spark):
+    rng = np.random.default_rng(8)
+    steps = rng.normal(size=80)
+    left, right, apart = np.cumsum(steps), np.cumsum(2 * steps + rng.normal(scale=0.1, size=80)), np.cumsum(rng.normal(1, 1, 80))
+    rows = [(m, i, float(x)) for m, xs in (("l", left), ("r", right), ("t", apart + np.arange(80)), ("few", left[:20])) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "m string, p int, v double")
+    pairs = spark.createDataFrame([("l", "r", 1.0), ("l", "t", 0.7), ("few", "r", 1.0), ("l", "none", 1.0)], "a string, b string, priority double")
+    told = series.pair_relations(series.pair_measures(df, pairs, "m", "p", "v")).collect()
+    assert [(r["a"], r["b"], r["direction"], r["best_lag"]) for r in told] == [("l", "r", "same", 0)]
+    assert told[0]["effect"] > 0.95 and told[0]["q"] < 1e-6 and told[0]["coverage"] == 1.0 and 0.9 < told[0]["confidence"] <= 1
+
+
+def test_breakdown_over_floors(spark):
+    rows = [("x", "p", "1", 1, 10.0), ("x", "p", "2", 0, 4.0), ("x", "q", "1", 1, 1.0), ("y", "p", "1", 0, 6.0), (None, "p", "1", 1, 2.0)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, y int, v double")
+    got = {(r["level"], r["a"], r["b"], r["c"]): r for r in attribution.dismantling_tree(df, ["a", "b", "c"], F.col("v"), F.col("y") == 1, F.col("y") == 0).collect()}
+    assert got[1, "x", None, None]["contribution"] == pytest.approx(7 / 10) and got[1, None, None, None]["current"] == 2.0 and got[1, "x", None, None]["rank"] == 1
+    assert got[2, "x", "p", None]["contribution"] == pytest.approx(6 / 4) and got[2, "x", "p", None]["proportion"] == pytest.approx(10 / 11) and got[3, "x", "p", "2"]["delta"] == -4.0
+    assert (2, None, "p", None) in got and len([k for k in got if k[0] == 3]) == 5
+    few = attribution.dismantling_tree(df, ["a", "b", "c"], F.col("v"), F.col("y") == 1, F.col("y") == 0, top=1).collect()
+    assert {(r["level"], r["a"], r["b"]) for r in few if r["level"] == 2} == {(2, "x", "p"), (2, "x", "q")} and len([r for r in few if r["level"] == 3]) == 2
