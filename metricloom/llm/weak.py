@@ -16,6 +16,8 @@ from .support import map_arrow, mix_py
 BUCKETS_LOG2 = 20
 #: Word beginnings, in bytes, that count as terms beside the whole word.
 STEMS = (4, 5, 6, 7)
+#: Vote patterns whose sums one task works out.
+PATTERN_ROWS = 1 << 16
 
 
 def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
@@ -149,6 +151,8 @@ class LabelModel:
         first. The prior given to the model stays as it is. In the middle the voters' correlations are estimated in a pass of their own.
         """
         self.weight, self.chance = np.ones(voters), None
+        # a partition gives its sums, so there are as many rows of sums as patterns ask for, not as partitions
+        patterns = patterns.coalesce(max(1, -(-patterns.count() // PATTERN_ROWS)))
         for r in range(rounds):
             sums = _sums(patterns, _class_sums(self, voters, start), 6 * voters + 2)
             total, said = sums[-2:], sums[:-2].reshape(3, 2, voters)
