@@ -17,7 +17,7 @@ BUCKETS_LOG2 = 20
 #: Word beginnings, in bytes, that count as terms beside the whole word.
 STEMS = (4, 5, 6, 7)
 #: Vote patterns whose sums one task works out.
-PATTERN_ROWS = 1 << 16
+PATTERN_ROWS = 1 << 12
 
 
 def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
