@@ -12,6 +12,27 @@ def matrix(df: DataFrame, rows: list[str], column: str, values: list, aggs: dict
     return out.select(*rows, *[F.col(f"`{v}{f'_{n}' if len(aggs) > 1 else ''}`").alias(f"{v}_{n}") for v in values for n in aggs])
 
 
+def spread(df: DataFrame, rows: list[str], column: str, values: list, measures: list[str], on_rows: bool = False) -> DataFrame:
+    """Aggregated rows (rows, column, measures) as a matrix: a column ``<value>_<measure>`` each, or with ``on_rows`` a row for each measure
+    (named ``measure``) and a column for each value. Formula measures are spread as they were worked out, not added up again."""
+    one = lambda m, v: F.max(F.when(F.col(column).eqNullSafe(F.lit(v)), F.struct(F.col(m))))[m]
+    name = lambda v: "null" if v is None else str(v)
+    if not on_rows:
+        return df.groupBy(*rows).agg(*[one(m, v).alias(f"{name(v)}_{m}") for v in values for m in measures])
+    lines = [F.struct(F.lit(m).alias("measure"), *[one(m, v).cast("double").alias(name(v)) for v in values]) for m in measures]
+    return df.groupBy(*rows).agg(F.array(*lines).alias("__m")).select(*rows, F.explode("__m").alias("__m")).select(*rows, "__m.*")
+
+
+def labelled(df: DataFrame, dims: list[str], labels: dict[str, str], level: str = "level") -> DataFrame:
+    """Rows of :func:`subtotals` with the dimensions as text, subtotal rows named by the label of the axis they sum up (bits of ``level``)."""
+    n = len(dims)
+    summed = [F.col(level).bitwiseAND(F.lit(1 << (n - 1 - i))) != 0 for i in range(n)]
+    out = df
+    for c, total in zip(dims, summed, strict=True):
+        out = out.withColumn(c, F.when(total, F.lit(labels.get(c, "total"))).otherwise(F.col(c).cast("string")))
+    return out
+
+
 def subtotals(df: DataFrame, dims: list[str], aggs: dict[str, Column], kind: str = "rollup") -> DataFrame:
     """Rollup or cube from the detail rows with ``level`` = grouping id; sums, averages and distinct counts are each right."""
     grouped = df.rollup(*dims) if kind == "rollup" else df.cube(*dims)

@@ -234,6 +234,32 @@ def pivot_matrix(spark, d):
     return out.na.fill(0, [f"{s}_n" for s in "FOP"])
 
 
+_RETURNS = "select l_linestatus, l_returnflag, (sum(l_extendedprice)-sum(l_extendedprice*(1-l_discount)))/nullif(sum(l_extendedprice),0) share, sum(l_quantity) quantity from lineitem group by all"
+
+
+@query(f"with x as ({_RETURNS}) select l_linestatus, " + ", ".join(f"round(max(case when l_returnflag='{v}' then share end),6) \"{v}_discount_share\", round(max(case when l_returnflag='{v}' then quantity end),2) \"{v}_quantity\"" for v in "ANR") + " from x group by all")
+def pivot_formula(spark, d):
+    rows = read(spark, d, "lineitem").groupBy("l_linestatus", "l_returnflag").agg(((F.sum("l_extendedprice") - F.sum(F.expr("l_extendedprice * (1 - l_discount)"))) / F.sum("l_extendedprice")).alias("discount_share"), F.sum("l_quantity").alias("quantity"))
+    got = pivot.spread(rows, ["l_linestatus"], "l_returnflag", ["A", "N", "R"], ["discount_share", "quantity"])
+    return _round(_round(got, *[f"{v}_quantity" for v in "ANR"], n=2), *[f"{v}_discount_share" for v in "ANR"], n=6)
+
+
+@query("with x as (select o_orderpriority priority, date_trunc('year',o_orderdate)::date y, sum(o_totalprice) v, count(*)::double c from orders group by all) " + " union all ".join(f"select priority, '{m}' measure, " + ", ".join(f"round(max(case when y=date '{y}-01-01' then {e} end),2) \"{y}-01-01\"" for y in (1995, 1996, 1997)) + " from x group by priority" for m, e in (("order_value", "v"), ("order_count", "c"))))
+def pivot_measures_on_rows(spark, d):
+    import datetime
+
+    years = [datetime.date(y, 1, 1) for y in (1995, 1996, 1997)]
+    got = pivot.spread(engine(spark, d).query(QuerySpec(("order_value", "order_count"), ("priority", "order_year"))), ["priority"], "order_year", years, ["order_value", "order_count"], on_rows=True)
+    return _round(got, *[str(y) for y in years], n=2)
+
+
+@query("select case when grouping(o_orderstatus)=1 then 'all states' else o_orderstatus end o_orderstatus, case when grouping(o_orderpriority)=1 then 'all priorities' else o_orderpriority end o_orderpriority, grouping(o_orderstatus,o_orderpriority)::bigint as level, round(sum(o_totalprice),2) v from orders group by cube(o_orderstatus,o_orderpriority)")
+def subtotal_labels(spark, d):
+    dims = ["o_orderstatus", "o_orderpriority"]
+    got = pivot.subtotals(read(spark, d, "orders"), dims, {"v": F.round(F.sum("o_totalprice"), 2)}, "cube")
+    return pivot.labelled(got, dims, {"o_orderstatus": "all states", "o_orderpriority": "all priorities"})
+
+
 @query("with a as (select l_returnflag, l_linestatus, avg(l_extendedprice) v from lineitem group by all) select l_returnflag, l_linestatus, grouping(l_returnflag,l_linestatus)::bigint as level, round(sum(v),4) v from a group by rollup(l_returnflag,l_linestatus)")
 def summed_subtotals(spark, d):
     a = read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.avg("l_extendedprice").alias("v"))
