@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .timegrain import workdays_in
+
 _TOKEN = re.compile(r"\s*(?:(\d+(?:\.\d+)?%?)|\[([^\]]+)\]|\{([^}]+)\}|([A-Za-z_]\w*)|'((?:[^'\\]|\\.)*)'|\"((?:[^\"\\]|\\.)*)\"|(&&|\|\||==|!=|<=|>=|[-+*/%^()<>!,×÷]))")
 _LEVELS = (("||",), ("&&",), ("==", "!="), ("<", "<=", ">", ">="), ("+", "-"), ("*", "/", "%"))
 
@@ -52,6 +54,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "concatenate": lambda *a: F.concat(*[F.regexp_replace(_text(x), "'", "") for x in a]),
     "format": lambda value, fmt: F.format_string(fmt, value) if isinstance(fmt, str) else F.format_string("%s", value),
     "selectcolumns": lambda *a: F.concat_ws("", *[_text(x) for x in a]),
+    "workday": lambda day, grain="month": workdays_in(day.cast("date"), grain if isinstance(grain, str) else "month"),
     "row_sum": lambda *a: sum(a[1:], a[0]),
     "ttest": lambda *a: sum(a[1:], a[0]),
     "abs": F.abs, "round": lambda x, n=0: F.round(x, n if isinstance(n, int) else 0), "coalesce": F.coalesce,

@@ -39,14 +39,28 @@ def shifted(c: Column, unit: str, n: int) -> Column:
     return F.add_months(c, n * {"month": 1, "quarter": 3, "year": 12}[unit])
 
 
-def calendar(spark: SparkSession, start: str, end: str, grain: str = "day") -> DataFrame:
-    """One row a period: (period, year, quarter, month, week, weekday, is_workday)."""
+def is_workday(day: Column, holidays: tuple[str, ...] = (), extra: tuple[str, ...] = ()) -> Column:
+    """Monday to Friday but for the holidays, and the extra days worked (ISO days)."""
+    out = F.weekday(day) < 5
+    if holidays:
+        out = out & ~day.isin(*[F.to_date(F.lit(x)) for x in holidays])
+    return out | day.isin(*[F.to_date(F.lit(x)) for x in extra]) if extra else out
+
+
+def workdays_in(day: Column, grain: str = "month", holidays: tuple[str, ...] = (), extra: tuple[str, ...] = ()) -> Column:
+    """Workdays of the period around a day."""
+    first = truncated(day, grain)
+    return F.size(F.filter(F.sequence(first, F.date_sub(shifted(first, grain, 1), 1)), lambda x: is_workday(x, holidays, extra)))
+
+
+def calendar(spark: SparkSession, start: str, end: str, grain: str = "day", holidays: tuple[str, ...] = (), extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row a period: (period, year, quarter, month, week, weekday, is_workday); holidays are no workdays, extra days are."""
     step = {"day": "1 day", "week": "7 days", "month": "1 month", "quarter": "3 months", "year": "1 year"}[grain]
     first = F.to_date(F.date_trunc(grain, F.to_date(F.lit(start))))
     one = spark.range(1).select(F.explode(F.sequence(first, F.to_date(F.lit(end)), F.expr(f"interval {step}"))).alias("period"))
     return one.select(
         "period", F.year("period").alias("year"), F.quarter("period").alias("quarter"), F.month("period").alias("month"),
-        F.weekofyear("period").alias("week"), (F.weekday("period") + 1).alias("weekday"), (F.weekday("period") < 5).alias("is_workday"),
+        F.weekofyear("period").alias("week"), (F.weekday("period") + 1).alias("weekday"), is_workday(F.col("period"), holidays, extra).alias("is_workday"),
     )
 
 

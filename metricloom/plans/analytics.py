@@ -180,6 +180,15 @@ def workdays(spark, d):
     return c.groupBy(F.to_date(F.date_trunc("month", "period")).alias("m")).agg(F.count(F.when(F.col("is_workday"), 1)).alias("workdays"))
 
 
+@query("with h as (select unnest([date '1996-01-01', date '1996-05-01', date '1996-12-25']) h), x as (select distinct date_trunc('month',o_orderdate)::date m from orders where year(o_orderdate)=1996), c as (select m, unnest(range(m, m + interval 1 month, interval 1 day))::date p from x) select m, count(case when isodow(p)<6 and p not in (select h from h) then 1 end)::int workdays, count(case when isodow(p)<6 then 1 end)::int by_formula from c group by m")
+def workdays_of_months(spark, d):
+    from ..functions.formula import compile_formula
+    from ..functions.timegrain import workdays_in
+
+    m = read(spark, d, "orders").filter(F.year("o_orderdate") == 1996).select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("m")).distinct()
+    return m.select("m", workdays_in(F.col("m"), "month", ("1996-01-01", "1996-05-01", "1996-12-25")).alias("workdays"), compile_formula("Workday([m])", F.col).alias("by_formula"))
+
+
 @query("select o_orderpriority k, date_trunc('month',o_orderdate)::date p, round(avg(o_totalprice),4) v, count(*) points from orders group by all")
 def series_collapse(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderpriority").alias("k"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("p"), F.col("o_totalprice").alias("v"))
