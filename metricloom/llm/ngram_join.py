@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Words, shingle_sets
-from .support import among, components, discard, heavy_join, list_column, map_arrow, stored
+from .support import components, discard, heavy_join, id_bitmap, id_cells, in_bitmap, list_column, map_arrow, stored
 
 MAX_MATCH = 4
 STAR_ROUNDS = 3
@@ -88,9 +88,10 @@ def _parities(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(out, axis=1, bitorder="little").view(np.int64)
 
 
-def _whole_sets(width: int):
+def _whole_sets(ids, log2: int, width: int):
     def step(batches):
         for b in batches:
+            b = b.filter(pa.array(in_bitmap(ids.value, id_cells(b.column("doc_id").to_numpy(zero_copy_only=False), log2))))
             if b.num_rows:
                 sets = shingle_sets(Words(b.column("text"), lower=True), width)
                 n = np.array([len(s) for s in sets], dtype=np.int64)
@@ -202,8 +203,9 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[
     small = heads.select("sid", "doc_id", "key", "n", "spare", F.size("head").alias("h"))
     wanted = small.join(_lone(counted), "sid", "left").filter("h - coalesce(lone, 0) >= spare").select("sid", "doc_id", "key", "n", "h")
     wanted = stored(wanted, "wanted")
-    some, _, _ = among(docs, wanted, "doc_id")
-    sets = map_arrow(some, _whole_sets(width), f"doc_id long, key long, members array<long>, {', '.join(f'{c} long' for c in PARITY)}")
+    ids, log2, _ = id_bitmap(wanted, "doc_id")
+    ids = docs.sparkSession.sparkContext.broadcast(ids)
+    sets = map_arrow(docs, _whole_sets(ids, log2, width), f"doc_id long, key long, members array<long>, {', '.join(f'{c} long' for c in PARITY)}")
     sets = stored(sets.join(wanted, ["doc_id", "key"]).select("sid", "n", "h", "members", *PARITY), "wholes")
     every, _, _ = _counts(sets, "members", "h")
     most, tail = F.expr("n - coalesce(lone, 0)"), F.expr("n - h - coalesce(lone - lone_head, 0)")
